@@ -5,32 +5,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codehist.functions.names import commit_url, is_local_url, parent_id, trimmed
+from codehist.functions.names import (
+    commit_url,
+    is_local_url,
+    parent_id,
+    parse_thresholds,
+    project_name,
+    trimmed,
+)
 from codehist.plans.ordered import BLOCK, running
 
 
-def commit_range(commits: DataFrame, first: str | None = None, last: str | None = None) -> DataFrame:
-    """Commits from ``first`` up to ``last``, both included.
+def commit_range(commits: DataFrame, bounds: DataFrame) -> DataFrame:
+    """Commits from ``first`` up to ``last`` of their project, both included.
 
-    Bounds are looked up before merges are dropped, so a merge can be a bound.
-    A ``first`` that never comes leaves nothing; a ``last`` that never comes
-    after ``first`` leaves the range open.
+    ``bounds`` has project, first, last; a null leaves that end open. Bounds
+    are looked up before merges are dropped, so a merge can be a bound. A
+    ``first`` that never comes leaves nothing; a ``last`` that does not come
+    after it leaves the range open.
     """
-    if first is None and last is None:
-        return commits
-    # min() leaves one row per project; the walk itself is not shuffled when that is small
-    found = lambda i: F.min(F.when(F.col("commit_id") == i, F.col("walk_pos")))
-    bounds = commits.filter(F.col("commit_id").isin([i for i in (first, last) if i])).groupBy("project")
-    bounds = bounds.agg(
-        (found(first) if first else F.lit(0).cast("bigint")).alias("_lo"),
-        (found(last) if last else F.lit(None).cast("bigint")).alias("_hi"),
+    at = F.col("walk_pos")
+    ends = (
+        commits.join(bounds, "project")
+        .filter("commit_id = first or commit_id = last")
+        .groupBy("project")
+        .agg(
+            F.min(F.when(F.col("commit_id") == F.col("first"), at)).alias("_lo"),
+            F.min(F.when(F.col("commit_id") == F.col("last"), at)).alias("_hi"),
+        )
+    )
+    wanted = bounds.select("project", F.col("first").isNotNull().alias("_bound")).join(
+        ends, "project", "left"
     )
-    rows = commits.join(bounds, "project", "left")
-    lo, hi, pos = F.col("_lo"), F.col("_hi"), F.col("walk_pos")
-    inside = hi.isNull() | (pos <= hi)
-    if first:
-        inside = (pos >= lo) & (inside | (hi < lo))
-    return rows.filter(inside).drop("_lo", "_hi")
+    rows = commits.join(wanted, "project", "left")
+    started = F.when(F.col("_bound"), at >= F.col("_lo")).otherwise(True)
+    past_end = (F.col("_hi") >= F.coalesce("_lo", F.lit(0))) & (at > F.col("_hi"))
+    return rows.filter(started & ~F.coalesce(past_end, F.lit(False))).drop("_bound", "_lo", "_hi")
 
 
 def without_merges(commits: DataFrame) -> DataFrame:
@@ -42,12 +52,12 @@ def with_detection(commits: DataFrame) -> DataFrame:
     return commits.filter(F.size("parents") == 1)
 
 
-def commit_replay(
-    commits: DataFrame, first: str | None = None, last: str | None = None, block: int = BLOCK
-) -> DataFrame:
+def commit_replay(commits: DataFrame, bounds: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
     """Processed commits with ``commit_number``, counted from 1 per project."""
-    kept = without_merges(commit_range(commits, first, last))
-    return running(kept, ["project"], "walk_pos", ["walk_pos"], {"commit_number": F.lit(1)}, block)
+    walked = commits if bounds is None else commit_range(commits, bounds)
+    return running(
+        without_merges(walked), ["project"], "walk_pos", ["walk_pos"], {"commit_number": F.lit(1)}, block
+    )
 
 
 def commit_totals(commits: DataFrame) -> DataFrame:
@@ -93,8 +103,6 @@ def project_table(
     size_in_bytes; ``totals`` and ``inventory`` come from ``commit_totals`` and
     ``project_inventory``.
     """
-    from codehist.functions.names import parse_thresholds, project_name
-
     cuts = parse_thresholds(F.lit(thresholds)).cast("string")
     return (
         requested.join(totals, "project", "left")

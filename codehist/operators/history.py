@@ -19,7 +19,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codehist.operators.events import CHANGE, ORDER
+from codehist.operators.exact import with_exact_cycles
 from codehist.plans.ordered import BLOCK, before, block_of, so_far
+from codehist.session import staged
 
 FILE = ["project", "lineage"]
 AT = [*FILE, "_blk"]
@@ -30,7 +32,7 @@ def _div(a: Column, b: int) -> Column:
     return F.floor(a / F.lit(b)).cast("bigint")
 
 
-def _segments(rows: DataFrame, order: Sequence, top: int) -> DataFrame:
+def _segments(rows: DataFrame, order: Sequence) -> DataFrame:
     """Running totals, commit count at the last reset, and finished cycles.
 
     ``_mark`` is the commit count at a reset; a segment is what lies between
@@ -40,15 +42,16 @@ def _segments(rows: DataFrame, order: Sequence, top: int) -> DataFrame:
     rows = rows.withColumns(
         {n: F.sum(c).over(run) for n, c in TOTALS.items()} | {"resets_total": F.sum("resets").over(run)}
     )
-    rows = rows.withColumn("_mark", F.when(F.col("resets") > 0, F.col("n")) if "_open" not in rows.columns
-                           else F.when(F.col("_open"), F.col("_base")).when(F.col("resets") > 0, F.col("n")))
-    rows = rows.withColumns({"seg_base": F.max("_mark").over(run), "_prev": F.max("_mark").over(prev)})
-    return rows
+    mark = F.when(F.col("resets") > 0, F.col("n"))
+    if "_open" in rows.columns:
+        mark = F.when(F.col("_open"), F.col("_base")).otherwise(mark)
+    rows = rows.withColumn("_mark", mark)
+    return rows.withColumns({"seg_base": F.max("_mark").over(run), "_prev": F.max("_mark").over(prev)})
 
 
 def _block_summary(ev: DataFrame, top: int) -> DataFrame:
     """Per (file, block): totals, first and last reset, finished cycles between."""
-    rows = _segments(ev, ORDER, top)
+    rows = _segments(ev, ORDER)
     inner = F.when(F.col("_prev").isNotNull(), _div(F.col("_mark") - F.col("_prev"), top))
     event = F.struct(*ORDER, "commit_id")
     return rows.groupBy(*AT).agg(
@@ -115,7 +118,35 @@ def file_history(
     authors: bool = False,
     block: int = BLOCK,
 ) -> DataFrame:
-    """State of a file after each event, one row per event.
+    """State of every file after each event.
+
+    Files whose tracker forgot a fired threshold (a detector rename without a
+    reset) are replayed, all others follow the closed form. The result is
+    written once, as it is looked at several times.
+    """
+    history = staged(closed_form_history(events, thresholds, authors, block))
+    forgot = (
+        history.filter((F.col("clears") > 0) & (F.col("resets") == 0))
+        .filter(F.col("since_base") >= min(thresholds))
+        .select(*FILE)
+        .distinct()
+    )
+    if forgot.isEmpty():
+        return history.drop("resets_total")
+    replayed = with_exact_cycles(
+        history.join(forgot, FILE, "left_semi"), events.join(forgot, FILE, "left_semi"), thresholds, block
+    )
+    rest = history.join(forgot, FILE, "left_anti")
+    return rest.unionByName(replayed).drop("resets_total")
+
+
+def closed_form_history(
+    events: DataFrame,
+    thresholds: Sequence[int],
+    authors: bool = False,
+    block: int = BLOCK,
+) -> DataFrame:
+    """State of a file after each event by running totals, one row per event.
 
     n, lines_added, lines_deleted, bug_fixes: totals of the file.
     refactorings: resets so far, by labels, renames and finished cycles.
@@ -150,7 +181,7 @@ def file_history(
             both = both.unionByName(rows.withColumn("_open", F.lit(True)), allowMissingColumns=True)
     order = [F.col("_open").desc(), *ORDER]
     run = so_far(*AT, order=order)
-    rows = _segments(both, order, top).withColumns(
+    rows = _segments(both, order).withColumns(
         {"_reset_at": F.max("_reset_at").over(run), "_born": F.min("_born").over(run)}
     )
     seg_base = F.coalesce("seg_base", F.lit(0))
@@ -186,7 +217,7 @@ def file_history(
     )
     columns = [
         "project", "lineage", "path", *ORDER, "commit_id", "resets", "clears", "author",
-        "n", "lines_added", "lines_deleted", "bug_fixes", "refactorings",
+        "n", "lines_added", "lines_deleted", "bug_fixes", "resets_total", "refactorings",
         "seg_base", "base_n", "since_base", "fired", "reset_commit",
     ]
     if authors:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from codehist.operators.events import CHANGE, LABEL, ORDER
 from codehist.operators.history import FILE
 from codehist.plans.ordered import BLOCK, block_of, opening_sums, running, so_far
-from codehist.session import staged
 
 # output name: history column
 METRICS = {
@@ -38,12 +37,13 @@ def process_metrics(refactorings: Column | None = None) -> Column:
 def author_stats(history: DataFrame, block: int = BLOCK) -> DataFrame:
     """Add major, minor and ownership to a history with authors.
 
+    Reads the history several times; ``file_history`` has it written already.
+
     An author with ``k`` of a file's ``n`` commits is minor while 20 k < n. A
     commit of theirs therefore makes (or keeps) them major until commit 20 k:
     every change adds at most one step up and one step down on the commit axis
     of its file, and the major authors at ``n`` are the running sum of steps.
     """
-    history = staged(history)
     is_change = F.col("phase") == CHANGE
     k, n = F.col("k"), F.col("n")
     until = 20 * (k - 1)

@@ -82,6 +82,27 @@ def test_windows_equal_replay_with_renames(spark, seed, block):
     assert now == {p for p, t in files.items() if t.now.n - t.base.n == 2}
 
 
+@pytest.mark.parametrize("seed,block", [(8, 6), (9, 40), (10, 1 << 16)])
+def test_renames_that_forget_the_fired_threshold(spark, seed, block):
+    log = random_log(seed, detector=True)
+    for e in log:
+        if e["phase"] == 1 and e["walk_pos"] % 3:
+            e["resets"] = 0
+    check(spark, [e for e in log if e["phase"] != 1 or e["resets"]], (2, 5, 6), block)
+
+
+def test_late_cycle(spark):
+    change = dict(project="p", path="B", old_path=None, phase=4, pos=0, resets=0, clears=0,
+                  author="a", added=0, deleted=0, is_bug=0)
+    log = [change | dict(path="A", walk_pos=i, commit_id=f"c{i}") for i in range(1, 8)]
+    log.append(change | dict(old_path="A", phase=2, clears=1, author=None, walk_pos=8, commit_id="c8"))
+    log += [change | dict(walk_pos=i, commit_id=f"c{i}") for i in range(8, 14)]
+    for block in (3, 100):
+        history, _ = check(spark, log, (3, 8, 9), block)
+        fired = [(r.n, r.fired) for r in history.orderBy("n", "phase").collect() if r.fired]
+        assert fired == [(3, 3), (8, 3), (9, 8), (10, 9), (13, 3)]
+
+
 def test_long_streaks_and_minor_authors(spark):
     log = random_log(7, commits=900, files=2, renames=False, hot=0.9)
     for e in log:
