@@ -8,6 +8,7 @@ from codehist.operators.history import file_history
 from codehist.operators.lineage import rename_lineage
 from codehist.operators.process import author_stats, latest_state
 from codehist.operators.stability import stable_files, stable_now
+from codehist.session import staged
 
 from tests.replay import replay
 
@@ -42,9 +43,8 @@ def random_log(seed, commits=400, files=6, renames=True, detector=False, hot=0.4
 
 def check(spark, log, thresholds, block):
     events = spark.createDataFrame(log, EVENT_COLUMNS)
-    history = author_stats(
-        file_history(rename_lineage(events, block), thresholds, authors=True, block=block), block
-    )
+    events = staged(rename_lineage(events, block))
+    history = staged(author_stats(file_history(events, thresholds, authors=True, block=block), block))
     labels, fired, states, files = replay(log, thresholds)
     rows = history.collect()
     got = sorted((r.commit_id, r.path, r.n, r.refactorings - (r.fired == max(thresholds)))
