@@ -51,9 +51,9 @@ def opening_sums(
     w = before(*keys, order=[blk])
     first = F.row_number().over(Window.partitionBy(*keys).orderBy(blk))
     return (
-        totals.select(*keys, blk, *[F.sum(n).over(w).alias(n) for n in sums], first.alias("_nth"))
-        .filter("_nth > 1")
-        .drop("_nth")
+        totals.select(*keys, blk, *[F.sum(n).over(w).alias(n) for n in sums], first.alias("_block_no"))
+        .filter("_block_no > 1")
+        .drop("_block_no")
     )
 
 

@@ -65,7 +65,7 @@ def _events(spark, sf):
     """Event log with lineage; every target counts as a reset."""
     resets = _targets(spark, sf).select(*lb.COMMIT, "path")
     log = history_events(_processed(spark, sf), _changes(spark, sf), vw.labels(spark, sf), resets)
-    return staged(rename_lineage(log))
+    return staged(rename_lineage(staged(log)))
 
 
 def _history(spark, sf, authors=False):
@@ -552,9 +552,9 @@ def stable_without_source(spark, sf):
 
 @query(
     dk.with_fx(
-        f"select project, at as commit_id, file, class, inner_class = 1 as \"isInnerClass\", {_scaled(dk.metric_columns(CLASS_METRICS, 'event_id + 6 * inner_class'))} from ("
+        f"select project, commit_at as commit_id, file, class, inner_class = 1 as \"isInnerClass\", {_scaled(dk.metric_columns(CLASS_METRICS, 'event_id + 6 * inner_class'))} from ("
         "select chg.*, i.inner_class, concat('pkg.F', user_id, case when i.inner_class = 1 then '.Inner' else '' end) as class, "
-        "case when s.side = 0 then commit_id else concat('b', event_id) end as at, case when s.side = 0 then new_path else old_path end as file "
+        "case when s.side = 0 then commit_id else concat('b', event_id) end as commit_at, case when s.side = 0 then new_path else old_path end as file "
         "from chg join (values (0), (1)) i(inner_class) on true join (values (0), (1)) s(side) on true)"
     )
 )
@@ -625,9 +625,9 @@ def wide_stable_files(spark, sf):
 
 @query(
     f"with {WIDE_CTE}, acnt as (select a.l_partkey, a.n, b.author, count(*) as c from seg a join seg b on a.l_partkey = b.l_partkey "
-    "and b.n <= a.n group by all), aut as (select l_partkey, n, count(*) as authors, "
+    "and b.n <= a.n group by a.l_partkey, a.n, b.author), aut as (select l_partkey, n, count(*) as authors, "
     "count(*) filter (where c < n * cast(0.05 as double)) as minor, count(*) filter (where c >= n * cast(0.05 as double)) as major, "
-    "round(max(c) / cast(n as double), 6) as ownership from acnt group by all) "
+    "round(max(c) / cast(n as double), 6) as ownership from acnt group by l_partkey, n) "
     "select project, path, commit_id, authors, minor, major, ownership from seg join aut using (l_partkey, n)"
 )
 def wide_author_stats(spark, sf):
@@ -938,11 +938,13 @@ def new_projects(spark, sf):
 
 
 @query(
-    "select concat('https://x.org/', lower(n_name), '.git') as git_url, count(*) as times from supplier join nation on s_nationkey = n_nationkey "
-    "where s_suppkey % 2 = 0 group by 1 having count(*) > 1"
+    "select concat('https://', string_split(url, '/')[3], '.git') as git_url, count(*) as times from pages group by 1 having count(*) > 1"
 )
 def repeated_projects(spark, sf):
-    return ql.repeated_projects(_requested(spark, sf))
+    """Pages of one host ask for the same project."""
+    host = F.get(F.split("url", "/"), 2)
+    rows = vw.read(spark, sf, "pages").select(F.concat(F.lit("https://"), host, F.lit(".git")).alias("git_url"))
+    return ql.repeated_projects(rows)
 
 
 @query(

@@ -43,7 +43,7 @@ def events_cte(resets: str) -> str:
     return f"""
 ev0 as (
   select user_id, walk_pos, 1 as phase, commit_id, any_value(project) as project, any_value(old_path) as path,
-         count(*) as k, null as author, 0 as added, 0 as deleted, 0 as bug from {resets} group by user_id, walk_pos, commit_id
+         count(*) as k, cast(null as varchar) as author, 0 as added, 0 as deleted, 0 as bug from {resets} group by user_id, walk_pos, commit_id
   union all
   select user_id, walk_pos, case when event_id % 2 = 0 and n_parents = 1 then 2 else 3 end, commit_id, project, new_path,
          case when event_id % 2 = 0 and n_parents = 1 then 0 else 1 end, null, 0, 0, 0 from chg where is_rename and n_parents <= 1
