@@ -62,28 +62,29 @@ def rename_edges(marks: DataFrame, block: int = BLOCK) -> DataFrame:
     )
 
 
-def rename_roots(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """(project, node, root): pointer jumping, about log2(longest chain) rounds.
+def _jump(hops: DataFrame) -> DataFrame:
+    """Replace every root by its own root, where it has one."""
+    up = hops.select("project", F.col("node").alias("root"), F.col("root").alias("_up"))
+    return hops.drop("done").join(up, ["project", "root"], "left").select(
+        "project", "node", F.coalesce("_up", "root").alias("root"), F.col("_up").isNull().alias("done")
+    )
+
 
-    Node and parent are unique within a project, so no join key is skewed.
+def rename_roots(edges: DataFrame, max_rounds: int = 32) -> DataFrame:
+    """(project, node, root): pointer jumping, two jumps per written round.
+
+    A round reaches four times as far as the one before. Node and parent are
+    unique within a project, so no join key is skewed.
     """
     hops = staged(edges.withColumnRenamed("parent", "root").withColumn("done", F.lit(False)))
     for _ in range(max_rounds):
         if hops.filter(~F.col("done")).isEmpty():
             return hops.select("project", "node", "root")
-        up = hops.select("project", F.col("node").alias("root"), F.col("root").alias("up"))
-        hops = staged(
-            hops.join(up, ["project", "root"], "left").select(
-                "project",
-                "node",
-                F.coalesce("up", "root").alias("root"),
-                F.col("up").isNull().alias("done"),
-            )
-        )
+        hops = staged(_jump(_jump(hops)))
     raise RuntimeError(f"rename chains not resolved after {max_rounds} rounds")
 
 
-def rename_lineage(events: DataFrame, block: int = BLOCK, max_rounds: int = 64) -> DataFrame:
+def rename_lineage(events: DataFrame, block: int = BLOCK, max_rounds: int = 32) -> DataFrame:
     """Add ``lineage``, the first incarnation of the file, to every event.
 
     Files never renamed keep their own path and take no part in the joins.

@@ -64,7 +64,9 @@ def mine(
     targets = lb.label_targets(processed, labels, changes)
     found = staged(refactoring_instances(targets, ck))
     resets = found.filter("match_pos = 1").select(*lb.COMMIT, F.col("filePath").alias("path"))
-    events = staged(rename_lineage(history_events(processed, changes, labels, resets), block))
+    # both are read several times: by the rename edges, and by totals and rows
+    log = staged(history_events(processed, changes, labels, resets))
+    events = staged(rename_lineage(log, block))
     history = staged(author_stats(file_history(events, thresholds, authors=True, block=block), block))
     base = stable_files(history, thresholds).withColumn("n", F.col("base_n"))
     base = base.withColumn("processMetrics", process_metrics()).select(

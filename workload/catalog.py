@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,10 +36,18 @@ DUCK: dict[str, str] = {}
 CUTS = (2, 5)
 
 
-def query(sql: str | None = None, name: str | None = None):
+def query(sql: str | None = None, name: str | None = None, prepare: bool = False):
+    """Register a query; ``prepare`` writes its numbered events once, up front."""
+
     def register(fn: Query) -> Query:
         key = name or fn.__name__
-        SPARK[key] = fn
+
+        @wraps(fn)
+        def prepared(spark, sf):
+            with vw.prepared(spark, sf):
+                return fn(spark, sf)
+
+        SPARK[key] = prepared if prepare else fn
         if sql is not None:
             DUCK[key] = sql
         return fn
@@ -173,12 +182,12 @@ def _change_state(history):
     )
 
 
-@query(dk.with_fx(STATE_SQL, *REP))
+@query(dk.with_fx(STATE_SQL, *REP), prepare=True)
 def file_state(spark, sf):
     return _change_state(_history(spark, sf))
 
 
-@query(dk.with_fx(STATE_SQL, *REP))
+@query(dk.with_fx(STATE_SQL, *REP), prepare=True)
 def file_state_exact(spark, sf):
     """Every file replayed block by block instead of by the closed form."""
     events = _events(spark, sf)
@@ -204,8 +213,8 @@ def _stable(cuts):
     return run
 
 
-query(_stable_sql((2, 5)), "stable_files")(_stable((2, 5)))
-query(_stable_sql((3, 8)), "stable_files_3_8")(_stable((3, 8)))
+query(_stable_sql((2, 5)), "stable_files", prepare=True)(_stable((2, 5)))
+query(_stable_sql((3, 8)), "stable_files_3_8", prepare=True)(_stable((3, 8)))
 
 BASE_STATE = (
     "left join (select user_id, n, cast(any_value(s_added) as bigint) as a, cast(any_value(s_deleted) as bigint) as d, "
@@ -222,8 +231,7 @@ BASE_STATE = (
         "coalesce(major, 0) as \"qtyMajorAuthors\", coalesce(ownership, 0.0) as \"authorOwnership\" "
         f"from st {BASE_STATE} where fired is not null",
         *REP, dk.AUTHORS,
-    )
-)
+    ), prepare=True)
 def stable_process_metrics(spark, sf):
     history = staged(pr.author_stats(_history(spark, sf, authors=True)))
     rows = stb.stable_process_metrics(stb.stable_files(history, CUTS))
@@ -249,14 +257,13 @@ LATEST = (
     dk.with_fx(
         "select project, path, n, cast(s_added as bigint) as lines_added, refs as refactorings from lst where back = 1",
         *REP, LATEST,
-    )
-)
+    ), prepare=True)
 def latest_state(spark, sf):
     rows = pr.latest_state(_history(spark, sf))
     return rows.select("project", "path", *_big("n", "lines_added", "refactorings"))
 
 
-@query(dk.with_fx("select project, path, n, since as counter from lst where back = 1 and since in (2)", *REP, LATEST))
+@query(dk.with_fx("select project, path, n, since as counter from lst where back = 1 and since in (2)", *REP, LATEST), prepare=True)
 def stable_now(spark, sf):
     rows = stb.stable_now(_history(spark, sf), CUTS)
     return rows.select("project", "path", *_big("n"), F.col("since_base").cast("bigint").alias("counter"))
@@ -267,8 +274,7 @@ def stable_now(spark, sf):
         "select project, path, commit_id, ev.n, authors, minor, major, ownership from ev join aut "
         "on aut.user_id = ev.user_id and aut.n = ev.n where phase = 4",
         dk.events_cte("tgt"), dk.AUTHORS,
-    )
-)
+    ), prepare=True)
 def author_stats(spark, sf):
     rows = pr.author_stats(_history(spark, sf, authors=True)).filter(F.col("phase") == CHANGE)
     return rows.select(
@@ -283,8 +289,7 @@ def author_stats(spark, sf):
         "(select distinct user_id, stem from fx) s using (user_id)",
         dk.events_cte("tgt"),
     ),
-    "rename_lineage",
-)
+    "rename_lineage", prepare=True)
 def _rename_lineage(spark, sf):
     return _events(spark, sf).select(
         "project", "commit_id", "walk_pos", "path", F.substring_index("lineage", "#", 1).alias("origin")
@@ -292,7 +297,7 @@ def _rename_lineage(spark, sf):
 
 
 @query(dk.with_fx(
-    "select project, commit_id, old_path, new_path from chg where is_rename and n_parents <= 1 and not (event_id % 2 = 0 and n_parents = 1)"))
+    "select project, commit_id, old_path, new_path from chg where is_rename and n_parents <= 1 and not (event_id % 2 = 0 and n_parents = 1)"), prepare=True)
 def missed_renames(spark, sf):
     commits = _processed(spark, sf)
     seen = vw.labels(spark, sf).join(cm.with_detection(commits).select(*lb.COMMIT), lb.COMMIT, "left_semi")
@@ -347,7 +352,7 @@ def class_aliases(spark, sf):
     return lb.class_aliases(vw.labels(spark, sf))
 
 
-@query(dk.with_fx("select project, commit_id, ref_pos, class_pos, old_path as path, class, concat('b', event_id) as parent_id, level from tgt"))
+@query(dk.with_fx("select project, commit_id, ref_pos, class_pos, old_path as path, class, concat('b', event_id) as parent_id, level from tgt"), prepare=True)
 def label_targets(spark, sf):
     rows = _targets(spark, sf)
     return rows.select("project", "commit_id", "ref_pos", "class_pos", "path", "class", "parent_id", "level")
@@ -377,8 +382,7 @@ def _scaled(sql: str) -> str:
     dk.with_fx(
         "select project, commit_id, ref_pos, class_pos, old_path as \"filePath\", class as \"className\", "
         f"class_pos = 1 as \"isInnerClass\", {_scaled(_class_metric_sql())} from tgt"
-    )
-)
+    ), prepare=True)
 def label_class_join(spark, sf):
     found = ins.label_class_join(_targets(spark, sf), vw.ck_classes(spark, sf))
     return found.select("project", "commit_id", "ref_pos", "class_pos", F.col("path").alias("filePath"), "className", "classMetrics.*")
@@ -392,8 +396,7 @@ def _found_methods(spark, sf):
     dk.with_fx(
         "select project, commit_id, ref_pos, class_pos, level, concat('m', meth, '/2[T', user_id % 9, ',Map]') as full_name, "
         "10 * meth as start_line from inst where level in (2, 3)"
-    )
-)
+    ), prepare=True)
 def label_method_join(spark, sf):
     m = ins.method_metric(F.col("method"))
     rows = _found_methods(spark, sf).filter(F.col("level").isin(2, 3))
@@ -407,8 +410,7 @@ def label_method_join(spark, sf):
     dk.with_fx(
         "select project, commit_id, ref_pos, class_pos, element_name, "
         "case element_name when 'e0' then meth when 'e1' then meth + 1 else -1 end as appearances from inst where level = 3"
-    )
-)
+    ), prepare=True)
 def variable_appearances(spark, sf):
     rows = _found_methods(spark, sf).filter("level = 3")
     uses = ins.variable_appearances(F.col("method"), F.col("element_name"))
@@ -421,7 +423,7 @@ FIELD_SQL = (
 )
 
 
-@query(dk.with_fx(f"select project, commit_id, ref_pos, class_pos, element_name, {FIELD_SQL} as appearances from inst where level = 4"))
+@query(dk.with_fx(f"select project, commit_id, ref_pos, class_pos, element_name, {FIELD_SQL} as appearances from inst where level = 4"), prepare=True)
 def field_appearances(spark, sf):
     rows = _found_methods(spark, sf).filter("level = 4")
     uses = ins.field_appearances(F.col("methods"), F.col("element_name"))
@@ -440,7 +442,7 @@ INST_SQL = (
 )
 
 
-@query(dk.with_fx(INST_SQL))
+@query(dk.with_fx(INST_SQL), prepare=True)
 def refactoring_instances(spark, sf):
     return _instances(spark, sf).select(
         "project", "commit_id", "ref_pos", "class_pos", "filePath", "className", "isTest", "level",
@@ -454,8 +456,7 @@ def refactoring_instances(spark, sf):
     dk.with_fx(
         "select project, commit_id, ref_pos, class_pos, level from tgt "
         "where level in (2, 3) and event_id % 3 >= event_id % 4"
-    )
-)
+    ), prepare=True)
 def labels_without_metrics(spark, sf):
     rows = ins.labels_without_metrics(_targets(spark, sf), _instances(spark, sf))
     return rows.select("project", "commit_id", "ref_pos", "class_pos", "level")
@@ -475,8 +476,7 @@ MINED = [dk.events_cte("inst"), dk.replay_cte(CUTS)]
         "from inst i join st on st.user_id = i.user_id and st.walk_pos = i.walk_pos and st.phase = 1 "
         "left join aut on aut.user_id = st.user_id and aut.n = st.n",
         *MINED, dk.AUTHORS,
-    )
-)
+    ), prepare=True)
 def label_process_asof(spark, sf):
     rows = _mined(spark, sf).instances
     return _flat_metrics(rows, "project", "commit_id", "ref_pos", "class_pos", "filePath")
@@ -514,7 +514,7 @@ def _units(rows):
     )
 
 
-@query(dk.with_fx(UNIT_SELECT, *MINED, UNITS))
+@query(dk.with_fx(UNIT_SELECT, *MINED, UNITS), prepare=True)
 def stable_rows(spark, sf):
     return _units(_mined(spark, sf).stable)
 
@@ -524,8 +524,7 @@ def stable_rows(spark, sf):
         "select 'refactoring' as kind, project, level, count(*) as rows_found, sum(cast(class_pos as bigint)) as check_sum from inst group by all "
         "union all select 'stable', project, level, count(*), cast(sum(fired) as bigint) from unit group by all",
         *MINED, UNITS,
-    )
-)
+    ), prepare=True)
 def training_set(spark, sf):
     rows = _mined(spark, sf).training_set()
     return rows.groupBy("kind", "project", "level").agg(
@@ -539,8 +538,7 @@ def training_set(spark, sf):
         "select st.project, st.path, st.commit_id as stable_commit, st.fire_base as base_commit from st "
         "join chg b on b.commit_id = st.fire_base where st.fired is not null and st.path <> b.new_path",
         *REP,
-    )
-)
+    ), prepare=True)
 def stable_without_source(spark, sf):
     """Firings whose file had another name at the base commit: no row, only a report."""
     stable = stb.stable_files(_history(spark, sf), CUTS)
@@ -727,8 +725,7 @@ def _snapshots(spark, sf):
         "select distinct project, commit_id, ref_pos, class_pos, 'before' as side, string_split(old_path, '/')[-1] as file_name, "
         "concat('b', event_id, ' ', message) as text from inst union all "
         "select project, commit_id, ref_pos, class_pos, 'after', string_split(new_path, '/')[-1], concat(commit_id, ' ', message) from inst"
-    )
-)
+    ), prepare=True)
 def source_archive(spark, sf):
     instances = staged(_instances(spark, sf).select(*lb.LABEL, "class_pos", "match_pos", "id"))
     texts = inv.source_archive(instances, vw.labels(spark, sf), vw.commits(spark, sf), _snapshots(spark, sf))
@@ -741,8 +738,7 @@ def source_archive(spark, sf):
         "select st.project, st.fire_base as commit_id, st.path, st.fired, 'not-refactored' as side, concat(b.commit_id, ' ', b.message) as text "
         "from st join chg b on b.commit_id = st.fire_base where st.fired is not null and st.path = b.new_path",
         *REP,
-    )
-)
+    ), prepare=True)
 def stable_archive(spark, sf):
     stable = stb.stable_files(_history(spark, sf), CUTS)
     return inv.stable_archive(stable, _snapshots(spark, sf)).withColumn("fired", F.col("fired").cast("bigint"))
@@ -846,8 +842,7 @@ LIMIT = 2
     dk.with_fx(
         "select project, commit_id, ref_pos, class_pos, class as \"className\", not exists (select 1 from (select commit_id as c, class from inst "
         f"group by all having count(*) >= {LIMIT}) x where x.c = inst.commit_id) as \"isValid\" from inst"
-    )
-)
+    ), prepare=True)
 def mark_invalid(spark, sf):
     rows = ql.mark_invalid(_instances(spark, sf), LIMIT)
     return rows.select("project", "commit_id", "ref_pos", "class_pos", "className", "isValid")
@@ -857,8 +852,7 @@ def mark_invalid(spark, sf):
     dk.with_fx(
         "select project, commit_id, ref_pos, class_pos from inst where not exists (select 1 from (select commit_id as c, class from inst "
         f"group by all having count(*) >= {LIMIT}) x where x.c = inst.commit_id)"
-    )
-)
+    ), prepare=True)
 def valid_instances(spark, sf):
     rows = ql.valid_instances(ql.mark_invalid(_instances(spark, sf), LIMIT))
     return rows.select("project", "commit_id", "ref_pos", "class_pos")
@@ -868,8 +862,7 @@ def valid_instances(spark, sf):
     dk.with_fx(
         "select project, cast(sum(c) as bigint) as rows, count(*) as distinct_rows, cast(sum(c) - count(*) as bigint) as duplicates from "
         "(select project, commit_id, class, level, count(*) as c from inst group by all) group by project"
-    )
-)
+    ), prepare=True)
 def duplicate_instances(spark, sf):
     return ql.duplicate_instances(_instances(spark, sf), ["project", "commit_id", "className", "level"])
 
@@ -877,8 +870,7 @@ def duplicate_instances(spark, sf):
 @query(
     dk.with_fx(
         "select project, user_id % 4 = 0 as \"isTest\", count(distinct class) as classes, count(distinct old_path) as files from inst group by all"
-    )
-)
+    ), prepare=True)
 def distinct_names(spark, sf):
     return ql.distinct_names(_instances(spark, sf))
 
@@ -888,8 +880,7 @@ def distinct_names(spark, sf):
         "select project, commit_id, 'not used' as problem from com where commit_id not in (select commit_id from inst) "
         "and commit_id not in (select fire_base from st where fired is not null)",
         COMMITS_CTE, *REP,
-    )
-)
+    ), prepare=True)
 def orphan_commits(spark, sf):
     stable = stb.stable_files(_history(spark, sf), CUTS).select("project", F.col("base_commit").alias("commit_id"))
     return ql.orphan_commits(_instances(spark, sf), stable, _processed(spark, sf))
@@ -989,8 +980,7 @@ def quarantine(spark, sf):
         "left join (select project, count(*) as c from st where fired is not null group by 1) t on t.project = p.project "
         "left join (select project, fired, count(*) as c from st where fired is not null group by 1, 2) s on s.project = p.project and s.fired = p.threshold",
         *REP,
-    )
-)
+    ), prepare=True)
 def project_stats(spark, sf):
     stable = stb.stable_files(_history(spark, sf), CUTS).select("project", F.col("fired").alias("commitThreshold"))
     projects = vw.commits(spark, sf).select("project").distinct().withColumn("thresholds", F.array(*[F.lit(t) for t in (2, 5, 9)]))

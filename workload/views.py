@@ -8,11 +8,14 @@ commit over several files), or of ``documents``, ``pages`` and other tables.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codehist.plans.ordered import running
 from codehist.schemas import CLASS_METRICS, COHESION, LABEL_TYPES, METHOD_METRICS
+from codehist.session import staged
 
 TYPES = [t for types in LABEL_TYPES.values() for t in types]
 
@@ -38,8 +41,23 @@ def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
 
 
+_prepared: dict[str, DataFrame] = {}
+
+
+@contextmanager
+def prepared(spark: SparkSession, sf: str):
+    """Write the numbered events once for a query that needs them several times."""
+    _prepared[sf] = staged(fx(spark, sf))
+    try:
+        yield
+    finally:
+        del _prepared[sf]
+
+
 def fx(spark: SparkSession, sf: str) -> DataFrame:
     """Events with ``ver``, the number of renames of their file so far."""
+    if sf in _prepared:
+        return _prepared[sf]
     rows = read(spark, sf, "events").selectExpr(*_split(EVENT_SQL))
     return running(rows, ["user_id"], "walk_pos", ["walk_pos"], {"ver": F.col("is_rename").cast("int")})
 
