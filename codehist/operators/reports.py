@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 # Line formats of the run logs.
 FINISHED = r"Finished mining http.+ in [0-9]+.[0-9]+ minutes"
-FINISHED_MINUTES = r"Finished mining http.+ in ([0-9]+\.[0-9]+) minutes"
+FINISHED_MINUTES = r"Finished mining http.+ in ([0-9]+.[0-9]+) minutes"
 FOUND = r"Found ([0-9]+) refactoring- and ([0-9]+) stable instances"
 FOUND_AT = r"Found ([0-9]+) stable instances in the project with threshold: ([0-9]+)"
-EXCEPTION = r"^(([a-zA-Z]+.)+Exception):"
+# letters, with single other characters between them: all an exception name may hold
+NAME_RUN = r"^(?:[a-zA-Z]++[^a-zA-Z]?+)++"
+EXCEPTION = r"^(..+Exception):"
 ERROR_SITE = r"[a-zA-Z0-9_-]+ [0-9-]+ [0-9:]+ ERROR ([a-zA-Z]+:[0-9]+)"
 OUT_OF_MEMORY = "java.lang.OutOfMemoryError:"
 COMMIT_TIME = r"Processing commit ([a-zA-Z0-9]+) took ([0-9]+) milliseconds\."
@@ -54,9 +56,9 @@ def project_stats(instances: DataFrame, stable: DataFrame, projects: DataFrame)
 
 def run_totals(log: DataFrame) -> DataFrame:
     """Projects, minutes, refactoring and stable rows of all finished runs."""
-    minutes = F.when(F.col("line").rlike(FINISHED_MINUTES), _group(FINISHED_MINUTES, 1).cast("double"))
+    minutes = F.when(F.col("line").rlike(FINISHED), _group(FINISHED_MINUTES, 1).try_cast("double"))
     return log.agg(
-        F.count(minutes).alias("projects"),
+        F.count_if(F.col("line").rlike(FINISHED)).alias("projects"),
         F.coalesce(F.sum(minutes), F.lit(0.0)).alias("minutes"),
         F.coalesce(F.sum(_number(FOUND, 1)), F.lit(0)).alias("refactorings"),
         F.coalesce(F.sum(_number(FOUND, 2)), F.lit(0)).alias("stable"),
@@ -83,8 +85,11 @@ def _with_totals(sites: DataFrame, name: str) -> DataFrame:
 
 def exception_counts(log: DataFrame) -> DataFrame:
     """Logged exceptions by class, with a total row (class null)."""
-    hits = log.filter(F.col("line").rlike(EXCEPTION))
-    return _with_totals(hits.select(_group(EXCEPTION, 1).alias("exception")), "exception")
+    run = _group(NAME_RUN, 0)
+    names = log.filter(F.col("line").contains("Exception:")).select(
+        F.regexp_extract(run, EXCEPTION, 1).alias("exception")
+    )
+    return _with_totals(names.filter("exception <> ''"), "exception")
 
 
 def error_sites(error_log: DataFrame, terminal_log: DataFrame) -> DataFrame:

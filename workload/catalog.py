@@ -985,3 +985,110 @@ def project_stats(spark, sf):
     stable = stb.stable_files(_history(spark, sf), CUTS).select("project", F.col("fired").alias("commitThreshold"))
     projects = vw.commits(spark, sf).select("project").distinct().withColumn("thresholds", F.array(*[F.lit(t) for t in (2, 5, 9)]))
     return rp.project_stats(_instances(spark, sf), stable, projects)
+
+
+# --- run logs -------------------------------------------------------------------
+
+
+def _info(body: str) -> str:
+    return f"with log as (select k, page_id, {vw.INFO_SQL} from pages join range(20) r(k) on true) {body}"
+
+
+def _debug(body: str, *ctes: str) -> str:
+    return f"with {', '.join([f'log as (select event_id, event_type, value, {vw.DEBUG_SQL} from events)', *ctes])} {body}"
+
+
+@query(
+    _info(
+        "select count(*) filter (where k = 0) as projects, round(sum(case when k = 0 then cast(concat(page_id % 50, '.', page_id % 7) as double) else 0 end), 6) as minutes, "
+        "cast(sum(case when k = 1 then page_id % 90 else 0 end) as bigint) as refactorings, cast(sum(case when k = 1 then page_id % 70 else 0 end) as bigint) as stable from log"
+    )
+)
+def run_totals(spark, sf):
+    return rp.run_totals(vw.info_log(spark, sf)).withColumn("minutes", F.round("minutes", 6))
+
+
+@query(
+    _info(
+        "select t.threshold, cast(coalesce(sum(n), 0) as bigint) as stable from (select unnest([15, 20, 25, 30, 35, 40, 45, 50, 60, 70, 80, 90, 100]) as threshold) t "
+        "left join (select 15 + 5 * (page_id % 8) as threshold, page_id % 40 as n from log where k = 2 "
+        "union all select 60 + 10 * (page_id % 5), page_id % 30 from log where k = 3) x using (threshold) group by 1"
+    )
+)
+def threshold_totals(spark, sf):
+    return rp.threshold_totals(vw.info_log(spark, sf))
+
+
+@query(_info("select file, line_no, line from log where k <= 15"))
+def project_blocks(spark, sf):
+    return rp.project_blocks(vw.info_log(spark, sf))
+
+
+@query(
+    _info(
+        "select cast(sum(case when k = 4 then page_id when k > 4 then 1 else 0 end) as bigint) as commits, cast(sum(case when k = 4 then page_id % 11 else 0 end) as bigint) as production_files, "
+        "cast(sum(case when k = 4 then page_id % 5 else 0 end) as bigint) as test_files, cast(sum(case when k = 4 then page_id * 10 else 0 end) as bigint) as java_loc, "
+        "round(sum(case when k = 0 then cast(concat(page_id % 50, '.', page_id % 7) as double) else 0 end) / sum(case when k = 4 then page_id when k > 4 then 1 else 0 end) * 60000, 4) as millis_per_commit "
+        "from log where k <= 15"
+    )
+)
+def project_totals(spark, sf):
+    log = vw.info_log(spark, sf)
+    rows = rp.project_totals(rp.project_blocks(log), rp.run_totals(log))
+    return rows.withColumn("millis_per_commit", F.round("millis_per_commit", 4))
+
+
+@query(
+    _debug(
+        "select case when event_id % 2 = 0 then 'java.lang.IllegalStateException' else 'java.lang.RuntimeException' end as exception, count(*) as n, 1 as distinct_names "
+        "from x group by 1 union all select null, count(*), count(distinct event_id % 2) from x",
+        "x as (select * from log where event_type = 'error' and event_id % 3 = 1)",
+    )
+)
+def exception_counts(spark, sf):
+    return rp.exception_counts(vw.debug_log(spark, sf))
+
+
+@query(
+    _debug(
+        "select site, count(*) as n, 1 as distinct_names from x group by 1 union all select null, count(*), count(distinct site) from x",
+        "x as (select case when event_id % 3 = 0 then concat('Walker:', event_id % 7) else 'java.lang.OutOfMemoryError' end as site "
+        "from log where event_type = 'error' and event_id % 3 <> 1)",
+    )
+)
+def error_sites(spark, sf):
+    log = vw.debug_log(spark, sf)
+    return rp.error_sites(log, log)
+
+
+@query(
+    _debug(
+        "select concat('c', event_id) as commit_id, ms as millis, commits, total_millis, average_millis, e.e as \"end\" from x, "
+        "(select count(*) as commits, cast(sum(ms) as bigint) as total_millis, cast(sum(ms) // count(*) as bigint) as average_millis, min(ms) as lo, max(ms) as hi from x) t, "
+        "(values ('fastest'), ('slowest')) e(e) where ms = case e.e when 'fastest' then lo else hi end",
+        "x as (select event_id, cast(floor(value * 10) as bigint) as ms from log where event_type <> 'error')",
+    )
+)
+def commit_timing(spark, sf):
+    return rp.commit_timing(vw.debug_log(spark, sf))
+
+
+@query(
+    dk.with_fx(
+        "select x.project, concat(commits, ' ', last_commit_hash, ' ', n) as counts, git_url as \"gitUrl\", '[20, 50]' as \"commitCountThresholds\", "
+        "not starts_with(git_url, 'https') as \"isLocal\" from (select project, count(*) as commits, arg_max(commit_id, walk_pos) as last_commit_hash from fx0 group by 1) x "
+        "join prj using (project) join (select project, count(*) as n from src where lower(path) like '%.java' group by 1) f using (project)",
+        PROJECTS_CTE, dk.SOURCES,
+    )
+)
+def project_table(spark, sf):
+    asked = _projects(spark, sf).selectExpr(
+        "project", "'set' as dataset", "git_url", "timestamp '2024-01-01 00:00:00' as date_of_processing", "cast(null as bigint) as size_in_bytes"
+    )
+    rows = cm.project_table(
+        asked, cm.commit_totals(vw.commits(spark, sf)), inv.project_inventory(vw.source_files(spark, sf)), "50, 20"
+    )
+    files = F.col("numberOfProductionFiles") + F.col("numberOfTestFiles")
+    return rows.select(
+        "project", F.concat_ws(" ", "commits", "lastCommitHash", files).alias("counts"), "gitUrl", "commitCountThresholds", "isLocal"
+    )

@@ -253,3 +253,33 @@ SOURCES_SQL = """
 
 def source_files(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "documents").selectExpr(*_split(SOURCES_SQL))
+
+
+# twenty log lines per page: the end of a run, then other work
+INFO_SQL = """
+  concat('info', page_id % 3) as file, page_id // 3 * 20 + k + 1 as line_no,
+  case k
+    when 0 then concat('w1 2024-01-01 00:00:00 INFO Runner:371 Finished mining ', url, ' in ', page_id % 50, '.', page_id % 7, ' minutes')
+    when 1 then concat('Found ', page_id % 90, ' refactoring- and ', page_id % 70, ' stable instances in the project.')
+    when 2 then concat('  Found ', page_id % 40, ' stable instances in the project with threshold: ', 15 + 5 * (page_id % 8))
+    when 3 then concat('  Found ', page_id % 30, ' stable instances in the project with threshold: ', 60 + 10 * (page_id % 5))
+    when 4 then concat('Project{commits=', page_id, ', numberOfProductionFiles=', page_id % 11, ', numberOfTestFiles=', page_id % 5, ', javaLoc=', page_id * 10, '}')
+    else concat('w2 2024-01-01 00:00:00 INFO Walker:12 step ', k, ' commits=1') end as line
+"""
+# one line per event: the time of a commit, or an exception with its site
+DEBUG_SQL = """
+  concat('w', user_id % 3) as file, event_id as line_no,
+  case when event_type <> 'error' then concat('w', user_id % 3, ' 2024-01-01 00:00:00 DEBUG Walker:235 Processing commit c', event_id, ' took ', cast(floor(value * 10) as bigint), ' milliseconds.')
+    when event_id % 3 = 0 then concat('w', user_id % 3, ' 2024-01-01 00:00:00 ERROR Walker:', event_id % 7, ' failed at c', event_id)
+    when event_id % 3 = 1 then concat('java.lang.', case when event_id % 2 = 0 then 'IllegalState' else 'Runtime' end, 'Exception: at c', event_id)
+    else concat('java.lang.OutOfMemoryError: heap of c', event_id) end as line
+"""
+
+
+def info_log(spark: SparkSession, sf: str) -> DataFrame:
+    rows = read(spark, sf, "pages").selectExpr("*", "explode(sequence(0, 19)) as k")
+    return rows.selectExpr(*_split(INFO_SQL.replace("//", "div")))
+
+
+def debug_log(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "events").selectExpr(*_split(DEBUG_SQL))
