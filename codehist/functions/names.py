@@ -182,13 +182,22 @@ def full_method_name(name: Column, types: Column, dims: Column) -> Column:
     return F.concat(name, F.lit("/"), F.size(types).cast("string"), brackets)
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def _without_generics(text: Column) -> Column:
     """Remove ``<...>`` pairs, innermost first; null if one stays open."""
     depth = F.length(text) - F.length(F.replace(text, F.lit("<"), F.lit("")))
     flat = F.reduce(
         F.array_repeat(F.lit(0), depth), text, lambda t, _: F.regexp_replace(t, "<[^<>]*>", "")
     )
-    return F.when(~flat.contains("<"), flat)
+    return F.when(text.contains("<"), _let(flat, lambda t: F.when(~t.contains("<"), t))).otherwise(text)
+
+
+def _simple_parameter(p: Column) -> Column:
+    return F.when(p.contains("."), F.nullif(_last_part(p, "."), F.lit(""))).otherwise(p)
 
 
 def simplify_method_name(name: Column) -> Column:
@@ -199,19 +208,22 @@ def simplify_method_name(name: Column) -> Column:
     """
     left = F.substring_index(name, "[", 1)
     at = F.instr(name, "[")
-    right = F.substring(name, at + 1, F.length(name) - at - 1)
-    bare = F.regexp_replace(_trim(_without_generics(clean_dollar(right))), "@.* ", "")
-    # empty parameters at the end do not count, unless the list is empty anyway
-    kept = F.regexp_replace(bare, r",+\z", "")
-    params = F.transform(
-        F.split(kept, ","),
-        lambda p: F.when(p.contains("."), F.nullif(_last_part(p, "."), F.lit(""))).otherwise(p),
-    )
-    joined = F.when(
-        ~F.exists(params, lambda p: p.isNull()), F.concat(left, F.lit("["), F.array_join(params, ","), F.lit("]"))
-    )
-    only_commas = (kept == "") & (bare != "")
-    return F.when(~name.contains("["), name).when(only_commas, left).otherwise(joined)
+    right = clean_dollar(F.substring(name, at + 1, F.length(name) - at - 1))
+    bare = F.regexp_replace(_trim(_let(right, _without_generics)), "@.* ", "")
+
+    def brackets(bare: Column) -> Column:
+        # empty parameters at the end do not count, unless the list is empty anyway
+        kept = F.regexp_replace(bare, r",+\z", "")
+        params = F.transform(F.split(kept, ","), _simple_parameter)
+        listed = _let(
+            params,
+            lambda ps: F.when(
+                ~F.exists(ps, lambda p: p.isNull()), F.concat(F.lit("["), F.array_join(ps, ","), F.lit("]"))
+            ),
+        )
+        return F.when((bare != "") & (kept == ""), F.lit("")).otherwise(listed)
+
+    return F.when(~name.contains("["), name).otherwise(F.concat(left, _let(bare, brackets)))
 
 
 # --- label types -------------------------------------------------------------

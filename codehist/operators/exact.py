@@ -36,7 +36,7 @@ TABLE_SCHEMA = (
 START_SCHEMA = "project string, lineage string, _blk bigint, c bigint, i int, done bigint"
 CYCLE_SCHEMA = (
     "project string, lineage string, walk_pos bigint, phase int, pos bigint, "
-    "since_base bigint, fired int, cycles bigint"
+    "since_base bigint, fired int, step int, cycles bigint"
 )
 
 
@@ -65,7 +65,8 @@ def _block_table(pdf: pd.DataFrame, cuts: np.ndarray) -> dict:
 def _chain(pdf: pd.DataFrame, cuts: np.ndarray) -> pd.DataFrame:
     """Start state of the block after each table."""
     top, k = cuts[-1], len(cuts)
-    c, i, done, out = 0, 0, 0, []
+    c, i, done = (int(v) for v in pdf[["c0", "i0", "done0"]].iloc[0])
+    out = []
     for row in pdf.sort_values("_blk").itertuples(index=False):
         s = min(c, top) * k + i
         c = c + row.cnt if row.base[s] < 0 else row.cnt - row.base[s]
@@ -76,7 +77,7 @@ def _chain(pdf: pd.DataFrame, cuts: np.ndarray) -> pd.DataFrame:
 
 def _replay(pdf: pd.DataFrame, cuts: Sequence[int]) -> pd.DataFrame:
     k, (c, i, done) = len(cuts), (int(v) for v in pdf[["c", "i", "done"]].iloc[0])
-    since, fired, cycles = [], [], []
+    since, fired, steps, cycles = [], [], [], []
     for phase, resets, clears in pdf[["phase", "resets", "clears"]].itertuples(index=False):
         hit, place = None, None
         if resets:
@@ -92,15 +93,21 @@ def _replay(pdf: pd.DataFrame, cuts: Sequence[int]) -> pd.DataFrame:
                 c, i, done = 0, 0, done + 1
         since.append(c if place is None else place)
         fired.append(hit)
+        steps.append(i)
         cycles.append(done)
     out = pdf[[*FILE, *ORDER]].copy()
-    out["since_base"], out["cycles"] = since, cycles
+    out["since_base"], out["step"], out["cycles"] = since, steps, cycles
     out["fired"] = pd.array(fired, dtype="Int32")
-    return out[[*FILE, *ORDER, "since_base", "fired", "cycles"]]
+    return out[[*FILE, *ORDER, "since_base", "fired", "step", "cycles"]]
 
 
-def exact_cycles(events: DataFrame, thresholds: Sequence[int], block: int = BLOCK) -> DataFrame:
-    """Per event: changes since the base, the threshold fired, cycles finished."""
+def exact_cycles(
+    events: DataFrame, thresholds: Sequence[int], block: int = BLOCK, carry: DataFrame | None = None
+) -> DataFrame:
+    """Per event: changes since the base, the threshold fired, cycles finished.
+
+    ``carry`` holds the state (c, i, done) files start from; zero without it.
+    """
     cuts = sorted(set(int(t) for t in thresholds))
     arr = np.array(cuts)
     ev = events.select(*FILE, *EVENT).withColumn("_blk", block_of("walk_pos", block))
@@ -112,24 +119,35 @@ def exact_cycles(events: DataFrame, thresholds: Sequence[int], block: int = BLOC
         key = pdf.iloc[0][AT].to_dict()
         return pd.DataFrame([key | {n: v if n == "cnt" else [int(x) for x in v] for n, v in row.items()}])
 
+    first = ["c0", "i0", "done0"]
+    if carry is None:
+        begin = lambda df: df.withColumns({n: F.lit(0) for n in first})
+    else:
+        given = carry.select(*FILE, *[F.col(n[:-1]).alias(n) for n in first])
+        begin = lambda df: df.join(given, FILE, "left").na.fill(0, first)
     tables = ev.join(blocks, AT, "left_semi").groupBy(*AT).applyInPandas(to_table, TABLE_SCHEMA)
     starts = (
-        tables.join(blocks, AT)
+        begin(tables.join(blocks, AT))
         .groupBy(*FILE)
         .applyInPandas(lambda pdf: _chain(pdf, arr), START_SCHEMA)
     )
-    ready = ev.join(starts, AT, "left").na.fill(0, ["c", "i", "done"])
+    ready = begin(ev.join(starts, AT, "left"))
+    ready = ready.withColumns({n[:-1]: F.coalesce(n[:-1], n) for n in first})
     return ready.groupBy(*AT).applyInPandas(
         lambda pdf: _replay(pdf.sort_values(ORDER), cuts), CYCLE_SCHEMA
     )
 
 
 def with_exact_cycles(
-    history: DataFrame, events: DataFrame, thresholds: Sequence[int], block: int = BLOCK
+    history: DataFrame,
+    events: DataFrame,
+    thresholds: Sequence[int],
+    block: int = BLOCK,
+    carry: DataFrame | None = None,
 ) -> DataFrame:
     """Replace the closed form in ``history`` by the replayed cycle."""
-    cycles = exact_cycles(events, thresholds, block)
-    rows = history.drop("since_base", "fired").join(cycles, [*FILE, *ORDER])
+    cycles = exact_cycles(events, thresholds, block, carry).withColumn("exact", F.lit(True))
+    rows = history.drop("since_base", "fired", "step", "exact").join(cycles, [*FILE, *ORDER])
     return rows.withColumns(
         {"base_n": F.col("n") - F.col("since_base"), "refactorings": F.col("resets_total") + F.col("cycles")}
     ).select(*history.columns)

@@ -14,6 +14,7 @@ no task sees more than one block of a file.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +24,14 @@ from codehist.operators.exact import with_exact_cycles
 from codehist.plans.ordered import BLOCK, before, block_of, so_far
 from codehist.session import staged
 
+@dataclass
+class Carry:
+    """State to continue from: one row per file, and per file and author."""
+
+    files: DataFrame
+    authors: DataFrame
+
+
 FILE = ["project", "lineage"]
 AT = [*FILE, "_blk"]
 TOTALS = {"n": "_chg", "lines_added": "added", "lines_deleted": "deleted", "bug_fixes": "is_bug"}
@@ -65,11 +74,29 @@ def _block_summary(ev: DataFrame, top: int) -> DataFrame:
     )
 
 
-def _openings(ev: DataFrame, top: int) -> DataFrame:
+def _carried(carry: DataFrame, ev: DataFrame) -> DataFrame:
+    """Rows of a carried state for the files of this log, as block -1."""
+    here = ev.select(*FILE).distinct()
+    return carry.join(here, FILE, "left_semi").withColumn("_blk", F.lit(-1).cast("bigint"))
+
+
+def _openings(ev: DataFrame, top: int, carry: DataFrame | None) -> DataFrame:
     """Opening rows: what a file's earlier blocks add up to."""
     prev = before(*FILE, order=["_blk"])
     names = [*TOTALS, "resets_total"]
-    per = _block_summary(ev, top)
+    per = _block_summary(ev, top).withColumn("_given", F.lit(None).cast("bigint"))
+    if carry is not None:
+        at = [F.lit(0).cast(t).alias(c) for c, t in zip(ORDER, ("bigint", "int", "bigint"))]
+        origin = F.struct(*at, F.col("reset_commit").alias("commit_id"))
+        given = _carried(carry, ev).select(
+            *AT,
+            *names,
+            F.col("seg_base").alias("_last"),
+            F.col("closed").alias("_given"),
+            origin.alias("_reset_at"),
+            origin.alias("_born"),
+        )
+        per = per.unionByName(given, allowMissingColumns=True)
     per = per.withColumns(
         {f"_c_{n}": F.sum(n).over(prev) for n in names}
         | {"_c_reset_at": F.max("_reset_at").over(prev), "_c_born": F.min("_born").over(prev)}
@@ -81,7 +108,7 @@ def _openings(ev: DataFrame, top: int) -> DataFrame:
         F.col("_first").isNotNull(),
         _div(start - F.col("_base") + F.col("_first"), top) + F.col("_inner"),
     ).otherwise(0)
-    per = per.withColumn("_closed", closed)
+    per = per.withColumn("_closed", F.coalesce("_given", closed))
     per = per.withColumn("_closed", F.sum("_closed").over(prev))
     return per.filter("_c_n is not null").select(
         *AT,
@@ -94,12 +121,15 @@ def _openings(ev: DataFrame, top: int) -> DataFrame:
     )
 
 
-def _author_openings(ev: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _author_openings(ev: DataFrame, carry: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """Opening rows per (file, author, block) and per (file, block).
 
     Labels and renames have no author; they keep blocks without changes in.
     """
     by_author = ev.groupBy(*AT, "author").agg(F.sum("_chg").alias("_cnt"))
+    if carry is not None:
+        given = _carried(carry, ev).select(*AT, "author", F.col("k").alias("_cnt"))
+        by_author = by_author.unionByName(given)
     prior = F.coalesce(F.sum("_cnt").over(before(*FILE, "author", order=["_blk"])), F.lit(0))
     by_author = by_author.withColumn("_k", prior)
     own = by_author.filter("_k > 0 and author is not null").select(*AT, "author", "_k")
@@ -117,27 +147,35 @@ def file_history(
     thresholds: Sequence[int],
     authors: bool = False,
     block: int = BLOCK,
+    carry: Carry | None = None,
 ) -> DataFrame:
     """State of every file after each event.
 
     Files whose tracker forgot a fired threshold (a detector rename without a
     reset) are replayed, all others follow the closed form. The result is
-    written once, as it is looked at several times.
+    written once, as it is looked at several times. With ``carry`` the log
+    continues from an earlier state.
     """
-    history = staged(closed_form_history(events, thresholds, authors, block))
+    history = staged(closed_form_history(events, thresholds, authors, block, carry))
     forgot = (
         history.filter((F.col("clears") > 0) & (F.col("resets") == 0))
         .filter(F.col("since_base") >= min(thresholds))
         .select(*FILE)
         .distinct()
     )
+    if carry is not None:
+        earlier = carry.files.filter("exact").join(history, FILE, "left_semi").select(*FILE)
+        forgot = forgot.unionByName(earlier).distinct()
     if forgot.isEmpty():
-        return history.drop("resets_total")
+        return history
     replayed = with_exact_cycles(
-        history.join(forgot, FILE, "left_semi"), events.join(forgot, FILE, "left_semi"), thresholds, block
+        history.join(forgot, FILE, "left_semi"),
+        events.join(forgot, FILE, "left_semi"),
+        thresholds,
+        block,
+        carry.files if carry is not None else None,
     )
-    rest = history.join(forgot, FILE, "left_anti")
-    return rest.unionByName(replayed).drop("resets_total")
+    return history.join(forgot, FILE, "left_anti").unionByName(replayed)
 
 
 def closed_form_history(
@@ -145,6 +183,7 @@ def closed_form_history(
     thresholds: Sequence[int],
     authors: bool = False,
     block: int = BLOCK,
+    carry: Carry | None = None,
 ) -> DataFrame:
     """State of a file after each event by running totals, one row per event.
 
@@ -161,7 +200,7 @@ def closed_form_history(
     ev = events.withColumns(
         {"_blk": block_of("walk_pos", block), "_chg": (F.col("phase") == CHANGE).cast("int")}
     )
-    openings = _openings(ev, top)
+    openings = _openings(ev, top, carry.files if carry is not None else None)
     event = F.struct(*ORDER, "commit_id")
     body = ev.withColumns(
         {
@@ -173,7 +212,7 @@ def closed_form_history(
     )
     both = body.unionByName(openings.withColumn("_open", F.lit(True)), allowMissingColumns=True)
     if authors:
-        own, per = _author_openings(ev)
+        own, per = _author_openings(ev, carry.authors if carry is not None else None)
         both = both.withColumns(
             {"_k": F.col("_chg").cast("bigint"), "_seen": F.lit(None), "_top": F.lit(None)}
         ).withColumn("_k", F.when(F.col("_open"), 0).otherwise(F.col("_k")))
@@ -208,6 +247,10 @@ def closed_form_history(
     rows = rows.withColumn("base_n", F.col("seg_base") + cycle * top)
     rows = rows.withColumn("since_base", F.col("n") - F.col("base_n"))
     rows = rows.withColumn("fired", F.when(is_change & place.isin(cuts), place).cast("int"))
+    # thresholds passed in the running cycle
+    counter = F.when(F.col("fired") == top, 0).otherwise(F.col("since_base"))
+    passed = sum(((counter >= t).cast("int") for t in cuts[1:]), (counter >= cuts[0]).cast("int"))
+    rows = rows.withColumns({"step": passed, "exact": F.lit(False)})
     finished = F.coalesce("_closed", F.lit(0)) + _div(in_segment, top)
     out = rows.withColumns(
         {
@@ -218,7 +261,7 @@ def closed_form_history(
     columns = [
         "project", "lineage", "path", *ORDER, "commit_id", "resets", "clears", "author",
         "n", "lines_added", "lines_deleted", "bug_fixes", "resets_total", "refactorings",
-        "seg_base", "base_n", "since_base", "fired", "reset_commit",
+        "seg_base", "base_n", "since_base", "fired", "step", "exact", "reset_commit",
     ]
     if authors:
         out = out.withColumns(

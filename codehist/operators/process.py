@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codehist.operators.events import CHANGE, LABEL, ORDER
-from codehist.operators.history import FILE
+from codehist.operators.history import FILE, Carry
 from codehist.plans.ordered import BLOCK, block_of, opening_sums, running, so_far
 
 # output name: history column
@@ -34,7 +34,7 @@ def process_metrics(refactorings: Column | None = None) -> Column:
     )
 
 
-def author_stats(history: DataFrame, block: int = BLOCK) -> DataFrame:
+def author_stats(history: DataFrame, block: int = BLOCK, carry: Carry | None = None) -> DataFrame:
     """Add major, minor and ownership to a history with authors.
 
     Reads the history several times; ``file_history`` has it written already.
@@ -55,10 +55,16 @@ def author_stats(history: DataFrame, block: int = BLOCK) -> DataFrame:
                                    F.struct((20 * k + 1).alias("n"), F.lit(-1).alias("d"))))
         .otherwise(F.array())
     )
+    moves = history.filter(is_change).select(*FILE, F.explode(steps).alias("s"))
+    if carry is not None:
+        # an author who is major in the carried state stays so until commit 20 k
+        known = carry.files.join(history, FILE, "left_semi").select(*FILE, "n")
+        known = known.join(carry.authors, FILE).filter(20 * F.col("k") >= F.col("n"))
+        since = F.array(F.struct(n.alias("n"), F.lit(1).alias("d")),
+                        F.struct((20 * k + 1).alias("n"), F.lit(-1).alias("d")))
+        moves = moves.unionByName(known.select(*FILE, F.explode(since).alias("s")))
     delta = (
-        history.filter(is_change)
-        .select(*FILE, F.explode(steps).alias("s"))
-        .groupBy(*FILE, F.col("s.n").alias("n"))
+        moves.groupBy(*FILE, F.col("s.n").alias("n"))
         .agg(F.sum("s.d").cast("bigint").alias("_step"))
         .filter("_step <> 0")
         .withColumn("_blk", block_of("n", block))

@@ -12,47 +12,55 @@ from codehist.operators.history import FILE
 from codehist.operators.process import METRICS, latest_state, process_metrics
 
 
-def stable_files(history: DataFrame, thresholds: Sequence[int]) -> DataFrame:
-    """One row per firing, with the state at the commit the streak started from.
+def _metric_names(history: DataFrame) -> list[str]:
+    return [c for c in METRICS.values() if c in history.columns and c != "refactorings"]
 
-    That commit is the last reset (or the one that created the file), unless a
-    full cycle lies behind: then it is the change that ended the cycle. Both
-    are rows of the history, found by file and commit count. Metrics that the
-    history lacks (authors, minor, ...) are left out.
-    """
+
+def streak_starts(history: DataFrame, thresholds: Sequence[int]) -> DataFrame:
+    """Rows a streak may start from (resets, ends of cycles), by commit count."""
     top = max(thresholds)
-    names = [c for c in METRICS.values() if c in history.columns and c != "refactorings"]
-    starts = (
+    return (
         history.filter((F.col("fired") == top) | (F.col("resets") > 0))
         .groupBy(*FILE, F.col("n").alias("base_n"))
         .agg(
             F.max(F.when(F.col("fired") == top, F.col("commit_id"))).alias("_cycle_commit"),
-            *[F.max(c).alias(c) for c in names],
+            *[F.max(c).alias(c) for c in _metric_names(history)],
         )
     )
-    fired = history.filter(F.col("fired").isNotNull()).select(
-        *FILE,
-        "path",
-        *ORDER,
-        F.col("commit_id").alias("stable_commit"),
-        "fired",
-        "base_n",
-        "seg_base",
-        "reset_commit",
-        (F.col("refactorings") - (F.col("fired") == top).cast("int")).alias("refactorings"),
-    )
-    rows = fired.join(starts, [*FILE, "base_n"], "left")
+
+
+def with_streak_start(rows: DataFrame, starts: DataFrame) -> DataFrame:
+    """Add base_commit and the metrics as of base_n, zero at the very start."""
+    names = [c for c in starts.columns if c not in (*FILE, "base_n", "_cycle_commit")]
+    found = rows.drop(*names).join(starts, [*FILE, "base_n"], "left")
     in_cycle = F.col("base_n") > F.col("seg_base")
-    return rows.select(
-        *FILE,
-        "path",
-        *ORDER,
-        "stable_commit",
-        "fired",
-        F.when(in_cycle, F.col("_cycle_commit")).otherwise(F.col("reset_commit")).alias("base_commit"),
-        "base_n",
-        "refactorings",
-        *[F.coalesce(c, F.lit(0.0 if c == "ownership" else 0)).alias(c) for c in names],
+    return found.withColumns(
+        {"base_commit": F.when(in_cycle, F.col("_cycle_commit")).otherwise(F.col("reset_commit"))}
+        | {c: F.coalesce(c, F.lit(0.0 if c == "ownership" else 0)) for c in names}
+    ).drop("_cycle_commit")
+
+
+def stable_files(
+    history: DataFrame, thresholds: Sequence[int], earlier: DataFrame | None = None
+) -> DataFrame:
+    """One row per firing, with the state at the commit the streak started from.
+
+    That commit is the last reset (or the one that created the file), unless a
+    full cycle lies behind: then it is the change that ended the cycle. Both
+    are rows of the history, found by file and commit count; ``earlier`` holds
+    those from before the history. Metrics the history lacks are left out.
+    """
+    starts = streak_starts(history, thresholds)
+    if earlier is not None:
+        starts = starts.unionByName(earlier.select(starts.columns)).groupBy(*FILE, "base_n")
+        starts = starts.agg(*[F.max(c).alias(c) for c in ("_cycle_commit", *_metric_names(history))])
+    last = (F.col("fired") == max(thresholds)).cast("int")
+    fired = history.filter(F.col("fired").isNotNull()).withColumns(
+        {"stable_commit": F.col("commit_id"), "refactorings": F.col("refactorings") - last}
+    )
+    return with_streak_start(fired, starts).select(
+        *FILE, "path", *ORDER, "stable_commit", "fired", "base_commit", "base_n", "refactorings",
+        *_metric_names(history),
     )
 
 
