@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import wraps
 
@@ -23,9 +24,10 @@ from codehist.operators.exact import with_exact_cycles
 from codehist.operators.history import closed_form_history, file_history
 from codehist.operators.lineage import rename_lineage
 from codehist.plans.mining import history_events, mine
-from codehist.schemas import CLASS_METRICS, METHOD_METRICS
-from codehist.session import staged
-from codehist.sources.tables import project_lines
+from codehist.schemas import CLASS_METRICS, LEGACY_TYPES, METHOD_METRICS
+from codehist.session import shared_dir, staged
+from codehist.sources.tables import project_lines, write_rows
+from codehist.streaming.tracker import results, stream_file_state
 from workload import duck as dk
 from workload import views as vw
 
@@ -1092,3 +1094,60 @@ def project_table(spark, sf):
     return rows.select(
         "project", F.concat_ws(" ", "commits", "lastCommitHash", files).alias("counts"), "gitUrl", "commitCountThresholds", "isLocal"
     )
+
+
+# --- sink and stream ------------------------------------------------------------
+
+LEGACY_SQL = "(" + ", ".join(f"'{t}'" for t in LEGACY_TYPES) + ")"
+
+
+@query(dk.with_fx(f"select project, commit_id, ref_pos, type, level from lab where level > 0 and type in {LEGACY_SQL}"))
+def legacy_labels(spark, sf):
+    rows = lb.studied_refactorings(vw.labels(spark, sf), legacy_only=True)
+    return rows.select("project", "commit_id", "ref_pos", "type", "level")
+
+
+@query(dk.with_fx("select project, level, commit_id, ref_pos, class_pos, class as \"className\" from inst"), prepare=True)
+def write_instances(spark, sf):
+    """Instances written by project and level, and read back."""
+    path = f"{shared_dir(spark).rstrip('/')}/rows-{uuid.uuid4().hex}"
+    write_rows(_instances(spark, sf), path)
+    return spark.read.parquet(path).select("project", "level", "commit_id", "ref_pos", "class_pos", "className")
+
+
+@query(
+    "with ev as (select *, event_type = 'signup' and event_id % 3 = 0 as lab, concat('src/F', user_id, '.java') as path from events), "
+    "seg as (select *, row_number() over w as n, sum(cast(lab as int)) over w as labs from ev window w as (partition by user_id order by event_id)), "
+    "pos as (select *, row_number() over (partition by user_id, labs order by event_id) as m from seg) "
+    "select path, concat('c', event_id) as stable_commit, (m - 1) % 5 + 1 as fired, n - ((m - 1) % 5 + 1) as base_n "
+    "from pos where (m - 1) % 5 + 1 in (2, 5)",
+    "stream_file_state",
+)
+def _stream_file_state(spark, sf):
+    """The event table read as a stream: one project, one commit per event, no renames."""
+    schema = vw.read(spark, sf, "events").schema
+    rows = spark.readStream.schema(schema).parquet(f"{sf}/events*.parquet")
+    label = "event_type = 'signup' and event_id % 3 = 0"
+    phases = f"explode(case when {label} then array(0, 1, 4) else array(0, 4) end) as phase"
+    log = rows.selectExpr("*", phases, f"{label} as is_label").selectExpr(
+        "'p' as project",
+        "case when phase > 0 then concat('src/F', user_id, '.java') end as path",
+        "cast(null as string) as old_path",
+        "event_id + 1 as walk_pos",
+        "phase",
+        "0L as pos",
+        "concat('c', event_id) as commit_id",
+        # the marker counts the other rows of the commit
+        "case phase when 0 then if(is_label, 2L, 1L) when 1 then 1L else 0L end as resets",
+        "0 as clears",
+        "case when phase = 4 then concat('a', event_id % 13) end as author",
+        "case when phase = 4 then cast(floor(value) as bigint) else 0L end as added",
+        "0L as deleted",
+        "0 as is_bug",
+    )
+    folder = f"{shared_dir(spark).rstrip('/')}/tracker-{uuid.uuid4().hex}"
+    running = stream_file_state(log, folder, CUTS)
+    running.awaitTermination()
+    return results(spark, folder, "stable").select(
+        "path", "stable_commit", F.col("fired").cast("bigint").alias("fired"), F.col("base_n").cast("bigint").alias("base_n")
+    )
