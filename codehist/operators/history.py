@@ -132,7 +132,7 @@ def _author_openings(ev: DataFrame, carry: DataFrame | None) -> tuple[DataFrame,
         by_author = by_author.unionByName(given)
     prior = F.coalesce(F.sum("_cnt").over(before(*FILE, "author", order=["_blk"])), F.lit(0))
     by_author = by_author.withColumn("_k", prior)
-    own = by_author.filter("_k > 0 and author is not null").select(*AT, "author", "_k")
+    own = by_author.filter("_k > 0").select(*AT, "author", "_k")
     prev = before(*FILE, order=["_blk"])
     per = by_author.groupBy(*AT).agg(
         F.sum(((F.col("_k") == 0) & (F.col("_cnt") > 0)).cast("int")).alias("_new"),

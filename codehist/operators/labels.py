@@ -109,3 +109,13 @@ def missed_renames(changes: DataFrame, labels: DataFrame) -> DataFrame:
     return diff_renames(changes).join(
         detector_renames(labels), [*COMMIT, "old_path", "new_path"], "left_anti"
     )
+
+
+def broken_commits(labels: DataFrame) -> DataFrame:
+    """Commits with a class rename that lacks a class on one side.
+
+    Such a label fails the whole commit: it keeps its number, but none of its
+    rows and state changes.
+    """
+    empty = (F.coalesce(F.size("before"), F.lit(0)) <= 0) | (F.coalesce(F.size("after"), F.lit(0)) <= 0)
+    return labels.filter(is_class_rename(F.col("type")) & empty).select(*COMMIT).distinct()

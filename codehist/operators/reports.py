@@ -54,12 +54,16 @@ def project_stats(instances: DataFrame, stable: DataFrame, projects: DataFrame)
     )
 
 
+def _minutes() -> Column:
+    """Minutes of a finish line."""
+    return F.when(F.col("line").rlike(FINISHED), _group(FINISHED_MINUTES, 1).try_cast("double"))
+
+
 def run_totals(log: DataFrame) -> DataFrame:
     """Projects, minutes, refactoring and stable rows of all finished runs."""
-    minutes = F.when(F.col("line").rlike(FINISHED), _group(FINISHED_MINUTES, 1).try_cast("double"))
     return log.agg(
         F.count_if(F.col("line").rlike(FINISHED)).alias("projects"),
-        F.coalesce(F.sum(minutes), F.lit(0.0)).alias("minutes"),
+        F.coalesce(F.sum(_minutes()), F.lit(0.0)).alias("minutes"),
         F.coalesce(F.sum(_number(FOUND, 1)), F.lit(0)).alias("refactorings"),
         F.coalesce(F.sum(_number(FOUND, 2)), F.lit(0)).alias("stable"),
     )
@@ -115,27 +119,25 @@ def project_blocks(log: DataFrame, lines: int = BLOCK_LINES) -> DataFrame:
     return log.join(asked, ["file", "line_no"], "left_semi")
 
 
-def project_totals(blocks: DataFrame, minutes: DataFrame | None = None) -> DataFrame:
-    """Sums over the project lines of the finish blocks.
-
-    With the ``run_totals`` as ``minutes`` also the average time per commit.
-    """
+def project_totals(blocks: DataFrame) -> DataFrame:
+    """Sums over the lines of the finish blocks, and the average time per commit."""
 
     def total(name: str, alias: str) -> Column:
         found = F.regexp_extract_all("line", F.lit(f"{name}=([0-9]+)"), F.lit(1))
         numbers = F.transform(found, lambda x: x.cast("bigint"))
-        return F.coalesce(F.sum(F.reduce(numbers, F.lit(0).cast("bigint"), lambda a, b: a + b)), F.lit(0)).alias(alias)
+        return F.coalesce(
+            F.sum(F.reduce(numbers, F.lit(0).cast("bigint"), lambda a, b: a + b)), F.lit(0)
+        ).alias(alias)
 
     sums = blocks.agg(
         total("commits", "commits"),
         total("numberOfProductionFiles", "production_files"),
         total("numberOfTestFiles", "test_files"),
         total("javaLoc", "java_loc"),
+        F.sum(_minutes()).alias("_minutes"),
     )
-    if minutes is None:
-        return sums
-    per_commit = F.when(F.col("commits") > 0, F.col("minutes") / F.col("commits") * 60000)
-    return sums.crossJoin(minutes.select("minutes")).withColumn("millis_per_commit", per_commit).drop("minutes")
+    per_commit = F.when(F.col("commits") > 0, F.col("_minutes") / F.col("commits") * 60000)
+    return sums.withColumn("millis_per_commit", per_commit).drop("_minutes")
 
 
 def commit_times(log: DataFrame) -> DataFrame:

@@ -60,7 +60,7 @@ def mine(
     block: int = BLOCK,
 ) -> Mined:
     """``commits`` are the commits of the walk (or a range), ``changes`` carry churn."""
-    processed = without_merges(commits)
+    processed = without_merges(commits).join(lb.broken_commits(labels), lb.COMMIT, "left_anti")
     targets = lb.label_targets(processed, labels, changes)
     found = staged(refactoring_instances(targets, ck))
     resets = found.filter("match_pos = 1").select(*lb.COMMIT, F.col("filePath").alias("path"))

@@ -11,6 +11,7 @@ from codehist.operators.events import EVENT_COLUMNS, event_log
 from codehist.operators.history import file_history
 from codehist.operators.lineage import rename_lineage
 from codehist.operators.process import author_stats, latest_state
+from codehist.plans.mining import mine
 from codehist.plans.ordered import running
 from codehist.session import staged
 from codehist.sources import tables as tb
@@ -177,6 +178,20 @@ def test_labels_to_instances(spark):
         (c, level): n for c in ("x.A", "x.A.I") for level, n in ((1, 1), (2, 2), (3, 1), (4, 1))}
 
 
+def test_broken_commit_changes_nothing(spark):
+    commits = commit_rows(spark, [0, 1, 1])
+    changes = spark.createDataFrame(
+        [("p", f"c{i}", 0, "MODIFY", "A.java", "A.java", 1, 0) for i in (1, 2, 3)],
+        "project string, commit_id string, entry_pos int, change_type string, old_path string, new_path string, "
+        "lines_added long, lines_deleted long")
+    labels = spark.createDataFrame(
+        [label_row(0, "RENAME_CLASS", [], [("A.java", "x.A")])], schemas.REFACTORINGS)
+    metrics = spark.createDataFrame([], schemas.CK_CLASSES)
+    mined = mine(commits, changes, labels, metrics, (2,))
+    assert sorted((r.commit_id, r.n) for r in mined.history.collect()) == [("c1", 1), ("c3", 2)]
+    assert [r.reason for r in ql.quarantine(labels).collect()] == ["no class before"]
+
+
 def test_invalid_marks_whole_commits(spark):
     rows = [("p", "c1", "A")] * 3 + [("p", "c1", "B"), ("p", "c2", "A")]
     df = spark.createDataFrame(rows, "project string, commit_id string, className string").withColumn("isValid", F.lit(True))

@@ -1035,8 +1035,7 @@ def project_blocks(spark, sf):
     )
 )
 def project_totals(spark, sf):
-    log = vw.info_log(spark, sf)
-    rows = rp.project_totals(rp.project_blocks(log), rp.run_totals(log))
+    rows = rp.project_totals(rp.project_blocks(vw.info_log(spark, sf)))
     return rows.withColumn("millis_per_commit", F.round("millis_per_commit", 4))
 
 
