@@ -40,65 +40,86 @@ CYCLE_SCHEMA = (
 )
 
 
-def _block_table(pdf: pd.DataFrame, cuts: np.ndarray) -> dict:
+# The three functions below run inside tasks. They are closures, so that they
+# travel with the job and tasks need not find this package.
+
+
+def block_tables(cuts: Sequence[int]):
     """Follow all start states through the events of one block at once."""
-    top, k = cuts[-1], len(cuts)
-    c = np.repeat(np.arange(top + 1), k)
-    i = np.tile(np.arange(k), top + 1)
-    cycles, base = np.zeros_like(c), np.full_like(c, -1)
-    cnt = 0
-    for phase, resets, clears in pdf[["phase", "resets", "clears"]].itertuples(index=False):
-        if resets:
-            c[:], i[:], base[:] = 0, 0, cnt
-        elif clears:
-            i[:] = 0
-        elif phase == CHANGE:
-            cnt += 1
-            c = np.minimum(c + 1, top)
-            i = i + (c >= cuts[i])
-            full = i == k
-            c[full], i[full], base[full] = 0, 0, cnt
-            cycles += full
-    return {"cnt": cnt, "end_c": c, "end_i": i, "cycles": cycles, "base": base}
-
-
-def _chain(pdf: pd.DataFrame, cuts: np.ndarray) -> pd.DataFrame:
-    """Start state of the block after each table."""
-    top, k = cuts[-1], len(cuts)
-    c, i, done = (int(v) for v in pdf[["c0", "i0", "done0"]].iloc[0])
-    out = []
-    for row in pdf.sort_values("_blk").itertuples(index=False):
-        s = min(c, top) * k + i
-        c = c + row.cnt if row.base[s] < 0 else row.cnt - row.base[s]
-        i, done = row.end_i[s], done + row.cycles[s]
-        out.append((row.project, row.lineage, row.next_blk, c, i, done))
-    return pd.DataFrame(out, columns=[*AT, "c", "i", "done"])
-
-
-def _replay(pdf: pd.DataFrame, cuts: Sequence[int]) -> pd.DataFrame:
-    k, (c, i, done) = len(cuts), (int(v) for v in pdf[["c", "i", "done"]].iloc[0])
-    since, fired, steps, cycles = [], [], [], []
-    for phase, resets, clears in pdf[["phase", "resets", "clears"]].itertuples(index=False):
-        hit, place = None, None
-        if resets:
-            c, i = 0, 0
-        elif clears:
-            i = 0
-        elif phase == CHANGE:
-            c += 1
-            if c >= cuts[i]:
-                hit, i = cuts[i], i + 1
-            place = c
-            if i == k:
-                c, i, done = 0, 0, done + 1
-        since.append(c if place is None else place)
-        fired.append(hit)
-        steps.append(i)
-        cycles.append(done)
-    out = pdf[[*FILE, *ORDER]].copy()
-    out["since_base"], out["step"], out["cycles"] = since, steps, cycles
-    out["fired"] = pd.array(fired, dtype="Int32")
-    return out[[*FILE, *ORDER, "since_base", "fired", "step", "cycles"]]
+
+    def table(pdf: pd.DataFrame) -> pd.DataFrame:
+        bounds = np.array(cuts)
+        top, k = bounds[-1], len(bounds)
+        c = np.repeat(np.arange(top + 1), k)
+        i = np.tile(np.arange(k), top + 1)
+        cycles, base = np.zeros_like(c), np.full_like(c, -1)
+        cnt = 0
+        events = pdf.sort_values(ORDER)
+        for phase, resets, clears in zip(events["phase"], events["resets"], events["clears"]):
+            if resets:
+                c[:], i[:], base[:] = 0, 0, cnt
+            elif clears:
+                i[:] = 0
+            elif phase == CHANGE:
+                cnt += 1
+                c = np.minimum(c + 1, top)
+                i = i + (c >= bounds[i])
+                full = i == k
+                c[full], i[full], base[full] = 0, 0, cnt
+                cycles += full
+        row = {"cnt": cnt, "end_c": c.tolist(), "end_i": i.tolist(), "cycles": cycles.tolist(), "base": base.tolist()}
+        return pd.DataFrame([pdf.iloc[0][AT].to_dict() | row])
+
+    return table
+
+
+def block_starts(cuts: Sequence[int]):
+    """Start state of the block after each table of a file."""
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        top, k = cuts[-1], len(cuts)
+        c, i, done = (int(v) for v in pdf[["c0", "i0", "done0"]].iloc[0])
+        out = []
+        for row in pdf.sort_values("_blk").itertuples(index=False):
+            s = min(c, top) * k + i
+            c = c + row.cnt if row.base[s] < 0 else row.cnt - row.base[s]
+            i, done = row.end_i[s], done + row.cycles[s]
+            out.append((row.project, row.lineage, row.next_blk, c, i, done))
+        return pd.DataFrame(out, columns=[*AT, "c", "i", "done"])
+
+    return chain
+
+
+def block_replay(cuts: Sequence[int]):
+    """Replay the events of one block from its start state."""
+
+    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
+        k, (c, i, done) = len(cuts), (int(v) for v in pdf[["c", "i", "done"]].iloc[0])
+        events = pdf.sort_values(ORDER)
+        since, fired, steps, cycles = [], [], [], []
+        for phase, resets, clears in zip(events["phase"], events["resets"], events["clears"]):
+            hit, place = None, None
+            if resets:
+                c, i = 0, 0
+            elif clears:
+                i = 0
+            elif phase == CHANGE:
+                c += 1
+                if c >= cuts[i]:
+                    hit, i = cuts[i], i + 1
+                place = c
+                if i == k:
+                    c, i, done = 0, 0, done + 1
+            since.append(c if place is None else place)
+            fired.append(hit)
+            steps.append(i)
+            cycles.append(done)
+        out = events[[*FILE, *ORDER]].copy()
+        out["since_base"], out["step"], out["cycles"] = since, steps, cycles
+        out["fired"] = pd.array(fired, dtype="Int32")
+        return out[[*FILE, *ORDER, "since_base", "fired", "step", "cycles"]]
+
+    return replay
 
 
 def exact_cycles(
@@ -109,33 +130,25 @@ def exact_cycles(
     ``carry`` holds the state (c, i, done) files start from; zero without it.
     """
     cuts = sorted(set(int(t) for t in thresholds))
-    arr = np.array(cuts)
     ev = events.select(*FILE, *EVENT).withColumn("_blk", block_of("walk_pos", block))
     following = F.lead("_blk").over(Window.partitionBy(*FILE).orderBy("_blk"))
     blocks = ev.select(*AT).distinct().withColumn("next_blk", following).filter("next_blk is not null")
 
-    def to_table(pdf: pd.DataFrame) -> pd.DataFrame:
-        row = _block_table(pdf.sort_values(ORDER), arr)
-        key = pdf.iloc[0][AT].to_dict()
-        return pd.DataFrame([key | {n: v if n == "cnt" else [int(x) for x in v] for n, v in row.items()}])
-
     first = ["c0", "i0", "done0"]
     if carry is None:
         begin = lambda df: df.withColumns({n: F.lit(0) for n in first})
     else:
         given = carry.select(*FILE, *[F.col(n[:-1]).alias(n) for n in first])
         begin = lambda df: df.join(given, FILE, "left").na.fill(0, first)
-    tables = ev.join(blocks, AT, "left_semi").groupBy(*AT).applyInPandas(to_table, TABLE_SCHEMA)
+    tables = ev.join(blocks, AT, "left_semi").groupBy(*AT).applyInPandas(block_tables(cuts), TABLE_SCHEMA)
     starts = (
         begin(tables.join(blocks, AT))
         .groupBy(*FILE)
-        .applyInPandas(lambda pdf: _chain(pdf, arr), START_SCHEMA)
+        .applyInPandas(block_starts(cuts), START_SCHEMA)
     )
     ready = begin(ev.join(starts, AT, "left"))
     ready = ready.withColumns({n[:-1]: F.coalesce(n[:-1], n) for n in first})
-    return ready.groupBy(*AT).applyInPandas(
-        lambda pdf: _replay(pdf.sort_values(ORDER), cuts), CYCLE_SCHEMA
-    )
+    return ready.groupBy(*AT).applyInPandas(block_replay(cuts), CYCLE_SCHEMA)
 
 
 def with_exact_cycles(

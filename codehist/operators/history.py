@@ -168,12 +168,14 @@ def file_history(
         forgot = forgot.unionByName(earlier).distinct()
     if forgot.isEmpty():
         return history
-    replayed = with_exact_cycles(
-        history.join(forgot, FILE, "left_semi"),
-        events.join(forgot, FILE, "left_semi"),
-        thresholds,
-        block,
-        carry.files if carry is not None else None,
+    replayed = staged(
+        with_exact_cycles(
+            history.join(forgot, FILE, "left_semi"),
+            events.join(forgot, FILE, "left_semi"),
+            thresholds,
+            block,
+            carry.files if carry is not None else None,
+        )
     )
     return history.join(forgot, FILE, "left_anti").unionByName(replayed)
 

@@ -58,6 +58,7 @@ def mine(
     ck: DataFrame,
     thresholds: Sequence[int] = DEFAULT_THRESHOLDS,
     block: int = BLOCK,
+    keep_deletes: bool = False,
 ) -> Mined:
     """``commits`` are the commits of the walk (or a range), ``changes`` carry churn."""
     processed = without_merges(commits).join(lb.broken_commits(labels), lb.COMMIT, "left_anti")
@@ -65,7 +66,7 @@ def mine(
     found = staged(refactoring_instances(targets, ck))
     resets = found.filter("match_pos = 1").select(*lb.COMMIT, F.col("filePath").alias("path"))
     # both are read several times: by the rename edges, and by totals and rows
-    log = staged(history_events(processed, changes, labels, resets))
+    log = staged(history_events(processed, changes, labels, resets, keep_deletes))
     events = staged(rename_lineage(log, block))
     history = staged(author_stats(file_history(events, thresholds, authors=True, block=block), block))
     base = stable_files(history, thresholds).withColumn("n", F.col("base_n"))

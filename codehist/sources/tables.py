@@ -71,20 +71,27 @@ def scan_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_rows(rows: DataFrame, path: str) -> None:
-    """Write training rows by project and level; a re-run replaces its partitions."""
+    """Write training rows by project; a re-run replaces its projects.
+
+    Rebalancing gathers small projects and splits large ones into several
+    files. Rows are sorted by level, so that readers skip by its min and max.
+    """
     (
-        rows.write.mode("overwrite")
+        rows.hint("rebalance", F.col("project"))
+        .sortWithinPartitions("project", "level")
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("project", "level")
+        .partitionBy("project")
         .parquet(path)
     )
 
 
 def write_archive(texts: DataFrame, path: str) -> None:
     (
-        texts.write.mode("overwrite")
+        texts.hint("rebalance", F.col("project"))
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("project", "side")
+        .partitionBy("project")
         .parquet(path)
     )
 

@@ -1108,7 +1108,7 @@ def legacy_labels(spark, sf):
 
 @query(dk.with_fx("select project, level, commit_id, ref_pos, class_pos, class as \"className\" from inst"), prepare=True)
 def write_instances(spark, sf):
-    """Instances written by project and level, and read back."""
+    """Instances written by project, and read back."""
     path = f"{shared_dir(spark).rstrip('/')}/rows-{uuid.uuid4().hex}"
     write_rows(_instances(spark, sf), path)
     return spark.read.parquet(path).select("project", "level", "commit_id", "ref_pos", "class_pos", "className")
