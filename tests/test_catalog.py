@@ -53,3 +53,18 @@ def test_known_firings(spark, cuts, counts):
     history = file_history(staged(rename_lineage(staged(log))), cuts)
     fired = history.filter("fired is not null").groupBy("fired").count().collect()
     assert {r.fired: r["count"] for r in fired} == counts
+
+
+# queries that only build a plan; the others write tables on the way
+LAZY = [
+    "commit_replay", "commit_range", "commit_meta", "churn", "label_targets", "label_method_join",
+    "refactoring_instances", "mark_invalid", "distinct_names", "wide_stable_files", "project_inventory",
+    "project_blocks", "project_totals", "exception_counts", "error_sites", "commit_timing", "new_projects",
+]
+
+
+@pytest.mark.parametrize("name", LAZY)
+def test_plans_have_no_cross_join_and_no_python(spark, name):
+    plan = entry.queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    for word in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython"):
+        assert word not in plan
