@@ -16,6 +16,17 @@ TABLES = (
 ).split()
 
 
+SAME_TYPE = {
+    "bigint": "BIGINT",
+    "int": "INTEGER",
+    "string": "VARCHAR",
+    "double": "DOUBLE",
+    "boolean": "BOOLEAN",
+    "timestamp": "TIMESTAMP",
+    "timestamp_ntz": "TIMESTAMP",
+}
+
+
 def duck(folder: str):
     import duckdb
 
@@ -43,9 +54,14 @@ def difference(spark, con, folder, fn, sql):
     if sql is None:
         return "" if rows else "no rows"
     rel = con.execute(sql)
+    rel_types = rel.description
     columns, other = [d[0] for d in rel.description], rel.fetchall()
     if sorted(columns) != sorted(df.columns):
         return f"columns {sorted(df.columns)} <> {sorted(columns)}"
+    types = {f.name: f.dataType.simpleString() for f in df.schema}
+    wrong = [(d[0], types[d[0]], str(d[1])) for d in rel_types if SAME_TYPE.get(types[d[0]]) != str(d[1])]
+    if wrong:
+        return f"types differ: {wrong}"
     a, b = bag(df.columns, rows), bag(columns, other)
     if a == b:
         return "" if rows else "both empty"

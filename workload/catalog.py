@@ -523,7 +523,7 @@ def stable_rows(spark, sf):
 
 @query(
     dk.with_fx(
-        "select 'refactoring' as kind, project, level, count(*) as rows_found, sum(cast(class_pos as bigint)) as check_sum from inst group by all "
+        "select 'refactoring' as kind, project, level, count(*) as rows_found, cast(sum(class_pos) as bigint) as check_sum from inst group by all "
         "union all select 'stable', project, level, count(*), cast(sum(fired) as bigint) from unit group by all",
         *MINED, UNITS,
     ), prepare=True)
@@ -574,7 +574,7 @@ def method_metrics(spark, sf):
     rows = rows.select("project", "commit_id", "file", nm.is_inner_class(F.col("type")).alias("is_inner"), F.explode("methods").alias("m"))
     return rows.select("project", "commit_id", "file", "is_inner", ins.method_metric(F.col("m")).alias("x")).select(
         "project", "commit_id", "file", "is_inner", "x.*"
-    ).withColumn("startLine", F.col("startLine").cast("bigint"))
+    )
 
 
 # --- order history: many files per commit ---------------------------------------

@@ -51,8 +51,8 @@ ev0 as (
   select user_id, walk_pos, 4, commit_id, project, new_path, 0, author, lines_added, lines_deleted,
          case when message like '%error%' then 1 else 0 end from chg where n_parents <= 1),
 ev as (select *, row_number() over (partition by user_id order by walk_pos, phase) as rn,
-       sum(case when phase = 4 then 1 else 0 end) over w as n, sum(added) over w as s_added,
-       sum(deleted) over w as s_deleted, sum(bug) over w as s_bug
+       cast(sum(case when phase = 4 then 1 else 0 end) over w as bigint) as n, cast(sum(added) over w as bigint) as s_added,
+       cast(sum(deleted) over w as bigint) as s_deleted, cast(sum(bug) over w as bigint) as s_bug
        from ev0 window w as (partition by user_id order by walk_pos, phase))"""
 
 
