@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from codehist.llm import quality_rules
+from codehist.llm import archives, mixing, quality_rules, token_files
 
 SPARK = {
+    "op3_mixing": mixing.op3_mixing,
+    "op4_token_files": token_files.op4_token_files,
     "op6_quality_rules": quality_rules.op6_quality_rules,
+    "op7_arc_to_warc": archives.op7_arc_to_warc,
 }
 
 DUCK = {
+    "op3_mixing": mixing.OP3_SQL,
     "op6_quality_rules": quality_rules.OP6_SQL,
+    "op7_arc_to_warc": archives.OP7_SQL,
 }
