@@ -6,6 +6,7 @@ bounded table; only new ones go through the library.
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -13,14 +14,14 @@ import numpy as np
 from codehist.llm.vectors import threads_off
 
 #: Words kept per task before the table starts anew; bounds memory, not results.
-MOST_WORDS, MOST_BYTES = 400_000, 16 << 20
+MOST_WORDS, MOST_BYTES = 300_000, 16 << 20
 
 
 class WordIds:
     """Ids of words, kept one after the other; a word is known by its number."""
 
-    def __init__(self, encode):
-        self.encode = encode
+    def __init__(self, encode, split=bytes.split):
+        self.encode, self.split = encode, split
         self.clear()
 
     def clear(self) -> None:
@@ -33,30 +34,72 @@ class WordIds:
             self.clear()
         found, counts = [], []
         for text in texts:
-            parts = text.split()
+            parts = self.split(text)
             counts.append(len(parts))
             found += parts
-        known = list(map(self.number.get, found))
-        new = list({w for w, k in zip(found, known, strict=True) if k is None})
+        new = list(set(found).difference(self.number))
         if new:
             self._learn(new)
-            known = list(map(self.number.__getitem__, found))
-        known = np.array(known, np.int64)
+        known = np.fromiter(map(self.number.__getitem__, found), np.int64, len(found))
         first = self.first[known]
         size = self.first[known + 1] - first
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.ids[np.arange(total) + np.repeat(first - (ends - size), size)]
-        ends = np.concatenate([[0], ends])
+        ends = np.concatenate([[0], np.cumsum(size)])
+        ids = self.ids[np.arange(ends[-1]) + np.repeat(first - ends[:-1], size)]
         return ids, np.diff(ends[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)])
 
     def _learn(self, new: list[bytes]) -> None:
-        got = self.encode([w.decode("utf-8", "replace") for w in new])
+        got = self.encode(new)
         self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
         self.bytes += sum(map(len, new))
         size = np.fromiter(map(len, got), np.int64, len(got))
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(size)])
-        self.ids = np.concatenate([self.ids, *(np.array(g, np.uint32) for g in got)])
+        self.ids = np.concatenate([self.ids, np.fromiter((i for g in got for i in g), np.uint32, int(size.sum()))])
+
+
+#: Letters of Latin-1 and then only points: the library takes such a word apart between the two, and lowers letters one by one.
+PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,;:!?]*)")
+LETTERS = [chr(c) for c in (*range(0x41, 0x5B), *range(0x61, 0x7B), *(c for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7)))]
+
+
+class WordEncoder:
+    """Ids of words. Words in several writings (capitals, points behind) share the ids of their letters, which the library's model gives."""
+
+    def __init__(self, tokenizer):
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.tokenizer, self.letters, self.points = tokenizer, {}, {b"": ()}
+        bytes_of = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.lower = str.maketrans({c: bytes_of.pre_tokenize_str(c.lower())[0][0] for c in LETTERS})
+
+    def library(self, words: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
+
+    def __call__(self, words: list[bytes]) -> list[tuple[int, ...]]:
+        if len(self.letters) > MOST_WORDS:
+            self.letters.clear()
+        if len(self.points) > 10_000:
+            self.points = {b"": ()}
+        out, other = [], []
+        for k, word in enumerate(words):
+            parts = PLAIN.fullmatch(word)
+            if parts is None:
+                other.append(k)
+                out.append(())
+                continue
+            letters, points = parts.groups()
+            text = letters.decode().translate(self.lower)
+            ids = self.letters.get(text)
+            if ids is None:
+                ids = self.letters[text] = tuple([t.id for t in self.tokenizer.model.tokenize(text)])
+            if points:
+                behind = self.points.get(points)
+                if behind is None:
+                    behind = self.points[points] = tuple(self.library([points])[0])
+                ids = ids + behind
+            out.append(ids)
+        for k, ids in zip(other, self.library([words[k] for k in other]), strict=True):
+            out[k] = tuple(ids)
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -64,9 +107,4 @@ def word_ids(path: str) -> WordIds:
     threads_off()
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-
-    def encode(words: list[str]) -> list[list[int]]:
-        return [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    return WordIds(encode)
+    return WordIds(WordEncoder(Tokenizer.from_file(path)))

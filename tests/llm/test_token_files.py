@@ -12,7 +12,7 @@ from codehist.llm.word_bpe import word_ids
 PATH = public_tokenizers.path("word_bpe_49k.json")
 ODD = [
     "", " ", "a", "don't we'll <|endoftext|>x", "x\x1cy z\xa0w", "é ́e İSTANBUL ΣΣ ﬁ", "tab\tnew\nline\r\n\x0b\x0c", "你好 123 #!? " + "z" * 5000,
-    "<|startoftext|>", "\U0001f600 \U0001f468‍\U0001f469", "i̇ ẛ̣", "word " * 3000,
+    "<|startoftext|>", "Don't. Élan, ÀÉÎ!? straße... ×. ÷ a.b. ÿ; Ÿ. é́. A≠ :; 's. X'S. İ. x!́", "\U0001f600 \U0001f468‍\U0001f469", "i̇ ẛ̣", "word " * 3000,
 ]
 
 
