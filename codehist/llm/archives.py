@@ -284,7 +284,7 @@ def op7_arc_to_warc(spark, sf_dir) -> DataFrame:
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type"]
     if written.isEmpty():
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    records = read_warc_files(spark, f"{folder}/warc")
+    records = staged(read_warc_files(spark, f"{folder}/warc"))
     stored = records.join(records.where("refers_to is not null").select(F.col("refers_to").alias("record")).distinct(), "record", "left_semi")
     ids = stored.select(F.col("record").alias("refers_to"), F.col("page_id").alias("original"))
     return records.join(ids, "refers_to", "left").select(*columns, F.col("original").alias("refers_to"))
