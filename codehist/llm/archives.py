@@ -225,6 +225,11 @@ def with_originals(records: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     return joined.withColumn("refers_to", F.when((F.col("bytes") >= least) & (F.col("stored") != F.col("record")), F.col("stored")))
 
 
+def by_file(rows: DataFrame) -> DataFrame:
+    """Dealt by archive to a set number of tasks: what a task reads is the archive, so few and small rows must not be put together in one task."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file")
+
+
 def convert_arc_files(decided: DataFrame, arc_folder: str, warc_folder: str) -> DataFrame:
     """Write one WARC archive for each ARC archive. The records of one archive are few (``FILE_BYTES``), so they may meet in one row."""
 
@@ -240,7 +245,7 @@ def convert_arc_files(decided: DataFrame, arc_folder: str, warc_folder: str) ->
                 put(warc_folder, name, b"".join(out))
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(rows)], pa.int64())], names=["file", "records"])
 
-    return decided.groupBy("file").agg(F.collect_list(F.struct("k", "digest", "refers_to")).alias("rows")).mapInArrow(run, "file string, records long")
+    return by_file(decided).groupBy("file").agg(F.collect_list(F.struct("k", "digest", "refers_to")).alias("rows")).mapInArrow(run, "file string, records long")
 
 
 def read_warc_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -274,7 +279,7 @@ def pages_to_warc(pages: DataFrame, folder: str) -> DataFrame:
     Null html is an empty payload, a null url becomes about:blank, a null page_id is kept as null.
     """
     arcs = staged(write_arc_files(pages, f"{folder}/arc"))
-    records = scan_arc(arcs.repartition(F.col("file")), f"{folder}/arc")
+    records = scan_arc(by_file(arcs), f"{folder}/arc")
     return staged(convert_arc_files(with_originals(staged(records)), f"{folder}/arc", f"{folder}/warc"))
 
 
