@@ -67,7 +67,7 @@ def text_stats(column: pa.Array) -> dict[str, np.ndarray]:
 
     new = np.union1d(np.flatnonzero(data == 10) + 1, at[:-1])
     new = new[new < len(data)]
-    stop = np.append(new[1:], len(data))
+    stop = np.append(new[1:], len(data))[: len(new)]
     stop -= data[stop - 1] == 10
     written = np.searchsorted(begins, stop) > np.searchsorted(begins, new)
     new, stop = new[written], stop[written]
@@ -109,10 +109,13 @@ def host_verdicts(judged: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
     """
     hosts = judged.where("source is not null").groupBy("source").agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("bad"))
     share = F.col("bad") / F.col("n")
-    prior = hosts.agg(F.avg(share).alias("m"), F.var_pop(share).alias("v"))
-    size = F.greatest(F.lit(0.0), F.col("m") * (1 - F.col("m")) / F.nullif(F.col("v"), F.lit(0.0)) - 1)
-    shrunk = F.when(F.col("v") <= 1e-12, F.col("m")).otherwise((F.col("bad") + F.col("m") * size) / (F.col("n") + size))
-    return hosts.join(F.broadcast(prior)).withColumn("rate", shrunk).select("source", "n", "bad", "rate", (F.col("rate") > limit).alias("host_rejected"))
+    m, v = hosts.agg(F.avg(share), F.var_pop(share)).first()
+    if v is None or v <= 1e-12:
+        rate = F.lit(m).cast("double")
+    else:
+        size = max(0.0, m * (1 - m) / v - 1)
+        rate = (F.col("bad") + F.lit(m * size)) / (F.col("n") + F.lit(size))
+    return hosts.withColumn("rate", rate).withColumn("host_rejected", F.col("rate") > limit)
 
 
 def quality_rules(docs: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
