@@ -13,6 +13,12 @@ are documents of their own; an empty table, or one without words, has an empty m
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from itertools import islice
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,19 +33,24 @@ SEED = 20
 #: Hex digits of the order's key that name a bucket, slots per range in which ranks are counted, and cells of the unit interval.
 BUCKET_DIGITS, RANGE, CELLS = 3, 65_536, 4096
 
+NEXT_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ALL_BEFORE = (Window.unboundedPreceding, -1)
-ZERO = F.lit(0).cast("long")
+
+
+def zero() -> Column:
+    return F.lit(0).cast("long")
 
 
 def word_count(text: str) -> Column:
-    return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")).cast("long"), ZERO)
+    return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")).cast("long"), zero())
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = MIX_SHARE, copies: int = MOST_COPIES) -> DataFrame:
     """source, no, source_size, target: one row per source.
 
     A target is weight * level, or ``copies * size`` where that is less; the level is that at which all targets add up to the share. Sources are full in the order of
-    size / weight, so the level follows from running sums over sources in this order: that of the first source that does not get full.
+    size / weight, so the level follows from running sums over sources in this order: that of the first source that does not get full. (Worked out for a
+    later one, as if those before it were full, it would be lower.) If even all full sources don't reach the share, all are full.
     """
     sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     numbered = sources.withColumn("no", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
@@ -50,12 +61,12 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = MIX_SHARE,
     level = (
         numbered.withColumn("weight", weight)
         .withColumn("total", F.sum("source_size").over(everything) * F.lit(share))
-        .withColumn("used", F.coalesce(F.sum(full).over(order.rowsBetween(*ALL_BEFORE)), ZERO))
+        .withColumn("used", F.coalesce(F.sum(full).over(order.rowsBetween(*ALL_BEFORE)), zero()))
         .withColumn("open", F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing)))
         .withColumn("level", (F.col("total") - F.col("used")) / F.col("open"))
-        .withColumn("found", F.min(F.when(F.col("level") * F.col("weight") <= full, F.col("level"))).over(everything))
+        .withColumn("found", F.max(F.when(F.col("level") * F.col("weight") <= full, F.col("level"))).over(everything))
     )
-    return level.select("source", "no", "source_size", F.least(F.col("weight") * F.col("found"), full.cast("double")).alias("target"))
+    return level.select("source", "no", "source_size", F.least(F.col("weight") * F.coalesce("found", F.lit(float("inf"))), full.cast("double")).alias("target"))
 
 
 def corput(k: Column) -> Column:
@@ -86,7 +97,7 @@ def ranked_slots(slots: DataFrame) -> DataFrame:
     """slot, no, r: which of its source's slots a slot is, from 0."""
     ranged = slots.withColumn("range", F.floor(F.col("slot") / RANGE))
     counts = ranged.groupBy("no", "range").agg(F.count("*").alias("n"))
-    base = counts.select("no", "range", F.coalesce(F.sum("n").over(Window.partitionBy("no").orderBy("range").rowsBetween(*ALL_BEFORE)), ZERO).alias("base"))
+    base = counts.select("no", "range", F.coalesce(F.sum("n").over(Window.partitionBy("no").orderBy("range").rowsBetween(*ALL_BEFORE)), zero()).alias("base"))
     own = ranged.withColumn("own", F.row_number().over(Window.partitionBy("no", "range").orderBy("slot")) - 1)
     return own.join(base, ["no", "range"]).select("slot", "no", (F.col("base") + F.col("own")).alias("r"))
 
@@ -95,17 +106,17 @@ def in_order(sizes: DataFrame, seed: int = SEED) -> DataFrame:
     """Adds bucket, place (with no, unique to a row) and begin: the words of its source before a document, in the source's shuffled order."""
     key = F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.lit(seed)).cast("binary"))
     keyed = sizes.withColumn("key", key).withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
-    order = Window.partitionBy("no", "bucket").orderBy("key", "doc_id", "size")
-    placed = keyed.withColumn("place", F.row_number().over(order)).withColumn("own", F.coalesce(F.sum("size").over(order.rowsBetween(*ALL_BEFORE)), ZERO))
+    order = Window.partitionBy("no", "bucket").orderBy("key", "doc_id", "size", "t")
+    placed = keyed.withColumn("place", F.row_number().over(order)).withColumn("own", F.coalesce(F.sum("size").over(order.rowsBetween(*ALL_BEFORE)), zero()))
     totals = keyed.groupBy("no", "bucket").agg(F.sum("size").alias("n"))
-    base = totals.select("no", "bucket", F.coalesce(F.sum("n").over(Window.partitionBy("no").orderBy("bucket").rowsBetween(*ALL_BEFORE)), ZERO).alias("base"))
+    base = totals.select("no", "bucket", F.coalesce(F.sum("n").over(Window.partitionBy("no").orderBy("bucket").rowsBetween(*ALL_BEFORE)), zero()).alias("base"))
     return placed.join(base, ["no", "bucket"]).withColumn("begin", F.col("base") + F.col("own")).drop("key", "own", "base")
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = MIX_SHARE, copies: int = MOST_COPIES, block: int = BLOCK, seed: int = SEED) -> DataFrame:
-    """The mix: for each document and slot that takes words of it, slot, first (its words before these) and words. A document of which nothing is
-    taken has one row without a slot. All rows carry doc_id, size, source, source_size, target and the document's key no, bucket, place."""
-    sizes = staged(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count("text").alias("size")))
+    """The mix: for each document and slot that takes words of it, slot, copy, first (its words before these) and words. A document of which nothing is
+    taken has one row without a slot. All rows carry doc_id, t (a hash of the text), size, source, source_size, target and the document's key no, bucket, place."""
+    sizes = staged(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count("text").alias("size"), F.xxhash64("text").alias("t")))
     targets = staged(source_targets(sizes, weights, share, copies))
     slots = staged(ranked_slots(slot_sources(targets, block)))
     quota = slots.groupBy("no").agg(F.count("*").alias("slots"))
@@ -116,24 +127,54 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = MIX_SHARE, copies: int
     cuts = F.flatten(
         F.transform(
             per_copy,
-            lambda a: F.when(
+            lambda a, c: F.when(
                 (F.col("size") > 0) & (F.floor(a / block) < F.col("slots")),
                 F.transform(
                     F.sequence(F.floor(a / block), F.least(F.floor((a + F.col("size") - 1) / block), F.col("slots") - 1)),
-                    lambda r: F.struct(r.alias("r"), F.greatest(a, r * block).alias("lo"), F.least(a + F.col("size"), (r + 1) * block).alias("hi"), a.alias("a")),
+                    lambda r: F.struct(r.alias("r"), c.alias("copy"), F.greatest(a, r * block).alias("lo"), F.least(a + F.col("size"), (r + 1) * block).alias("hi"), a.alias("a")),
                 ),
-            ).otherwise(F.array().cast("array<struct<r:bigint,lo:bigint,hi:bigint,a:bigint>>")),
+            ).otherwise(F.array().cast("array<struct<r:bigint,copy:int,lo:bigint,hi:bigint,a:bigint>>")),
         )
     )
     cut = placed.withColumn("cut", F.explode_outer(cuts)).select("*", "cut.*").drop("cut")
     return cut.join(slots, ["no", "r"], "left").select(
-        "slot", "doc_id", "size", "source", "source_size", "target", "no", "bucket", "place", (F.col("lo") - F.col("a")).alias("first"), (F.col("hi") - F.col("lo")).alias("words")
+        "slot", "doc_id", "t", "size", "source", "source_size", "target", "no", "bucket", "place", "copy", (F.col("lo") - F.col("a")).alias("first"), (F.col("hi") - F.col("lo")).alias("words")
     )
 
 
+def first_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cuts ``text`` after its first ``words`` words where it has more (``size``)."""
+    for batch in batches:
+        sizes, counts = batch.column("size").to_numpy(), batch.column("words").to_numpy()
+        short = np.flatnonzero(counts < sizes)
+        if len(short):
+            texts = batch.column("text").to_pylist()
+            for k in short.tolist():
+                ends = islice((m.end() for m in NEXT_WORD.finditer(texts[k])), int(counts[k]) - 1, None)
+                texts[k] = texts[k][: next(ends)]
+            batch = batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
+        yield batch
+
+
+def mixed_documents(docs: DataFrame, **how) -> DataFrame:
+    """The mix as documents with the columns of ``docs``, in the order of their first slots: as many copies of each as the mix takes; one that it takes in part
+    keeps the words that are taken."""
+    names = docs.columns
+    dup = F.row_number().over(Window.partitionBy("doc_id", "t").orderBy("source"))
+    whole = mix(docs, **how).where("slot is not null").groupBy("no", "bucket", "place", "copy", "doc_id", "t", "size", "source").agg(F.sum("words").alias("words"), F.min("slot").alias("slot"))
+    # rows that share id and text are told apart by numbers; which gets which does not matter, as far as the source is the same
+    twin = F.dense_rank().over(Window.partitionBy("doc_id", "t").orderBy("source", "no", "bucket", "place"))
+    whole = whole.withColumn("dup", twin).select(F.col("doc_id").alias("with_id"), F.col("t").alias("with_t"), "dup", "copy", "size", "words", "slot")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), "doc_id", F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("t")).withColumn("dup", dup)
+    met = rows.withColumnRenamed("dup", "own").join(whole, (F.col("t") == F.col("with_t")) & (F.col("own") == F.col("dup")) & F.col("doc_id").eqNullSafe(F.col("with_id")))
+    taken = met.select("row", F.col("row.text").alias("text"), "size", "words", "slot").repartitionByRange("slot").sortWithinPartitions("slot")
+    cut = taken.mapInArrow(first_words, taken.schema)
+    return cut.select(*(F.col("text") if c == "text" else F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"row.`{c}`") for c in names))
+
+
 def op3_mixing(spark, sf_dir) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents"))
-    taken = F.sum(F.when(F.col("slot").isNotNull(), F.col("words")).otherwise(ZERO))
+    taken = F.sum(F.when(F.col("slot").isNotNull(), F.col("words")).otherwise(zero()))
     rows = mixed.groupBy("no", "bucket", "place", "doc_id", "size", "source_size", "target").agg(taken.alias("taken"))
     return rows.select("doc_id", "size", "source_size", "target", "taken")
 
@@ -145,7 +186,7 @@ s1 as (select *, [5.0::double, 2.0::double, 1.0::double][cast(no % 3 + 1 as int)
               (select sum(source_size) from s0) * {MIX_SHARE}::double as total from s0),
 s2 as (select *, (total - coalesce(sum(full_size) over (order by full_size / weight, no rows between unbounded preceding and 1 preceding), 0))
               / sum(weight) over (order by full_size / weight, no rows between current row and unbounded following) as level from s1),
-s3 as (select source, no, source_size, least(weight * (select min(level) from s2 where level * weight <= full_size), full_size) as target from s2),
+s3 as (select source, no, source_size, least(weight * (select max(level) from s2 where level * weight <= full_size), full_size) as target from s2),
 line0 as (select no, sum(target) over (order by no rows unbounded preceding) / (select sum(target) from s3) as upper from s3 where target > 0),
 line as (select no, lag(upper, 1, 0.0) over (order by no) as lower, case when lead(no) over (order by no) is null then 2.0 else upper end as upper from line0),
 pts as (select k, list_sum(list_transform(range(40), lambda j: ((k >> j) & 1) / power(2.0::double, j + 1))) as u
