@@ -204,7 +204,8 @@ def simplify_method_name(name: Column) -> Column:
     """``m/2[a.b.C,Map<K,V>]`` to ``m/2[C,Map]``.
 
     Packages, generics and annotations of the parameters go. Null when the
-    generics are not closed or a parameter is nothing but dots.
+    generics are not closed, a parameter is nothing but dots, or nothing follows
+    the bracket.
     """
     left = F.substring_index(name, "[", 1)
     at = F.instr(name, "[")
@@ -223,7 +224,8 @@ def simplify_method_name(name: Column) -> Column:
         )
         return F.when((bare != "") & (kept == ""), F.lit("")).otherwise(listed)
 
-    return F.when(~name.contains("["), name).otherwise(F.concat(left, _let(bare, brackets)))
+    readable = F.when(at < F.length(name), F.concat(left, _let(bare, brackets)))
+    return F.when(~name.contains("["), name).otherwise(readable)
 
 
 # --- label types -------------------------------------------------------------

@@ -1,7 +1,7 @@
 """The event log: everything that touches the state of a file, in order.
 
 Within a commit the order is: labels (1), renames seen by the detector (2),
-renames seen only by the diff (3), changes (4).
+renames seen only by the diff (3), changes (4), deletions (5).
 """
 
 from __future__ import annotations
@@ -11,19 +11,19 @@ from pyspark.sql import functions as F
 
 from codehist.functions.names import is_bug_fix, is_java_file
 
-LABEL, DETECTOR_RENAME, DIFF_RENAME, CHANGE = 1, 2, 3, 4
+LABEL, DETECTOR_RENAME, DIFF_RENAME, CHANGE, DELETION = 1, 2, 3, 4, 5
 ORDER = ["walk_pos", "phase", "pos"]
 
 EVENT_COLUMNS = (
     "project string, path string, old_path string, walk_pos bigint, phase int, pos bigint, "
     "commit_id string, resets bigint, clears int, author string, added bigint, deleted bigint, "
-    "is_bug int"
+    "is_bug int, ends int"
 )
 
 
 def _event(df: DataFrame, phase: int, **columns: Column) -> DataFrame:
     fields = dict(f.rsplit(" ", 1) for f in EVENT_COLUMNS.split(", "))
-    defaults = {"phase": F.lit(phase), "pos": F.lit(0), "clears": F.lit(0), "is_bug": F.lit(0)}
+    defaults = {"phase": F.lit(phase), "pos": F.lit(0), "clears": F.lit(0), "is_bug": F.lit(0), "ends": F.lit(0)}
     defaults |= {c: F.lit(0) for c in ("resets", "added", "deleted")}
     defaults |= {c: F.col(c) for c in ("project", "walk_pos", "commit_id")}
     given = defaults | columns
@@ -46,22 +46,21 @@ def change_events(
         is_bug_fix(F.col("message")).cast("int").alias("is_bug"),
     )
     is_delete = F.col("change_type") == "DELETE"
-    kept = is_java_file(F.col("new_path"))
-    if keep_deletes:
-        kept = kept | (is_delete & is_java_file(F.col("old_path")))
-    else:
-        kept = kept & ~is_delete
-    rows = changes.filter(kept).join(position, ["project", "commit_id"])
-    return _event(
+    rows = changes.filter(is_java_file(F.col("new_path")) & ~is_delete).join(position, ["project", "commit_id"])
+    log = _event(
         rows,
         CHANGE,
-        path=F.when(is_delete, F.col("old_path")).otherwise(F.col("new_path")),
+        path=F.col("new_path"),
         pos=F.col("entry_pos"),
-        author=F.when(~is_delete, F.col("author")),
+        author=F.col("author"),
         added=F.col("lines_added"),
         deleted=F.col("lines_deleted"),
         is_bug=F.col("is_bug"),
     )
+    if not keep_deletes:
+        return log
+    gone = changes.filter(is_java_file(F.col("old_path")) & is_delete).join(position, ["project", "commit_id"])
+    return log.unionByName(_event(gone, DELETION, path=F.col("old_path"), pos=F.col("entry_pos"), ends=F.lit(1)))
 
 
 def label_events(commits: DataFrame, labels: DataFrame) -> DataFrame:

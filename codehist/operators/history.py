@@ -164,7 +164,7 @@ def file_history(
         .distinct()
     )
     if carry is not None:
-        earlier = carry.files.filter("exact").join(history, FILE, "left_semi").select(*FILE)
+        earlier = carry.files.filter("exact").join(history.select(*FILE).distinct(), FILE, "left_semi").select(*FILE)
         forgot = forgot.unionByName(earlier).distinct()
     if forgot.isEmpty():
         return history

@@ -31,6 +31,7 @@ def class_metrics(ck: DataFrame) -> DataFrame:
         "commit_id",
         "file",
         clean_dollar(F.col("class")).alias("class"),
+        F.struct(F.col("class"), "type").alias("rawClass"),
         F.struct(is_inner_class(F.col("type")).alias("isInnerClass"), *values).alias("classMetrics"),
         "methods",
     )
@@ -49,7 +50,7 @@ def method_metric(m: Column) -> Column:
 def label_class_join(targets: DataFrame, ck: DataFrame) -> DataFrame:
     """Class metrics at the parent commit, by class name or by its alias.
 
-    Several metric rows may match a label; they are numbered by ``match_pos``.
+    Several metric rows may match a label; see ``first_matches``.
     """
     names = F.array_compact(F.array_distinct(F.array("class", "alias")))
     asked = targets.select("*", F.explode(names).alias("_name"))
@@ -58,16 +59,22 @@ def label_class_join(targets: DataFrame, ck: DataFrame) -> DataFrame:
         F.col("commit_id").alias("parent_id"),
         F.col("file").alias("path"),
         F.col("class").alias("_name"),
+        "rawClass",
         "classMetrics",
         "methods",
     )
-    found = asked.join(metrics, ["project", "parent_id", "path", "_name"])
-    nth = F.row_number().over(
-        Window.partitionBy(*LABEL, "class_pos").orderBy(
-            F.col("_name") != F.col("class"), F.col("classMetrics")
-        )
-    )
-    return found.withColumn("match_pos", nth).withColumnRenamed("_name", "className")
+    return asked.join(metrics, ["project", "parent_id", "path", "_name"]).withColumnRenamed("_name", "className")
+
+
+def first_matches(found: DataFrame) -> DataFrame:
+    """Number the metric rows that are left of a label by ``match_pos``.
+
+    The name itself comes before its alias. Rows that agree in all metrics are
+    told apart by the class name and type as they stand in the metric table.
+    """
+    order = [F.col("className") != F.col("class"), "classMetrics", "rawClass"]
+    nth = F.row_number().over(Window.partitionBy(*LABEL, "class_pos").orderBy(*order))
+    return found.withColumn("match_pos", nth)
 
 
 def matching_method(methods: Column, full_name: Column) -> Column:
@@ -112,7 +119,7 @@ def instance_id(*key: str) -> Column:
 
 def refactoring_instances(targets: DataFrame, ck: DataFrame) -> DataFrame:
     """One row per (label, class) with code metrics; process metrics come later."""
-    rows = label_method_join(label_class_join(targets, ck))
+    rows = first_matches(label_method_join(label_class_join(targets, ck)))
     of_level = lambda level, value: F.when(F.col("level") == level, value)
     element = F.col("element_name")
     return rows.select(
@@ -152,7 +159,7 @@ def stable_rows(stable: DataFrame, ck: DataFrame) -> DataFrame:
     Per class: one row per (method, variable), per method, per field, and one
     for the class. Files missing at the base commit have no rows.
     """
-    metrics = class_metrics(ck).withColumnsRenamed({"commit_id": "base_commit", "file": "path"})
+    metrics = class_metrics(ck).drop("rawClass").withColumnsRenamed({"commit_id": "base_commit", "file": "path"})
     found = stable.join(metrics, ["project", "base_commit", "path"])
     null_of = lambda t: F.lit(None).cast(t)
     var_t = "struct<variableName:string,variableAppearances:int>"

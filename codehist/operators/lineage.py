@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codehist.operators.events import CHANGE, ORDER
+from codehist.operators.events import ORDER
 from codehist.plans.ordered import BLOCK, running
 from codehist.session import staged
 
@@ -27,17 +27,10 @@ def rename_marks(events: DataFrame) -> DataFrame:
     moves = events.filter(F.col("old_path").isNotNull())
     left = moves.select(*at, F.col("old_path").alias("path"), F.lit(1).alias("out"), F.lit(0).alias("into"))
     entered = moves.select(*at, "path", F.lit(0).alias("out"), F.lit(1).alias("into"))
-    ended = events.filter(_is_delete()).select(
-        *at, "path", F.lit(1).alias("out"), F.lit(0).alias("into")
-    )
+    ended = events.filter("ends = 1").select(*at, "path", F.lit(1).alias("out"), F.lit(0).alias("into"))
     return left.unionByName(entered).unionByName(ended)
 
 
-def _is_delete() -> Column:
-    # a change without an author ends the path (see change_events)
-    return (F.col("phase") == CHANGE) & F.col("author").isNull()
-
-
 def rename_edges(marks: DataFrame, block: int = BLOCK) -> DataFrame:
     """(project, node, parent): one row per rename, both ends as incarnations."""
     numbered = running(
@@ -87,7 +80,8 @@ def rename_roots(edges: DataFrame, max_rounds: int = 32) -> DataFrame:
 def rename_lineage(events: DataFrame, block: int = BLOCK, max_rounds: int = 32) -> DataFrame:
     """Add ``lineage``, the first incarnation of the file, to every event.
 
-    Files never renamed keep their own path and take no part in the joins.
+    Files never renamed or deleted keep their own path and take no part in the
+    joins. A deletion is the last event of its lineage.
     """
     marks = rename_marks(events)
     edges = rename_edges(marks, block)
@@ -99,19 +93,19 @@ def rename_lineage(events: DataFrame, block: int = BLOCK, max_rounds: int = 32)
     touched = events.join(renamed_paths, ["project", "path"], "left_semi")
     # the old end of a rename counts as a mark of its own, the new end is the event itself
     is_in = F.col("old_path").isNotNull()
-    gone = marks.filter("out = 1").select("project", "path", *ORDER, F.lit(True).alias("_gone"))
-    both = touched.filter(~_is_delete()).unionByName(gone, allowMissingColumns=True)
+    left = events.filter(is_in).select("project", F.col("old_path").alias("path"), *ORDER, F.lit(True).alias("_gone"))
+    both = touched.unionByName(left, allowMissingColumns=True)
     numbered = running(
         both,
         ["project", "path"],
         "walk_pos",
         ORDER,
-        {"_no": (is_in | F.coalesce("_gone", F.lit(False))).cast("int")},
+        {"_no": (is_in | F.coalesce("_gone", F.lit(False)) | (F.col("ends") == 1)).cast("int")},
         block,
     ).filter(F.col("_gone").isNull())
-    named = numbered.withColumn("node", incarnation(F.col("path"), F.col("_no")))
+    named = numbered.withColumn("node", incarnation(F.col("path"), F.col("_no") - F.col("ends")))
     resolved = named.join(roots, ["project", "node"], "left").withColumn(
         "lineage", F.coalesce("root", "node")
     )
     columns = [*events.columns, "lineage"]
-    return plain.filter(~_is_delete()).select(*columns).unionByName(resolved.select(*columns))
+    return plain.select(*columns).unionByName(resolved.select(*columns))

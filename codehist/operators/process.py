@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codehist.operators.events import CHANGE, LABEL, ORDER
+from codehist.operators.events import CHANGE, DELETION, LABEL, ORDER
 from codehist.operators.history import FILE, Carry
 from codehist.plans.ordered import BLOCK, block_of, opening_sums, running, so_far
 
-# output name: history column
+# fixed values: output name, and the history column
 METRICS = {
     "qtyOfCommits": "n",
     "linesAdded": "lines_added",
@@ -58,7 +58,7 @@ def author_stats(history: DataFrame, block: int = BLOCK, carry: Carry | None = N
     moves = history.filter(is_change).select(*FILE, F.explode(steps).alias("s"))
     if carry is not None:
         # an author who is major in the carried state stays so until commit 20 k
-        known = carry.files.join(history, FILE, "left_semi").select(*FILE, "n")
+        known = carry.files.join(history.select(*FILE).distinct(), FILE, "left_semi").select(*FILE, "n")
         known = known.join(carry.authors, FILE).filter(20 * F.col("k") >= F.col("n"))
         since = F.array(F.struct(n.alias("n"), F.lit(1).alias("d")),
                         F.struct((20 * k + 1).alias("n"), F.lit(-1).alias("d")))
@@ -122,10 +122,10 @@ def label_process_asof(instances: DataFrame, history: DataFrame, block: int = BL
 def latest_state(history: DataFrame) -> DataFrame:
     """Current state of every live file: the last event of its lineage.
 
-    A file overwritten by a rename, or renamed away, has no state of its own.
+    A file overwritten by a rename, renamed away or deleted has no state of its own.
     """
     when = F.struct(*ORDER)
     state = F.struct(*[c for c in history.columns if c not in FILE])
-    last = history.groupBy(*FILE).agg(F.max_by(state, when).alias("s")).select(*FILE, "s.*")
+    last = history.groupBy(*FILE).agg(F.max_by(state, when).alias("s")).select(*FILE, "s.*").filter(F.col("phase") != DELETION)
     owner = history.groupBy("project", "path").agg(F.max_by("lineage", when).alias("lineage"))
     return last.join(owner, ["project", "path", "lineage"], "left_semi")

@@ -16,11 +16,12 @@ from codehist.functions.names import (
 )
 
 COMMIT = ["project", "commit_id"]
-# the columns that make two rows the same instance
+# the columns that make two rows the same instance: label instances and stable ones
 SAME = [
-    "project", "commit_id", "filePath", "className", "level",
-    "methodMetrics", "variableMetrics", "fieldMetrics",
+    "project", "commit_id", "filePath", "className", "isTest", "level", "classMetrics",
+    "methodMetrics", "variableMetrics", "fieldMetrics", "processMetrics",
 ]
+OF_LABELS, OF_STABLE = ["refactoring", "refactoringSummary"], ["commitThreshold"]
 
 
 def mark_invalid(instances: DataFrame, limit: int = 50) -> DataFrame:
@@ -37,13 +38,23 @@ def mark_invalid(instances: DataFrame, limit: int = 50) -> DataFrame:
     return instances.join(bad, COMMIT, "left").withColumn("isValid", valid).drop("_bad")
 
 
-def valid_instances(instances: DataFrame) -> DataFrame:
-    return instances.filter(F.coalesce("isValid", F.lit(True)))
+def valid_instances(instances: DataFrame, project: str | None = None) -> DataFrame:
+    """Rows marked as valid, of one project if given; rows without a mark are left out."""
+    valid = instances.filter(F.col("isValid"))
+    return valid if project is None else valid.filter(F.col("project") == project)
+
+
+def in_order(rows: DataFrame, commits: DataFrame) -> DataFrame:
+    """Rows sorted by project, place of the commit in the walk, and id: a stable order to read in."""
+    at = commits.select(*COMMIT, "walk_pos")
+    return rows.join(at, COMMIT, "left").orderBy("project", "walk_pos", "id").drop("walk_pos")
 
 
 def duplicate_instances(rows: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Per project: rows, distinct rows, and how many are one too many."""
-    same = columns or [c for c in [*SAME, "refactoringSummary", "commitThreshold"] if c in rows.columns]
+    """Per project: valid rows, distinct ones, and how many are one too many."""
+    same = columns or [c for c in [*SAME, *OF_LABELS, *OF_STABLE] if c in rows.columns]
+    if "isValid" in rows.columns:
+        rows = valid_instances(rows)
     counted = rows.groupBy(*{"project": 0, **dict.fromkeys(same, 0)}).agg(F.count("*").alias("_n"))
     return counted.groupBy("project").agg(
         F.sum("_n").alias("rows"),
@@ -65,8 +76,8 @@ def distinct_names(rows: DataFrame) -> DataFrame:
 
 
 def orphan_commits(instances: DataFrame, stable: DataFrame, commit_meta: DataFrame) -> DataFrame:
-    """Commits used by rows but not described, or described but not used."""
-    used = instances.select(*COMMIT).unionByName(stable.select(*COMMIT)).distinct()
+    """Commits used by valid rows but not described, or described but not used."""
+    used = valid_instances(instances).select(*COMMIT).unionByName(stable.select(*COMMIT)).distinct()
     known = commit_meta.select(*COMMIT).distinct()
     return (
         used.join(known, COMMIT, "left_anti")
@@ -105,7 +116,9 @@ def drop_unfinished(tables: dict[str, DataFrame], projects: DataFrame) -> dict[s
 
 
 def drop_project(tables: dict[str, DataFrame], project: str) -> dict[str, DataFrame]:
-    return {n: t.filter(F.col("project") != project) for n, t in tables.items()}
+    """Every table without one project; rows that name no project stay."""
+    gone = F.col("project").eqNullSafe(F.lit(project))
+    return {n: t.filter(~gone) for n, t in tables.items()}
 
 
 def failed_projects(runs: DataFrame) -> DataFrame:

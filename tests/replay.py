@@ -1,80 +1,71 @@
-"""Plain replay of the tracker, one event at a time: what the windows must equal."""
+"""What the windows must equal: each file as the list of what happened to it.
 
-from __future__ import annotations
-
-import copy
-from dataclasses import dataclass, field
-
-BUG_WORDS = ["bug", "error", "mistake", "fault", "wrong", "fail", "fix"]
+A list is judged as a whole. Changes stand at a place of a cycle; thresholds
+that have not fired in the cycle are pending, and a change fires the first
+pending one that its place has reached. A cycle ends with its last threshold
+or at a reset; a file that forgets has all thresholds pending again.
+"""
 
+from __future__ import annotations
 
-@dataclass
-class State:
-    n: int = 0
-    added: int = 0
-    deleted: int = 0
-    bugs: int = 0
-    refactorings: int = 0
-    authors: dict = field(default_factory=dict)
+from collections import Counter, namedtuple
 
-    def metrics(self):
-        minor = sum(1 for c in self.authors.values() if c < self.n * 0.05)
-        own = max(self.authors.values()) / self.n if self.authors else 0.0
-        return (
-            self.n, self.added, self.deleted, self.bugs, self.refactorings,
-            len(self.authors), minor, len(self.authors) - minor, round(own, 9),
-        )
+Step = namedtuple("Step", "kind commit author added deleted bug", defaults=(None, None, 0, 0, 0))
+Judged = namedtuple("Judged", "metrics refactorings fired base_commit base_metrics place")
 
 
-@dataclass
-class Tracker:
-    base_commit: str
-    base: State = field(default_factory=State)
-    now: State = field(default_factory=State)
-    last: int = 0
+def metrics(steps, refactorings):
+    changes = [s for s in steps if s.kind == "change"]
+    n, per_author = len(changes), Counter(s.author for s in changes)
+    minor = sum(20 * k < n for k in per_author.values())
+    own = round(max(per_author.values()) / n, 9) if n else 0.0
+    return (
+        n, sum(s.added for s in changes), sum(s.deleted for s in changes), sum(s.bug for s in changes),
+        refactorings, len(per_author), minor, len(per_author) - minor, own,
+    )
 
-    def reset(self, commit):
-        self.now.refactorings += 1
-        self.last = 0
-        self.base_commit = commit
-        self.base = copy.deepcopy(self.now)
 
-    def fires(self, thresholds):
-        counter = self.now.n - self.base.n
-        for t in sorted(thresholds):
-            if counter >= t and (t > self.last or t == counter):
-                self.last = t
-                return True
-        return False
+def judge(steps, cuts):
+    """State after the last step, and what that step fired."""
+    cuts = sorted(cuts)
+    place, pending, refactorings, base = 0, list(cuts), 0, (steps[0].commit, 0, 0)
+    fired = at_firing = None
+    for i, step in enumerate(steps, 1):
+        fired = None
+        if step.kind == "reset":
+            place, pending, refactorings = 0, list(cuts), refactorings + 1
+            base = (step.commit, i, refactorings)
+        elif step.kind == "forget":
+            pending = list(cuts)
+        else:
+            place += 1
+            if place >= pending[0]:
+                fired, at_firing = pending.pop(0), (base, place, refactorings)
+            if not pending:
+                place, pending, refactorings = 0, list(cuts), refactorings + 1
+                base = (step.commit, i, refactorings)
+    used, shown, before = at_firing if fired else (base, place, refactorings)
+    return Judged(metrics(steps, refactorings), before if fired else refactorings, fired, used[0], metrics(steps[: used[1]], used[2]), shown)
 
 
 def replay(events, thresholds):
-    """events: dicts of one project in order. Returns label snapshots and firings."""
+    """events: dicts of one project in order. Returns label snapshots, firings, states after changes, and live files."""
     files, labels, fired, states = {}, [], [], []
     for e in events:
         commit, path = e["commit_id"], e["path"]
         if e["phase"] == 1:
             for _ in range(e["resets"]):
-                t = files.get(path)
-                labels.append((commit, path, (t.now if t else State()).metrics()))
-                files.setdefault(path, Tracker(commit)).reset(commit)
-        elif e["phase"] in (2, 3):
-            old = files.pop(e["old_path"], None) or Tracker(commit)
-            moved = copy.deepcopy(old)
-            moved.last = 0
-            files[path] = moved
-            if e["phase"] == 3:
-                moved.reset(commit)
+                old = files.get(path, [])
+                labels.append((commit, path, judge(old, thresholds).metrics if old else metrics([], 0)))
+                files[path] = [*old, Step("reset", commit)]
+        elif e["phase"] == 5:
+            files.pop(path, None)
+        elif e["old_path"] is not None:
+            files[path] = [*files.pop(e["old_path"], []), Step("reset" if e["phase"] == 3 else "forget", commit)]
         else:
-            t = files.setdefault(path, Tracker(commit))
-            t.now.n += 1
-            t.now.added += e["added"]
-            t.now.deleted += e["deleted"]
-            t.now.bugs += e["is_bug"]
-            t.now.authors[e["author"]] = t.now.authors.get(e["author"], 0) + 1
-            states.append((commit, path, t.now.n, t.now.refactorings))
-            if t.fires(thresholds):
-                fired.append((commit, path, t.last, t.base_commit, t.base.metrics()))
-                if t.last == max(thresholds):
-                    t.reset(commit)
-    return labels, fired, states, files
+            files[path] = [*files.get(path, []), Step("change", commit, e["author"], e["added"], e["deleted"], e["is_bug"])]
+            now = judge(files[path], thresholds)
+            states.append((commit, path, now.metrics[0], now.refactorings))
+            if now.fired:
+                fired.append((commit, path, now.fired, now.base_commit, now.base_metrics))
+    return labels, fired, states, {path: judge(steps, thresholds) for path, steps in files.items()}

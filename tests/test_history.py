@@ -13,7 +13,7 @@ from codehist.session import staged
 from tests.replay import replay
 
 
-def random_log(seed, commits=400, files=6, renames=True, detector=False, hot=0.4):
+def random_log(seed, commits=400, files=6, renames=True, detector=False, hot=0.4, deletes=0.0):
     rnd = random.Random(seed)
     paths = [f"F{i}.java" for i in range(files)]
     log = []
@@ -21,7 +21,7 @@ def random_log(seed, commits=400, files=6, renames=True, detector=False, hot=0.4
     def add(pos, phase, i, path, **kw):
         e = dict(
             project="p", path=path, old_path=None, walk_pos=pos, phase=phase, pos=i,
-            commit_id=f"c{pos}", resets=0, clears=0, author=None, added=0, deleted=0, is_bug=0,
+            commit_id=f"c{pos}", resets=0, clears=0, author=None, added=0, deleted=0, is_bug=0, ends=0,
         )
         log.append(e | kw)
 
@@ -38,6 +38,8 @@ def random_log(seed, commits=400, files=6, renames=True, detector=False, hot=0.4
         for i, path in enumerate(sorted({pick() for _ in range(rnd.choice([1, 1, 2, 3]))})):
             add(pos, 4, i, path, author=who, added=rnd.randrange(9), deleted=rnd.randrange(9),
                 is_bug=rnd.randrange(2))
+        if rnd.random() < deletes:
+            add(pos, 5, 0, pick(), ends=1)
     return log
 
 
@@ -47,7 +49,7 @@ def check(spark, log, thresholds, block):
     history = staged(author_stats(file_history(events, thresholds, authors=True, block=block), block))
     labels, fired, states, files = replay(log, thresholds)
     rows = history.collect()
-    got = sorted((r.commit_id, r.path, r.n, r.refactorings - (r.fired == max(thresholds)))
+    got = sorted((r.commit_id, r.path, r.n, r.refactorings - (r.fired == max(thresholds)))  # before the end of a cycle counts
                  for r in rows if r.phase == 4)
     assert got == sorted(states)
     got = []
@@ -66,7 +68,7 @@ def check(spark, log, thresholds, block):
     ]
     assert sorted(stable) == sorted(fired)
     live = {(r.path, r.n, r.refactorings) for r in latest_state(history).collect()}
-    assert live == {(p, t.now.n, t.now.refactorings) for p, t in files.items()}
+    assert live == {(p, t.metrics[0], t.metrics[4]) for p, t in files.items()}
     return history, files
 
 
@@ -79,7 +81,7 @@ def test_windows_equal_replay_without_renames(spark, seed, block):
 def test_windows_equal_replay_with_renames(spark, seed, block):
     history, files = check(spark, random_log(seed), (2, 5), block)
     now = {r.path for r in stable_now(history, (2, 5)).collect()}
-    assert now == {p for p, t in files.items() if t.now.n - t.base.n == 2}
+    assert now == {p for p, t in files.items() if t.place == 2}
 
 
 @pytest.mark.parametrize("seed,block", [(8, 6), (9, 40), (10, 1 << 16)])
@@ -91,9 +93,19 @@ def test_renames_that_forget_the_fired_threshold(spark, seed, block):
     check(spark, [e for e in log if e["phase"] != 1 or e["resets"]], (2, 5, 6), block)
 
 
+@pytest.mark.parametrize("seed,block", [(11, 6), (12, 40), (13, 1 << 16)])
+def test_deleted_files_are_gone(spark, seed, block):
+    log = random_log(seed, deletes=0.1)
+    history, files = check(spark, log, (2, 5), block)
+    live = [r.path for r in latest_state(history).collect()]
+    assert sorted(live) == sorted(files) and len(set(live)) == len(live)
+    now = {r.path for r in stable_now(history, (2, 5)).collect()}
+    assert now == {p for p, t in files.items() if t.place == 2}
+
+
 def test_late_cycle(spark):
     change = dict(project="p", path="B", old_path=None, phase=4, pos=0, resets=0, clears=0,
-                  author="a", added=0, deleted=0, is_bug=0)
+                  author="a", added=0, deleted=0, is_bug=0, ends=0)
     log = [change | dict(path="A", walk_pos=i, commit_id=f"c{i}") for i in range(1, 8)]
     log.append(change | dict(old_path="A", phase=2, clears=1, author=None, walk_pos=8, commit_id="c8"))
     log += [change | dict(walk_pos=i, commit_id=f"c{i}") for i in range(8, 14)]

@@ -19,11 +19,12 @@ from codehist.operators import process as pr
 from codehist.operators import quality as ql
 from codehist.operators import reports as rp
 from codehist.operators import stability as stb
-from codehist.operators.events import CHANGE
+from codehist.operators.events import CHANGE, event_log
 from codehist.operators.exact import with_exact_cycles
 from codehist.operators.history import closed_form_history, file_history
 from codehist.operators.lineage import rename_lineage
 from codehist.plans.mining import history_events, mine
+from codehist.plans.ordered import BLOCK
 from codehist.schemas import CLASS_METRICS, LEGACY_TYPES, METHOD_METRICS
 from codehist.session import shared_dir, staged
 from codehist.sources.tables import project_lines, write_rows
@@ -72,19 +73,23 @@ def _targets(spark, sf):
     return lb.label_targets(_processed(spark, sf), vw.labels(spark, sf), _changes(spark, sf))
 
 
-def _events(spark, sf):
+def _events(spark, sf, block=BLOCK):
     """Event log with lineage; every target counts as a reset."""
     resets = _targets(spark, sf).select(*lb.COMMIT, "path")
     log = history_events(_processed(spark, sf), _changes(spark, sf), vw.labels(spark, sf), resets)
-    return staged(rename_lineage(staged(log)))
+    return staged(rename_lineage(staged(log), block))
 
 
-def _history(spark, sf, authors=False):
-    return file_history(_events(spark, sf), CUTS, authors)
+def _history(spark, sf, authors=False, block=BLOCK):
+    return file_history(_events(spark, sf, block), CUTS, authors, block)
 
 
-def _mined(spark, sf):
-    return mine(vw.commits(spark, sf), _changes(spark, sf), vw.labels(spark, sf), vw.ck_classes(spark, sf), CUTS)
+def _mined(spark, sf, block=BLOCK):
+    return mine(vw.commits(spark, sf), _changes(spark, sf), vw.labels(spark, sf), vw.ck_classes(spark, sf), CUTS, block)
+
+
+#: Block of the queries whose names end in _blocks: files and projects then lie in many blocks, even in a small table.
+SMALL = 512
 
 
 def _big(*names: str) -> list:
@@ -105,11 +110,19 @@ def scan_projects(spark, sf):
     return project_lines(lines)
 
 
-@query(dk.with_fx("select project, commit_id, walk_pos, nr as commit_number from com", COMMITS_CTE))
+REPLAY_SQL = dk.with_fx("select project, commit_id, walk_pos, nr as commit_number from com", COMMITS_CTE)
+
+
+@query(REPLAY_SQL)
 def commit_replay(spark, sf):
     return cm.commit_replay(vw.commits(spark, sf)).select("project", "commit_id", "walk_pos", "commit_number")
 
 
+@query(REPLAY_SQL)
+def commit_replay_blocks(spark, sf):
+    return cm.commit_replay(vw.commits(spark, sf), block=SMALL).select("project", "commit_id", "walk_pos", "commit_number")
+
+
 @query(
     dk.with_fx(
         "select fx0.project, commit_id, row_number() over (partition by fx0.project order by walk_pos) as commit_number "
@@ -189,6 +202,17 @@ def file_state(spark, sf):
     return _change_state(_history(spark, sf))
 
 
+@query(dk.with_fx(STATE_SQL, *REP), prepare=True)
+def file_state_blocks(spark, sf):
+    return _change_state(_history(spark, sf, block=SMALL))
+
+
+@query(dk.with_fx(STATE_SQL, *REP), prepare=True)
+def file_state_exact_blocks(spark, sf):
+    events = _events(spark, sf, SMALL)
+    return _change_state(with_exact_cycles(closed_form_history(events, CUTS, block=SMALL), events, CUTS, SMALL))
+
+
 @query(dk.with_fx(STATE_SQL, *REP), prepare=True)
 def file_state_exact(spark, sf):
     """Every file replayed block by block instead of by the closed form."""
@@ -205,9 +229,9 @@ def _stable_sql(cuts) -> str:
     )
 
 
-def _stable(cuts):
+def _stable(cuts, block=BLOCK):
     def run(spark, sf):
-        history = file_history(_events(spark, sf), cuts)
+        history = file_history(_events(spark, sf, block), cuts, block=block)
         return stb.stable_files(history, cuts).select(
             "project", "path", "stable_commit", *_big("fired"), "base_commit", *_big("base_n", "refactorings")
         )
@@ -217,6 +241,7 @@ def _stable(cuts):
 
 query(_stable_sql((2, 5)), "stable_files", prepare=True)(_stable((2, 5)))
 query(_stable_sql((3, 8)), "stable_files_3_8", prepare=True)(_stable((3, 8)))
+query(_stable_sql((2, 5)), "stable_files_blocks", prepare=True)(_stable((2, 5), SMALL))
 
 BASE_STATE = (
     "left join (select user_id, n, cast(any_value(s_added) as bigint) as a, cast(any_value(s_deleted) as bigint) as d, "
@@ -271,20 +296,59 @@ def stable_now(spark, sf):
     return rows.select("project", "path", *_big("n"), F.col("since_base").cast("bigint").alias("counter"))
 
 
+LIVES = """with e as (select *, event_id % 17 = 0 as gone from events),
+life as (select *, coalesce(sum(cast(gone as int)) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding), 0) as life from e),
+st as (select concat('p', user_id % 5) as project, concat('src/F', user_id, '.java') as path, user_id, life, event_id, gone,
+              count(*) filter (where not gone) over w as n, sum(case when gone then 0 else floor(value) end) over w as added,
+              row_number() over (partition by user_id order by event_id desc) as back
+       from life window w as (partition by user_id, life order by event_id))"""
+
+
+def _lives(spark, sf, block=BLOCK):
+    """The history of files of which some are deleted and created anew."""
+    log = event_log(vw.commits(spark, sf), vw.deletion_changes(spark, sf), keep_deletes=True)
+    return file_history(staged(rename_lineage(staged(log), block)), CUTS, block=block)
+
+
 @query(
-    dk.with_fx(
+    f"{LIVES} select project, path, concat('c', event_id) as commit_id, n, cast(added as bigint) as lines_added, "
+    "case when (n - 1) % 5 + 1 in (2, 5) then (n - 1) % 5 + 1 end as fired from st where not gone"
+)
+def file_state_deletes(spark, sf):
+    rows = _lives(spark, sf).filter(F.col("phase") == CHANGE)
+    return rows.select("project", "path", "commit_id", *_big("n", "lines_added", "fired"))
+
+
+@query(f"{LIVES} select project, path, n, cast(added as bigint) as lines_added from st where back = 1 and not gone")
+def latest_state_deletes(spark, sf):
+    return pr.latest_state(_lives(spark, sf)).select("project", "path", *_big("n", "lines_added"))
+
+
+AUTHORS_SQL = dk.with_fx(
         "select project, path, commit_id, ev.n, authors, minor, major, ownership from ev join aut "
         "on aut.user_id = ev.user_id and aut.n = ev.n where phase = 4",
         dk.events_cte("tgt"), dk.AUTHORS,
-    ), prepare=True)
-def author_stats(spark, sf):
-    rows = pr.author_stats(_history(spark, sf, authors=True)).filter(F.col("phase") == CHANGE)
+    )
+
+
+def _author_stats(spark, sf, block=BLOCK):
+    rows = pr.author_stats(_history(spark, sf, authors=True, block=block), block).filter(F.col("phase") == CHANGE)
     return rows.select(
         "project", "path", "commit_id", *_big("n", "authors", "minor", "major"),
         F.round("ownership", 6).alias("ownership"),
     )
 
 
+@query(AUTHORS_SQL, prepare=True)
+def author_stats(spark, sf):
+    return _author_stats(spark, sf)
+
+
+@query(AUTHORS_SQL, prepare=True)
+def author_stats_blocks(spark, sf):
+    return _author_stats(spark, sf, SMALL)
+
+
 @query(
     dk.with_fx(
         "select project, commit_id, walk_pos, path, concat(stem, '0.java') as origin from ev join "
@@ -1143,6 +1207,7 @@ def _stream_file_state(spark, sf):
         "case when phase = 4 then cast(floor(value) as bigint) else 0L end as added",
         "0L as deleted",
         "0 as is_bug",
+        "0 as ends",
     )
     folder = f"{shared_dir(spark).rstrip('/')}/tracker-{uuid.uuid4().hex}"
     running = stream_file_state(log, folder, CUTS)

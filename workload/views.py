@@ -237,6 +237,18 @@ def wide_events(spark: SparkSession, sf: str) -> DataFrame:
         "case when phase = 4 then _added else 0L end as added",
         "case when phase = 4 then _deleted else 0L end as deleted",
         "case when phase = 4 then _bug else 0 end as is_bug",
+        "0 as ends",
+    )
+
+
+def deletion_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """One file per user; some commits delete it, the next one creates it anew."""
+    return read(spark, sf, "events").selectExpr(
+        "concat('p', user_id % 5) as project", "concat('c', event_id) as commit_id", "0 as entry_pos",
+        "case when event_id % 17 = 0 then 'DELETE' else 'MODIFY' end as change_type",
+        "concat('src/F', user_id, '.java') as old_path",
+        "case when event_id % 17 = 0 then '/dev/null' else concat('src/F', user_id, '.java') end as new_path",
+        "cast(floor(value) as bigint) as lines_added", "0L as lines_deleted",
     )
 
 
