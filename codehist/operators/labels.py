@@ -70,7 +70,9 @@ def label_targets(commits: DataFrame, labels: DataFrame, changes: DataFrame) ->
     )
     studied = studied_refactorings(labels).join(parents, COMMIT)
     rows = refactored_classes(studied)
-    old = old_path_map(changes).withColumnRenamed("new_path", "file")
+    # only commits with labels need their old paths
+    asked = changes.join(studied.select(*COMMIT).distinct(), COMMIT, "left_semi")
+    old = old_path_map(asked).withColumnRenamed("new_path", "file")
     path = F.when(~is_class_rename(F.col("type")), F.col("old_path"))
     rows = rows.join(old, [*COMMIT, "file"], "left").withColumn("path", F.coalesce(path, "file"))
     rows = rows.filter(~file_is_missing(F.col("path")) & ~is_anonymous_class(F.col("class")))

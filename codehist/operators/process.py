@@ -34,10 +34,14 @@ def process_metrics(refactorings: Column | None = None) -> Column:
     )
 
 
-def author_stats(history: DataFrame, block: int = BLOCK, carry: Carry | None = None) -> DataFrame:
+def author_stats(
+    history: DataFrame, block: int = BLOCK, carry: Carry | None = None, asked: Column | None = None
+) -> DataFrame:
     """Add major, minor and ownership to a history with authors.
 
     Reads the history several times; ``file_history`` has it written already.
+    All changes count, but only the rows ``asked`` for are returned (default:
+    all) and take their wide columns through the window.
 
     An author with ``k`` of a file's ``n`` commits is minor while 20 k < n. A
     commit of theirs therefore makes (or keeps) them major until commit 20 k:
@@ -69,7 +73,8 @@ def author_stats(history: DataFrame, block: int = BLOCK, carry: Carry | None = N
         .filter("_step <> 0")
         .withColumn("_blk", block_of("n", block))
     )
-    rows = history.withColumn("_blk", block_of("n", block)).withColumn("_row", F.lit(2))
+    rows = history if asked is None else history.filter(asked)
+    rows = rows.withColumn("_blk", block_of("n", block)).withColumn("_row", F.lit(2))
     # a block may have rows but no steps of its own: carry the total there too
     later = rows.filter(F.col("n") >= block).select(*FILE, "_blk").distinct()
     steps_or_none = delta.select(*FILE, "_blk", "_step").unionByName(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codehist.operators.events import ORDER
@@ -16,11 +16,16 @@ def _metric_names(history: DataFrame) -> list[str]:
     return [c for c in METRICS.values() if c in history.columns and c != "refactorings"]
 
 
+def may_start(thresholds: Sequence[int]) -> Column:
+    """Events a streak may start from: resets and ends of cycles."""
+    return F.coalesce(F.col("fired") == max(thresholds), F.lit(False)) | (F.col("resets") > 0)
+
+
 def streak_starts(history: DataFrame, thresholds: Sequence[int]) -> DataFrame:
-    """Rows a streak may start from (resets, ends of cycles), by commit count."""
+    """Rows a streak may start from, by commit count."""
     top = max(thresholds)
     return (
-        history.filter((F.col("fired") == top) | (F.col("resets") > 0))
+        history.filter(may_start(thresholds))
         .groupBy(*FILE, F.col("n").alias("base_n"))
         .agg(
             F.max(F.when(F.col("fired") == top, F.col("commit_id"))).alias("_cycle_commit"),
@@ -41,26 +46,31 @@ def with_streak_start(rows: DataFrame, starts: DataFrame) -> DataFrame:
 
 
 def stable_files(
-    history: DataFrame, thresholds: Sequence[int], earlier: DataFrame | None = None
+    history: DataFrame,
+    thresholds: Sequence[int],
+    earlier: DataFrame | None = None,
+    measured: DataFrame | None = None,
 ) -> DataFrame:
     """One row per firing, with the state at the commit the streak started from.
 
     That commit is the last reset (or the one that created the file), unless a
     full cycle lies behind: then it is the change that ended the cycle. Both
     are rows of the history, found by file and commit count; ``earlier`` holds
-    those from before the history. Metrics the history lacks are left out.
+    those from before the history. ``measured`` holds the rows that may start a
+    streak with more metrics than the history; metrics both lack are left out.
     """
-    starts = streak_starts(history, thresholds)
+    measured = history if measured is None else measured
+    starts = streak_starts(measured, thresholds)
     if earlier is not None:
         starts = starts.unionByName(earlier.select(starts.columns)).groupBy(*FILE, "base_n")
-        starts = starts.agg(*[F.max(c).alias(c) for c in ("_cycle_commit", *_metric_names(history))])
+        starts = starts.agg(*[F.max(c).alias(c) for c in ("_cycle_commit", *_metric_names(measured))])
     last = (F.col("fired") == max(thresholds)).cast("int")
     fired = history.filter(F.col("fired").isNotNull()).withColumns(
         {"stable_commit": F.col("commit_id"), "refactorings": F.col("refactorings") - last}
     )
     return with_streak_start(fired, starts).select(
         *FILE, "path", *ORDER, "stable_commit", "fired", "base_commit", "base_n", "refactorings",
-        *_metric_names(history),
+        *_metric_names(measured),
     )
 
 

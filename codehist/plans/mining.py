@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 
 from codehist.operators import labels as lb
 from codehist.operators.commits import with_detection, without_merges
-from codehist.operators.events import event_log
+from codehist.operators.events import LABEL, event_log
 from codehist.operators.history import file_history
 from codehist.operators.instances import refactoring_instances, stable_rows, training_set
 from codehist.operators.lineage import rename_lineage
 from codehist.operators.process import author_stats, label_process_asof, process_metrics
-from codehist.operators.stability import stable_files
+from codehist.operators.stability import may_start, stable_files
 from codehist.plans.ordered import BLOCK
 from codehist.schemas import DEFAULT_THRESHOLDS
 from codehist.session import staged
@@ -68,9 +68,12 @@ def mine(
     # both are read several times: by the rename edges, and by totals and rows
     log = staged(history_events(processed, changes, labels, resets, keep_deletes))
     events = staged(rename_lineage(log, block))
-    history = staged(author_stats(file_history(events, thresholds, authors=True, block=block), block))
-    base = stable_files(history, thresholds).withColumn("n", F.col("base_n"))
+    history = file_history(events, thresholds, authors=True, block=block)
+    # author metrics are asked for at labels and where a streak may start
+    asked = (F.col("phase") == LABEL) | may_start(thresholds)
+    measured = staged(author_stats(history, block, asked=asked))
+    base = stable_files(history, thresholds, measured=measured).withColumn("n", F.col("base_n"))
     base = base.withColumn("processMetrics", process_metrics()).select(
         "project", "path", "base_commit", "stable_commit", "fired", "processMetrics"
     )
-    return Mined(label_process_asof(found, history, block), stable_rows(base, ck), history, targets)
+    return Mined(label_process_asof(found, measured, block), stable_rows(base, ck), history, targets)

@@ -1,9 +1,18 @@
-"""Session helpers: the shared folder and tables written to it."""
+"""Session helpers: the shared folder, and tables written to it.
+
+All tables of an application lie in one folder of their own, so that they can be
+removed together: by ``drop_stages`` once a result is written, and at the latest
+when the driver ends.
+"""
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,8 +22,8 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by the cluster.
 
-    A session without the setting must be local (tests); anything else has to
-    name a shared folder, because executors may be lost at any time.
+    Only a local session, whose executors are the driver, may go without the
+    setting; it gets a folder of its own, and the setting with it.
     """
     folder = spark.conf.get(CHECKPOINT_CONF, None)
     if folder:
@@ -22,13 +31,25 @@ def shared_dir(spark: SparkSession) -> str:
     folder = spark.sparkContext.getCheckpointDir()
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local($|\[)", spark.sparkContext.master):
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a shared folder")
     folder = tempfile.mkdtemp(prefix="codehist-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+_homes: dict[str, str] = {}
+
+
+def home(spark: SparkSession) -> str:
+    """The folder of this application below the shared one."""
+    app = spark.sparkContext.applicationId
+    if app not in _homes:
+        _homes[app] = f"{shared_dir(spark).rstrip('/')}/codehist-{uuid.uuid4().hex}"
+        atexit.register(_drop_at_exit, app)
+    return _homes[app]
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -36,6 +57,29 @@ def staged(df: DataFrame) -> DataFrame:
     later reads still prune columns and Spark knows the size of the table.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    path = f"{home(spark)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_stages(spark: SparkSession) -> None:
+    """Remove all tables written so far; results that are read from them are gone as well."""
+    folder = _homes.pop(spark.sparkContext.applicationId, None)
+    if folder is not None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def stages(spark: SparkSession) -> Iterator[None]:
+    """Inside, results are worked out and written; their tables are removed at the end."""
+    try:
+        yield
+    finally:
+        drop_stages(spark)
+
+
+def _drop_at_exit(app: str) -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None and spark.sparkContext.applicationId == app:
+        drop_stages(spark)

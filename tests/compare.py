@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import sys
+import tempfile
 import time
 from collections import Counter
 from pathlib import Path
@@ -73,6 +74,7 @@ def difference(spark, con, folder, fn, sql):
 def main(folder="/root/testdata/sf0.01", *only):
     sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
     import __spark_entry__ as entry
+    from codehist.session import drop_stages
     from pyspark.sql import SparkSession
 
     spark = (
@@ -81,6 +83,8 @@ def main(folder="/root/testdata/sf0.01", *only):
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="compare-"))
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -93,6 +97,7 @@ def main(folder="/root/testdata/sf0.01", *only):
             text = difference(spark, con, folder, fn, sql.get(name))
         except Exception as e:  # report and go on with the next query
             text = f"{type(e).__name__}: {str(e)[:700]}"
+        drop_stages(spark)
         bad += bool(text)
         print(f"{'DIFF' if text else 'ok  '} {name} {time.time() - start:.1f}s {text}", flush=True)
     print(f"{bad} differ")

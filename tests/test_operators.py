@@ -59,7 +59,7 @@ def test_running_sums_over_blocks(spark):
 
 def change(pos, path="A", author="a", added=1, deleted=1, bug=0):
     return dict(project="p", path=path, old_path=None, walk_pos=pos, phase=4, pos=0, commit_id=f"c{pos}",
-                resets=0, clears=0, author=author, added=added, deleted=deleted, is_bug=bug)
+                resets=0, clears=0, author=author, added=added, deleted=deleted, is_bug=bug, ends=0)
 
 
 def label(pos, path="A", resets=1):
@@ -119,12 +119,23 @@ def test_deletes_are_optional(spark):
 
     def counts(keep):
         log = rename_lineage(staged(event_log(commits, changes, keep_deletes=keep)))
-        return sorted(r.n for r in file_history(staged(log), (2,)).collect())
+        return sorted(r.n for r in file_history(staged(log), (2,)).filter("phase = 4").collect())
 
     assert counts(False) == [1, 2]
     assert counts(True) == [1, 1]
 
 
+def test_a_change_without_author_is_a_change(spark):
+    log = [change(1), change(2, author=None), change(3)]
+    assert [(r.path, r.n) for r in latest_state(history(spark, log)).collect()] == [("A", 3)]
+
+
+def test_a_deleted_file_has_no_state(spark):
+    gone = dict(phase=5, author=None, added=0, deleted=0, ends=1)
+    log = [change(1), change(2) | gone, change(3, "B"), change(4, "C"), change(5, "C") | gone, change(6, "C")]
+    assert sorted((r.path, r.n) for r in latest_state(history(spark, log)).collect()) == [("B", 1), ("C", 1)]
+
+
 def label_row(no, type_, before, after=None, method=None, element=None):
     pair = lambda ps: [(f, c) for f, c in ps]
     return ("p", "c2", no, type_, type_.title(), f" {type_} ", pair(before), pair(after or before), method, element)
@@ -178,6 +189,51 @@ def test_labels_to_instances(spark):
         (c, level): n for c in ("x.A", "x.A.I") for level, n in ((1, 1), (2, 2), (3, 1), (4, 1))}
 
 
+def test_the_first_match_is_one_that_has_the_method(spark):
+    """The class of the new name lacks the method, that of the old name has it: the label keeps its metrics and resets the file."""
+    commits = commit_rows(spark, [0, 1])
+    changes = spark.createDataFrame(
+        [("p", f"c{i}", 0, "MODIFY", "A.java", "A.java", 1, 0) for i in (1, 2)],
+        "project string, commit_id string, entry_pos int, change_type string, old_path string, new_path string, "
+        "lines_added long, lines_deleted long")
+    labels = spark.createDataFrame([
+        label_row(0, "RENAME_CLASS", [("A.java", "x.Old")], [("A.java", "x.New")]),
+        label_row(1, "RENAME_METHOD", [("A.java", "x.New")], method="run/0"),
+    ], schemas.REFACTORINGS)
+
+    def ck(name, kind, *methods):
+        return ("p", "x", "A.java", name, kind, *[7.0 if m.endswith("CC") else 7 for m in schemas.CLASS_METRICS],
+                [(m, 1, *[1] * 23, {}, {}) for m in methods])
+
+    rows = [ck("x.New", "class", "other/0"), ck("x.Old", "class", "run/0"), ck("x.Old", "enum", "run/0")]
+    mined = mine(commits, changes, labels, spark.createDataFrame(rows, schemas.CK_CLASSES), (2,))
+    found = {(r.ref_pos, r.className, r.match_pos): r.processMetrics for r in mined.instances.collect() if r.ref_pos == 1}
+    assert set(found) == {(1, "x.Old", 1), (1, "x.Old", 2)}
+    assert found[1, "x.Old", 1].qtyOfCommits == 1 and found[1, "x.Old", 2] is None
+    assert [r.resets for r in mined.history.filter("phase = 1").collect()] == [2]
+
+
+def test_valid_rows_in_order(spark):
+    rows = [("p", "c2", "i3", True), ("p", "c1", "i9", True), ("p", "c2", "i1", True), ("p", "c1", "i2", None), ("p", "c1", "i4", False), ("q", "c1", "i0", True), (None, "c1", "i7", True)]
+    df = spark.createDataFrame(rows, "project string, commit_id string, id string, isValid boolean")
+    assert sorted(r.id for r in ql.valid_instances(df).collect()) == ["i0", "i1", "i3", "i7", "i9"]
+    commits = commit_rows(spark, [0, 1]).withColumnRenamed("x", "y")
+    assert [r.id for r in ql.in_order(ql.valid_instances(df, "p"), commits).collect()] == ["i9", "i1", "i3"]
+    assert sorted(r.id for r in ql.drop_project({"t": df}, "p")["t"].collect()) == ["i0", "i7"]
+    assert [r.id for r in ins.commit_instances(df, "c2").orderBy("id").collect()] == ["i1", "i3"]
+
+
+def test_duplicates_and_used_commits_among_valid_rows(spark):
+    columns = "project string, commit_id string, className string, refactoring string, refactoringSummary string, isValid boolean"
+    rows = [("p", "c1", "A", "Rename", "s", True)] * 2 + [("p", "c1", "A", "Move", "s", True), ("p", "c1", "A", "Rename", "s", False), ("p", "c2", "A", "Rename", "s", False)]
+    df = spark.createDataFrame(rows, columns)
+    assert [tuple(r) for r in ql.duplicate_instances(df).collect()] == [("p", 3, 2, 1)]
+    meta = spark.createDataFrame([("p", "c1"), ("p", "c3")], "project string, commit_id string")
+    stable = meta.limit(0)
+    got = {(r.commit_id, r.problem) for r in ql.orphan_commits(df, stable, meta).collect()}
+    assert got == {("c3", "not used")}
+
+
 def test_broken_commit_changes_nothing(spark):
     commits = commit_rows(spark, [0, 1, 1])
     changes = spark.createDataFrame(

@@ -14,14 +14,14 @@ def with_markers(log, commits):
     for e in log:
         per[e["walk_pos"]] += 1
     marks = [dict(project="p", path=None, old_path=None, walk_pos=p, phase=0, pos=0, commit_id=f"c{p}", resets=n,
-                  clears=0, author=None, added=0, deleted=0, is_bug=0) for p, n in per.items()]
+                  clears=0, author=None, added=0, deleted=0, is_bug=0, ends=0) for p, n in per.items()]
     return log + marks
 
 
-@pytest.mark.parametrize("seed,detector", [(21, False), (22, True)])
-def test_stream_equals_replay(spark, tmp_path, seed, detector):
+@pytest.mark.parametrize("seed,detector,deletes", [(21, False, 0.0), (22, True, 0.0), (23, False, 0.15)])
+def test_stream_equals_replay(spark, tmp_path, seed, detector, deletes):
     cuts, commits, files = (2, 5, 6), 160, 4
-    log = random_log(seed, commits=commits, files=files, detector=detector)
+    log = random_log(seed, commits=commits, files=files, detector=detector, deletes=deletes)
     if detector:
         log = [e for e in log if e["phase"] != 1 or e["walk_pos"] % 4 == 0]
     rows = with_markers(log, commits)
@@ -48,8 +48,11 @@ def test_stream_equals_replay(spark, tmp_path, seed, detector):
         for r in results(spark, out, "labels").collect() for i in range(r.resets)
     ]
     assert sorted(got) == sorted(labels)
+    for batch in range(files):
+        paths = [(r.project, r.path) for r in spark.read.parquet(f"{out}/files/batch={batch}").collect()]
+        assert len(paths) == len(set(paths))
     last = spark.read.parquet(f"{out}/files/batch={files - 1}").collect()
-    assert {(r.path, r.n) for r in last} == {(p, t.now.n) for p, t in live.items()}
+    assert {(r.path, r.n) for r in last} == {(p, t.metrics[0]) for p, t in live.items()}
     assert results(spark, out, "late").count() == 0
 
 
