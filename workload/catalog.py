@@ -570,9 +570,9 @@ UNIT_SELECT = (
 )
 
 
-def _units(rows):
+def _units(rows, *more):
     return rows.select(
-        "project", "commit_id", "filePath", "className", F.col("commitThreshold").cast("bigint").alias("commitThreshold"), "level",
+        *more, "project", "commit_id", "filePath", "className", F.col("commitThreshold").cast("bigint").alias("commitThreshold"), "level",
         F.col("methodMetrics.shortMethodName").alias("method"),
         F.coalesce("variableMetrics.variableName", "fieldMetrics.fieldName").alias("element"),
         F.coalesce("variableMetrics.variableAppearances", "fieldMetrics.fieldAppearances").cast("bigint").alias("uses"),
@@ -587,16 +587,20 @@ def stable_rows(spark, sf):
 
 @query(
     dk.with_fx(
-        "select 'refactoring' as kind, project, level, count(*) as rows_found, cast(sum(class_pos) as bigint) as check_sum from inst group by all "
-        "union all select 'stable', project, level, count(*), cast(sum(fired) as bigint) from unit group by all",
+        "select 'refactoring' as kind, i.project, i.commit_id, i.old_path as \"filePath\", i.class as \"className\", i.level, cast(null as bigint) as \"commitThreshold\", "
+        "case when i.level in (2, 3) then concat('m', meth) end as method, case when i.level in (3, 4) then element_name end as element, uses, "
+        "st.n as \"qtyOfCommits\", i.ref_pos, i.class_pos, refs - k + row_number() over (partition by i.user_id, i.walk_pos order by i.ref_pos, i.class_pos) - 1 as refs "
+        "from (select *, cast(case level when 3 then case element_name when 'e0' then meth when 'e1' then meth + 1 else -1 end "
+        f"when 4 then {FIELD_SQL} end as bigint) as uses from inst) i join st on st.user_id = i.user_id and st.walk_pos = i.walk_pos and st.phase = 1 "
+        "union all select 'stable', project, base_commit, path, concat('pkg.F', user_id, case when inner_class = 1 then '.Inner' else '' end), level, fired, "
+        "method, element, cast(uses as bigint), base_n, null, null, null from unit",
         *MINED, UNITS,
     ), prepare=True)
 def training_set(spark, sf):
     rows = _mined(spark, sf).training_set()
-    return rows.groupBy("kind", "project", "level").agg(
-        F.count("*").alias("rows_found"),
-        F.sum(F.coalesce("class_pos", "commitThreshold")).cast("bigint").alias("check_sum"),
-    )
+    extra = rows.withColumn("refs", F.when(F.col("kind") == "refactoring", F.col("processMetrics.refactoringsInvolved")).cast("bigint"))
+    more = ("kind", "ref_pos", "class_pos", "refs")
+    return _units(extra, *more)
 
 
 @query(
@@ -628,14 +632,15 @@ def class_metrics(spark, sf):
 
 @query(
     dk.with_fx(
-        "select project, commit_id, new_path as file, i.inner_class = 1 as is_inner, concat('m', m.m, '/2[T', user_id % 9, ',Map]') as \"fullMethodName\", "
+        "select project, case when s.side = 0 then commit_id else concat('b', event_id) end as commit_id, "
+        "case when s.side = 0 then new_path else old_path end as file, i.inner_class = 1 as is_inner, concat('m', m.m, '/2[T', user_id % 9, ',Map]') as \"fullMethodName\", "
         f"concat('m', m.m) as \"shortMethodName\", 10 * m.m as \"startLine\", {', '.join(p.rsplit(' as ', 1)[0] + ' as ' + chr(34) + p.rsplit(' as ', 1)[1] + chr(34) for p in vw._split(dk.metric_columns(METHOD_METRICS, 'event_id + m.m')))} "
-        "from chg join (values (0), (1)) i(inner_class) on true join (values (0), (1), (2)) m(m) on m.m < event_id % 4"
+        "from chg join (values (0), (1)) i(inner_class) on true join (values (0), (1)) s(side) on true "
+        "join (values (0), (1), (2)) m(m) on m.m < event_id % 4"
     )
 )
 def method_metrics(spark, sf):
-    rows = vw.ck_classes(spark, sf).filter("commit_id like 'c%'")
-    rows = rows.select("project", "commit_id", "file", nm.is_inner_class(F.col("type")).alias("is_inner"), F.explode("methods").alias("m"))
+    rows = vw.ck_classes(spark, sf).select("project", "commit_id", "file", nm.is_inner_class(F.col("type")).alias("is_inner"), F.explode("methods").alias("m"))
     return rows.select("project", "commit_id", "file", "is_inner", ins.method_metric(F.col("m")).alias("x")).select(
         "project", "commit_id", "file", "is_inner", "x.*"
     )
@@ -917,20 +922,26 @@ def mark_invalid(spark, sf):
 @query(
     dk.with_fx(
         "select project, commit_id, ref_pos, class_pos from inst where not exists (select 1 from (select commit_id as c, class from inst "
-        f"group by all having count(*) >= {LIMIT}) x where x.c = inst.commit_id)"
+        f"group by all having count(*) >= {LIMIT}) x where x.c = inst.commit_id) and ref_pos % 2 = 0"
     ), prepare=True)
 def valid_instances(spark, sf):
-    rows = ql.valid_instances(ql.mark_invalid(_instances(spark, sf), LIMIT))
+    """Every other label has no mark at all."""
+    rows = ql.mark_invalid(_instances(spark, sf), LIMIT)
+    rows = ql.valid_instances(rows.withColumn("isValid", F.when(F.col("ref_pos") % 2 == 0, F.col("isValid"))))
     return rows.select("project", "commit_id", "ref_pos", "class_pos")
 
 
 @query(
     dk.with_fx(
         "select project, cast(sum(c) as bigint) as rows, count(*) as distinct_rows, cast(sum(c) - count(*) as bigint) as duplicates from "
-        "(select project, commit_id, class, level, count(*) as c from inst group by all) group by project"
+        "(select project, commit_id, old_path, class, level, meth, case when level in (3, 4) then element_name end as el, display_name, summary, "
+        "count(*) as c from (select inst.* from inst join (values (0), (1)) twice(t) on t = 0 or event_id % 4 = 0) group by all) group by project"
     ), prepare=True)
 def duplicate_instances(spark, sf):
-    return ql.duplicate_instances(_instances(spark, sf), ["project", "commit_id", "className", "level"])
+    """The rows of every fourth commit stand in the table twice."""
+    rows = staged(_instances(spark, sf))
+    again = rows.filter(F.expr("cast(substring(commit_id, 2) as bigint) % 4 = 0"))
+    return ql.duplicate_instances(rows.unionByName(again))
 
 
 @query(
@@ -962,16 +973,20 @@ def _known_projects(spark, sf):
 
 
 def _customer_rows(spark, sf):
-    return vw.read(spark, sf, "customer").selectExpr("concat('p', c_nationkey) as project", "c_custkey", "c_nationkey")
+    """Rows of known projects, and some that name none."""
+    return vw.read(spark, sf, "customer").selectExpr(f"{CUSTOMER_PROJECT} as project", "c_custkey", "c_nationkey")
+
+
+CUSTOMER_PROJECT = "case when c_custkey % 11 > 0 then concat('p', c_nationkey) end"
 
 
-@query("select concat('p', c_nationkey) as project, c_custkey from customer where c_nationkey % 3 > 0")
+@query(f"select {CUSTOMER_PROJECT} as project, c_custkey from customer where c_nationkey % 3 > 0 or c_custkey % 11 = 0")
 def drop_unfinished(spark, sf):
     tables = {"rows": _customer_rows(spark, sf).select("project", "c_custkey")}
     return ql.drop_unfinished(tables, _known_projects(spark, sf))["rows"]
 
 
-@query("select concat('p', c_nationkey) as project, c_custkey from customer where c_nationkey <> 7")
+@query(f"select {CUSTOMER_PROJECT} as project, c_custkey from customer where c_nationkey <> 7 or c_custkey % 11 = 0")
 def drop_project(spark, sf):
     return ql.drop_project({"rows": _customer_rows(spark, sf).select("project", "c_custkey")}, "p7")["rows"]
 
