@@ -1155,23 +1155,23 @@ def commit_timing(spark, sf):
 
 @query(
     dk.with_fx(
-        "select x.project, concat(commits, ' ', last_commit_hash, ' ', n) as counts, git_url as \"gitUrl\", '[20, 50]' as \"commitCountThresholds\", "
-        "not starts_with(git_url, 'https') as \"isLocal\" from (select project, count(*) as commits, arg_max(commit_id, walk_pos) as last_commit_hash from fx0 group by 1) x "
-        "join prj using (project) join (select project, count(*) as n from src where lower(path) like '%.java' group by 1) f using (project)",
-        PROJECTS_CTE, dk.SOURCES,
+        "select x.project, 'set' as \"datasetName\", git_url as \"gitUrl\", replace(string_split(rtrim(git_url, '/'), '/')[-1], '.git', '') as \"projectName\", "
+        "timestamp '2024-01-01 00:00:00' as \"dateOfProcessing\", cast(null as timestamp) as \"finishedDate\", commits, '[20, 50]' as \"commitCountThresholds\", "
+        "f.*, cast(-1 as bigint) as \"projectSizeInBytes\", last_commit_hash as \"lastCommitHash\", "
+        "not (starts_with(git_url, 'https') or starts_with(git_url, 'git')) as \"isLocal\" "
+        "from (select project, count(*) as commits, arg_max(commit_id, walk_pos) as last_commit_hash from fx0 group by 1) x join prj using (project) "
+        "left join lateral (select cast(coalesce(sum(n), 0) as bigint) as \"javaLoc\", count(*) filter (where not t) as \"numberOfProductionFiles\", "
+        "count(*) filter (where t) as \"numberOfTestFiles\", cast(coalesce(sum(n) filter (where not t), 0) as bigint) as \"productionLoc\", "
+        "cast(coalesce(sum(n) filter (where t), 0) as bigint) as \"testLoc\", count(*) filter (where text is null) as \"exceptionsCount\" "
+        "from (select *, lower(path) like '%test%' as t from loc where lower(path) like '%.java' and loc.project = x.project)) f on true",
+        PROJECTS_CTE, dk.SOURCES, LOC_CTE,
     )
 )
 def project_table(spark, sf):
     asked = _projects(spark, sf).selectExpr(
         "project", "'set' as dataset", "git_url", "timestamp '2024-01-01 00:00:00' as date_of_processing", "cast(null as bigint) as size_in_bytes"
     )
-    rows = cm.project_table(
-        asked, cm.commit_totals(vw.commits(spark, sf)), inv.project_inventory(vw.source_files(spark, sf)), "50, 20"
-    )
-    files = F.col("numberOfProductionFiles") + F.col("numberOfTestFiles")
-    return rows.select(
-        "project", F.concat_ws(" ", "commits", "lastCommitHash", files).alias("counts"), "gitUrl", "commitCountThresholds", "isLocal"
-    )
+    return cm.project_table(asked, cm.commit_totals(vw.commits(spark, sf)), inv.project_inventory(vw.source_files(spark, sf)), "50, 20")
 
 
 # --- sink and stream ------------------------------------------------------------
