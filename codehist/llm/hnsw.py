@@ -4,8 +4,9 @@ Vectors are dealt to shards of bounded size by a hash of their id. A task builds
 near nodes such that no link points to a node that is closer to an earlier one. Nodes are inserted in batches that search the graph together, with
 numpy over the whole batch. Neighbours are flat arrays, one row of fixed width per node and layer; a shard is one file in the shared folder.
 
-Inner products become distances by one more coordinate, sqrt(R^2 - |x|^2) for the largest norm R: then all vectors have one norm, and queries, with 0 there, keep
-their order of inner products. Equal vectors are one node with several ids. Scores are worked out anew in double precision on the original vectors.
+Nearness is the inner product itself, while the graph is built as well as while it is searched: long vectors then become hubs, which is where the neighbours of
+queries are. (A further coordinate that makes all norms equal turns inner products into distances, but measured worse by far on unequal lengths.) Equal
+vectors are one node with several ids. Scores are worked out anew in double precision on the original vectors.
 
 Defined results: a vector that is null, empty, zero, or holds null or non-finite components takes no part, nor does one without id; vectors meet vectors of
 their own length only; a row that repeats id and vector counts once, and rows that share the query's id are never its neighbours. The index holds every
@@ -82,7 +83,7 @@ def spread(x: np.ndarray, q: np.ndarray, ids: np.ndarray, near: np.ndarray, most
 
 
 class Graph:
-    """Layers over vectors x (all of one norm). On layer k the nodes of height k or more have neighbours: links[k] is (n, width), -1 where there are fewer."""
+    """Layers over vectors x. On layer k the nodes of height k or more have neighbours: links[k] is (n, width), -1 where there are fewer."""
 
     def __init__(self, x: np.ndarray, heights: np.ndarray, links: list[np.ndarray], entry: int):
         self.x, self.heights, self.links, self.entry = x, heights, links, entry
@@ -162,10 +163,9 @@ class Shard:
         self.vectors, self.first, self.ids, self.graph = vectors, first, ids, graph
 
     @staticmethod
-    def raised(vectors: np.ndarray) -> np.ndarray:
-        norms = (vectors.astype(float) ** 2).sum(1)
-        top = norms.max()
-        return (np.column_stack([vectors, np.sqrt(np.maximum(top - norms, 0))]) / np.sqrt(top)).astype(np.float32)
+    def scaled(vectors: np.ndarray) -> np.ndarray:
+        """No longer than 1, so that single precision does for the graph."""
+        return (vectors / np.sqrt((vectors.astype(float) ** 2).sum(1).max())).astype(np.float32)
 
     @classmethod
     def build(cls, ids: np.ndarray, vectors: np.ndarray) -> Shard:
@@ -175,7 +175,7 @@ class Shard:
         same = np.append(False, ~new[1:] & (ids[1:] == ids[:-1]))
         distinct, group = vectors[new], (np.cumsum(new) - 1)[~same]
         first = np.searchsorted(group, np.arange(len(distinct) + 1))
-        return cls(distinct, first, ids[~same], Graph.build(cls.raised(distinct)))
+        return cls(distinct, first, ids[~same], Graph.build(cls.scaled(distinct)))
 
     def dump(self) -> bytes:
         g, out = self.graph, io.BytesIO()
@@ -194,15 +194,15 @@ class Shard:
             for k in range(1, int(heights.max()) + 1):
                 links.append(np.full((len(heights), f[f"links{k}"].shape[1]), -1, np.int64))
                 links[-1][f[f"nodes{k}"]] = f[f"links{k}"]
-            graph = Graph(cls.raised(f["vectors"]), heights, links, int(f["entry"]))
+            graph = Graph(cls.scaled(f["vectors"]), heights, links, int(f["entry"]))
             return cls(f["vectors"], f["first"], f["ids"], graph)
 
     def nearest(self, query_ids: np.ndarray, queries: np.ndarray, k: int, ef: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row of the query, id and score of up to k neighbours each; larger scores, then smaller ids, come first."""
-        flat = np.column_stack([queries, np.zeros(len(queries))]).astype(np.float32)
+        scaled = (queries / np.linalg.norm(queries.astype(float), axis=1, keepdims=True)).astype(np.float32)
         out = []
         for a in range(0, len(queries), TOGETHER):
-            found = self.graph.search(flat[a : a + TOGETHER], max(ef, k + 1))
+            found = self.graph.search(scaled[a : a + TOGETHER], max(ef, k + 1))
             for i, nodes in enumerate(found, a):
                 nodes = nodes[nodes >= 0]
                 score = self.vectors[nodes].astype(float) @ queries[i].astype(float)

@@ -50,7 +50,7 @@ def test_recall_of_a_shard(kind):
 
 
 def test_links_are_flat_and_reach_every_node():
-    x = H.Shard.raised(np.random.default_rng(5).normal(size=(1500, 8)).astype(np.float32))
+    x = H.Shard.scaled(np.random.default_rng(5).normal(size=(1500, 8)).astype(np.float32))
     g = H.Graph.build(x)
     assert g.links[0].shape == (1500, 2 * H.LINKS) and all((a.max(1)[g.heights < k] == -1).all() for k, a in enumerate(g.links))
     seen, todo = {g.entry}, [g.entry]
