@@ -29,7 +29,7 @@ from codehist.llm.tables import new_folder, staged, table
 from codehist.llm.token_files import put
 
 #: Vectors per shard on average; queries that meet a shard in one unit of work.
-SHARD, QUERIES = 16_384, 4096
+SHARD, QUERIES = 16_384, 1024
 LINKS, EF_BUILD, EF_SEARCH = 16, 96, 256
 #: Nodes expanded at once in each beam, and searches that run together.
 WIDTH, TOGETHER = 4, 256
@@ -248,6 +248,9 @@ def build_index(vectors: DataFrame, folder: str, shard_size: int = SHARD) -> Dat
         put(folder, name, Shard.build(part["vec_id"].to_numpy(), matrix(part["embedding"])).dump())
         return pd.DataFrame({"dim": [key[0]], "shard": [key[1]], "file": [name]})
 
+    # a task's work is the graph, however few bytes its vectors have: a set number of tasks
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(tasks, "dim", "shard")
     return staged(dealt.groupBy("dim", "shard").applyInPandas(run, "dim int, shard long, file string"))
 
 
@@ -258,7 +261,8 @@ def search_index(queries: DataFrame, index: DataFrame, folder: str, k: int, ef:
     n = F.count("*")
     blocks = asked.groupBy("dim").agg(F.ceil(n / QUERIES).alias("blocks"))
     asked = asked.join(blocks, "dim").withColumn("block", F.pmod("q", "blocks"))
-    units = asked.join(index, "dim").repartition("file", "block").sortWithinPartitions("file")
+    tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    units = asked.join(index, "dim").repartition(tasks, "file", "block").sortWithinPartitions("file")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
