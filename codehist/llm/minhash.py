@@ -4,9 +4,9 @@ Documents with equal shingle sets are one node. Of the minima of a node, five at
 four low bits of each minimum are kept beside the keys, sixteen to a long. Of a pair, the share p of equal fields gives the similarity (p - 1/16) / (15/16).
 
 No bucket is expanded into its pairs. First each bucket's leader (the member with the most company in all its buckets) is compared with all members; links that
-full sets confirm join nodes into components. Pairs that remain lie in one bucket, but in different components: there, the members outside the bucket's
-largest component are compared with all others, block by block inside tasks, and only pairs whose estimate reaches the limit leave a task, once per pair.
-The limit lies more than five standard deviations below the similarity that is asked for; a pair at that similarity shares no band with probability 5e-9.
+full sets confirm join nodes into components. Pairs that remain share a bucket, hence a leader, but not a component: of all nodes with one leader, those
+outside the largest component are compared with all others, block by block inside tasks, and only confirmed links between components leave a task.
+The limit for estimates lies more than five standard deviations below the similarity that is asked for; a pair at that similarity shares no band with probability 5e-9.
 So links are exact but for these odds.
 
 Defined results: a null text is empty; a document without words has an empty set, links with nothing and is kept; with fewer words than a shingle has, all its
@@ -30,8 +30,8 @@ BANDS, ROWS, BITS = 48, 5, 4
 FIELDS = 64 // BITS
 #: How far below the similarity an estimate may lie.
 MARGIN = 0.14
-#: Members of a bucket that meet in one block, and bits of the filter that picks the texts whose sets are needed.
-BLOCK, FILTER_BITS = 512, 1 << 23
+#: Nodes of a group that meet in one block, by signatures or by sets; bits of the filter that picks the texts whose sets are needed.
+BLOCK, SET_BLOCK, FILTER_BITS = 512, 128, 1 << 23
 
 _RNG = np.random.default_rng(20)
 SCALE = _RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -172,43 +172,86 @@ def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, perce
     return both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
-def rest_pairs(members: DataFrame, leaders: DataFrame, labels: DataFrame, nodes: DataFrame, limit: float) -> DataFrame:
-    """Pairs of one bucket in different components, but those with its leader, whose estimate reaches the limit; each pair once."""
-    placed = members.join(leaders, "key").where("node != leader").join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node"))
-    per_comp = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    mixed_keys = per_comp.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all")).where("all > top.n")
-    own = placed.join(mixed_keys, "key").withColumn("outside", F.col("comp") != F.col("top.comp"))
-    blocks = lambda n: F.ceil(n / BLOCK)
-    row = F.struct("node", F.xxhash64("comp").alias("comp"), "outside", "sig", F.transform("bands", lambda b: b.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("bands"))
-    own = own.join(nodes.select("node", "sig", "bands"), "node").withColumn("row", row).withColumn("m_blocks", blocks(F.col("all"))).withColumn("u_blocks", blocks(F.col("all") - F.col("top.n")))
+def blocks_of_groups(rows: DataFrame, payload: Column, block: int) -> DataFrame:
+    """Units of work (us, ms) of the groups (leader) whose nodes lie in several components (comp).
+
+    ``us`` are nodes outside the group's largest component, ``ms`` any nodes; over the units of a group, each node of the first kind meets every node of the
+    group. No unit holds more than about ``block`` of each.
+    """
+    per_comp = rows.groupBy("leader", "comp").agg(F.count("*").alias("n"))
+    several = per_comp.groupBy("leader").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all")).where("all > top.n")
+    own = rows.join(several, "leader").withColumn("outside", F.col("comp") != F.col("top.comp"))
+    row = F.struct("node", F.xxhash64("comp").alias("comp"), "outside", payload.alias("payload"))
+    own = own.withColumn("row", row).withColumn("m_blocks", F.ceil(F.col("all") / block)).withColumn("u_blocks", F.ceil((F.col("all") - F.col("top.n")) / block))
     place = F.xxhash64("node")
-    ms = own.groupBy("key", "pos", F.pmod(place, "m_blocks").alias("m")).agg(F.collect_list("row").alias("ms"))
-    us = own.where("outside").groupBy("key", "m_blocks", F.pmod(place, "u_blocks").alias("u")).agg(F.collect_list("row").alias("us"))
-    units = us.withColumn("m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m_blocks") - 1))).join(ms, ["key", "m"]).select("pos", "us", "ms")
+    ms = own.groupBy("leader", F.pmod(place, "m_blocks").alias("m")).agg(F.collect_list("row").alias("ms"))
+    us = own.where("outside").groupBy("leader", "m_blocks", F.pmod(place, "u_blocks").alias("u")).agg(F.collect_list("row").alias("us"))
+    return us.withColumn("m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m_blocks") - 1))).join(ms, ["leader", "m"]).select("leader", "us", "ms")
 
-    def arrays(rows: pa.Array):
-        n = len(rows)
-        parts = {f: rows.field(f) for f in ("node", "comp", "outside", "sig", "bands")}
-        sig = parts["sig"].flatten().to_numpy().view(np.uint64).reshape(n, -1)
-        return parts["node"].to_pylist(), parts["comp"].to_numpy(), parts["outside"].to_numpy(zero_copy_only=False), sig, parts["bands"].flatten().to_numpy().reshape(n, -1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def candidates(us: pa.Array, ms: pa.Array, limit: float) -> Iterator[tuple[int, int, float]]:
+    """Places of the pairs of a unit in different components whose estimate reaches the limit, each pair once."""
+
+    def parts(rows: pa.Array):
+        sig = rows.field("payload").field("sig").flatten().to_numpy().view(np.uint64).reshape(len(rows), -1)
+        return rows.field("node").to_pylist(), rows.field("comp").to_numpy(), rows.field("outside").to_numpy(zero_copy_only=False), sig
+
+    (u_node, u_comp, _, u_sig), (m_node, m_comp, m_out, m_sig) = parts(us), parts(ms)
+    for a in range(0, len(u_node), 64):
+        guess = estimates(u_sig[a : a + 64], m_sig)
+        for i, j in zip(*np.nonzero((guess >= limit) & (u_comp[a : a + 64, None] != m_comp[None, :])), strict=True):
+            if not m_out[j] or u_node[a + i] < m_node[j]:
+                yield a + i, j, guess[i, j]
+
+
+def rest_links(members: DataFrame, leaders: DataFrame, labels: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent: int, limit: float) -> DataFrame:
+    """Links (a, b) between components among the nodes that share a leader, enough to join all components that have some.
+
+    A first pass compares signatures and names the nodes that have a candidate in another component; only their sets are fetched. The second pass
+    compares sets, best estimates first; two components that a unit has linked are not looked at again in it.
+    """
+    groups = members.join(leaders, "key").where("node != leader").select("leader", "node").distinct()
+    groups = staged(groups.join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label"))
+    signed = groups.join(nodes.select("node", "sig"), "node")
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for pos, u_rows, m_rows in zip(batch.column("pos").to_pylist(), batch.column("us"), batch.column("ms"), strict=True):
-                u_node, u_comp, _, u_sig, u_bands = arrays(u_rows.values)
-                m_node, m_comp, m_out, m_sig, m_bands = arrays(m_rows.values)
-                for a in range(0, len(u_node), 64):
-                    part = slice(a, a + 64)
-                    ok = (estimates(u_sig[part], m_sig) >= limit) & (u_comp[part, None] != m_comp[None, :])
-                    for i, j in zip(*np.nonzero(ok), strict=True):
-                        x, y = u_node[a + i], m_node[j]
-                        if (not m_out[j] or x < y) and int((u_bands[a + i] == m_bands[j]).argmax()) == pos:
-                            found.append((x, y))
+            found: set[tuple[bytes, bytes]] = set()
+            for leader, us, ms in zip(batch.column("leader").to_pylist(), batch.column("us"), batch.column("ms"), strict=True):
+                u_node, m_node = (x.values.field("node").to_pylist() for x in (us, ms))
+                for i, j, _ in candidates(us.values, ms.values, limit):
+                    found |= {(leader, u_node[i]), (leader, m_node[j])}
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found, strict=True)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found, strict=True)], names=["leader", "node"])
+
+    named = staged(blocks_of_groups(signed, F.struct("sig"), BLOCK).mapInArrow(name, "leader binary, node binary").distinct())
+    if named.isEmpty():
+        return named.select(F.col("leader").alias("a"), F.col("node").alias("b"))
+    wanted = staged(nodes.select("node", "rep").join(named.select("node").distinct(), "node", "left_semi"))
+    sets = staged(full_sets(docs, wanted, k))
+    rows = signed.join(named, ["leader", "node"]).join(sets, "node")
 
-    return units.mapInArrow(run, "a binary, b binary")
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in (whole.slice(a, 1) for a in range(len(whole))):
+                us, ms = batch.column("us")[0].values, batch.column("ms")[0].values
+                u_node, m_node = us.field("node").to_pylist(), ms.field("node").to_pylist()
+                u_comp, m_comp = us.field("comp").to_pylist(), ms.field("comp").to_pylist()
+                u_set, m_set = (x.field("payload").field("members") for x in (us, ms))
+                joined, found = set(), []
+                for i, j, _ in sorted(candidates(us, ms, limit), key=lambda c: -c[2]):
+                    between = (min(u_comp[i], m_comp[j]), max(u_comp[i], m_comp[j]))
+                    if between in joined:
+                        continue
+                    x, y = u_set[i].values.to_numpy(), m_set[int(j)].values.to_numpy()
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    if 100 * common >= percent * (len(x) + len(y) - common):
+                        joined.add(between)
+                        found.append((u_node[i], m_node[j]))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found, strict=True)], names=["a", "b"])
+
+    return staged(blocks_of_groups(rows, F.struct("sig", "members"), SET_BLOCK).mapInArrow(compare, "a binary, b binary"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -217,7 +260,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     rows = staged(prints(docs, k))
     nodes = staged(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
 
-    buckets = nodes.select("node", F.posexplode("bands").alias("pos", "key"))
+    buckets = nodes.select("node", F.explode("bands").alias("key"))
     crowded = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = staged(buckets.join(crowded, "key"))
     company = members.groupBy("node").agg(F.sum("n").alias("company"))
@@ -230,9 +273,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     links = staged(confirmed(likely, docs, nodes, k, percent))
     labels = components(links)
 
-    rest = staged(rest_pairs(members, leaders, labels, nodes, limit))
+    rest = rest_links(members, leaders, labels, docs, nodes, k, percent, limit)
     if not rest.isEmpty():
-        links = links.unionByName(staged(confirmed(rest, docs, nodes, k, percent)))
+        links = links.unionByName(rest)
         labels = components(links)
     least = labels.join(nodes.select("node", "rep"), "node").groupBy("label").agg(F.min("rep").alias("least"))
     known = nodes.select("node", "rep").join(labels.join(least, "label").select("node", "label", "least"), "node", "left")

@@ -56,6 +56,7 @@ def near_copies(rng, n, base_size=60, edits=(0, 1, 2, 4, 6, 8)):
 @pytest.mark.parametrize("k", [2, 5])
 def test_equals_brute_force(spark, k, monkeypatch):
     monkeypatch.setattr(M, "BLOCK", 7)
+    monkeypatch.setattr(M, "SET_BLOCK", 5)
     rng = random.Random(k)
     texts = near_copies(rng, 80) + near_copies(rng, 40, 150) + near_copies(rng, 20, 12, (0, 1, 2))
     texts += [None, "", " \n", "One", "one", "ONE two", "one  two", "É é", texts[0], texts[0], "a b c d", "a b c D", "w " * 40_000, "w\t" * 39_000]
