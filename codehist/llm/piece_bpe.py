@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codehist.llm.tables import table
-from codehist.llm.vectors import flat, pieces, threads_off
+from codehist.llm.vectors import flat, give_back, pieces, threads_off
 from codehist.llm.word_bpe import WordIds
 
 SPACE = "▁"
@@ -249,6 +249,8 @@ def encode(docs: DataFrame, model: str, keep: list[str]) -> DataFrame:
             ids, counts = encoder(model).texts(batch.column("text"))
             ends = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.ListArray.from_arrays(ends, pa.array(ids.astype(np.int32)))], names=[*keep, "ids"])
+        encoder(model).table.clear()
+        give_back()
 
     kinds = dict(docs.dtypes)
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, ", ".join([f"`{k}` {kinds[k]}" for k in keep] + ["ids array<int>"]))
@@ -269,6 +271,7 @@ def decode(encoded: DataFrame, model: str, keep: list[str]) -> DataFrame:
                 crc = [zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip(ends[:-1], ends[1:], strict=True)]
                 columns = [pa.array(encoder(model).decode(ids, counts), pa.string()), pa.array(counts), pa.array(crc, pa.int64())]
                 yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *columns], names=[*keep, "text", "n_tokens", "ids_crc32"])
+        give_back()
 
     kinds = dict(encoded.dtypes)
     schema = ", ".join([f"`{k}` {kinds[k]}" for k in keep] + ["text string, n_tokens long, ids_crc32 long"])

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codehist.llm.tables import new_folder, staged, table
-from codehist.llm.vectors import flat, pieces
+from codehist.llm.vectors import flat, give_back, pieces
 from codehist.llm.word_bpe import word_ids
 
 MAGIC = "directly-addressable-ids-1"
@@ -135,6 +135,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
                 k += 1
         if held:
             yield flush()
+        encoder.clear()
+        give_back()
 
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     dealt = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")

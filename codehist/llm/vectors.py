@@ -6,6 +6,8 @@ chunks, so that a very long text needs memory for its words only.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 from collections.abc import Iterator
 
@@ -74,6 +76,7 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 1
             last = max(first + 1, int(np.searchsorted(ends, before + most, "right")))
             yield batch.slice(first, last - first)
             first = last
+    give_back()
 
 
 def per_text(marks: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -129,6 +132,13 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data | 32, data)
 
 
+def give_back() -> None:
+    """Return memory that is not in use: a worker that waits for its next task should not hold what the last one needed."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def threads_off() -> None:
     """Each task has one core: libraries that start threads of their own would take those of other tasks."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

@@ -75,7 +75,7 @@ class WordEncoder:
         return [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
 
     def __call__(self, words: list[bytes]) -> list[tuple[int, ...]]:
-        if len(self.letters) > MOST_WORDS:
+        if len(self.letters) > MOST_WORDS // 2:
             self.letters.clear()
         if len(self.points) > 10_000:
             self.points = {b"": ()}
