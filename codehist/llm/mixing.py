@@ -165,9 +165,11 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     # rows that share id and text are told apart by numbers; which gets which does not matter, as far as the source is the same
     twin = F.dense_rank().over(Window.partitionBy("doc_id", "t").orderBy("source", "no", "bucket", "place"))
     whole = whole.withColumn("dup", twin).select(F.col("doc_id").alias("with_id"), F.col("t").alias("with_t"), "dup", "copy", "size", "words", "slot")
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), "doc_id", F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("t")).withColumn("dup", dup)
-    met = rows.withColumnRenamed("dup", "own").join(whole, (F.col("t") == F.col("with_t")) & (F.col("own") == F.col("dup")) & F.col("doc_id").eqNullSafe(F.col("with_id")))
-    taken = met.select("row", F.col("row.text").alias("text"), "size", "words", "slot").repartitionByRange("slot").sortWithinPartitions("slot")
+    others = F.struct(*(F.col(f"`{c}`") for c in names if c != "text")).alias("row")
+    rows = docs.select(others, "text", "doc_id", F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("t")).withColumn("own", dup)
+    met = rows.drop("source").join(whole, (F.col("t") == F.col("with_t")) & (F.col("own") == F.col("dup")) & F.col("doc_id").eqNullSafe(F.col("with_id")))
+    # the text goes through both shuffles once, other columns beside it
+    taken = met.select("row", "text", "size", "words", "slot").repartitionByRange("slot").sortWithinPartitions("slot")
     cut = taken.mapInArrow(first_words, taken.schema)
     return cut.select(*(F.col("text") if c == "text" else F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"row.`{c}`") for c in names))
 
