@@ -58,16 +58,37 @@ def staged(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{home(spark)}/stage-{uuid.uuid4().hex}"
+    for paths in _watched:
+        paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_watched: list[list[str]] = []
+
+
+@contextmanager
+def tables_made() -> Iterator[list[str]]:
+    """The paths of all tables that are staged inside."""
+    paths: list[str] = []
+    _watched.append(paths)
+    try:
+        yield paths
+    finally:
+        _watched.remove(paths)
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_stages(spark: SparkSession) -> None:
     """Remove all tables written so far; results that are read from them are gone as well."""
     folder = _homes.pop(spark.sparkContext.applicationId, None)
     if folder is not None:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(spark, [folder])
 
 
 @contextmanager
