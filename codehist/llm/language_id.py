@@ -109,9 +109,13 @@ def fit(docs: DataFrame, learn: Column, clusters: int = CLUSTERS, sample: int =
     n, df = document_frequencies(known)
     idf = np.log((1 + n) / (1 + df)) + 1
 
-    sizes = known.groupBy("lang").agg(F.count("*").alias("rows"))
+    # a number per language, as in the model itself: the sample is chosen where the texts are, before any shuffle
+    rows_of = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not rows_of:
+        return Model([], np.zeros((0, DIM), np.float32), idf, 0.0)
+    limits = F.create_map(*(F.lit(x) for lang, rows in sorted(rows_of.items()) for x in (lang, float(1 << 30) * 1.5 * sample / rows)))
     key = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30))
-    chosen = known.join(sizes, "lang").withColumn("key", key).where(F.col("key") * F.col("rows") < F.lit(float(1 << 30) * 1.5 * sample))
+    chosen = known.withColumn("key", key).where(F.col("key") < F.element_at(limits, F.col("lang")))
 
     def centres(rows):
         import pandas as pd
