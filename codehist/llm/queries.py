@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codehist.llm import archives, hnsw, language_id, minhash, mixing, piece_bpe, quality_model, quality_rules, suffix_dedup, token_files
+from codehist.llm import archives, fill_middle, hnsw, language_id, minhash, mixing, piece_bpe, quality_model, quality_rules, suffix_dedup, token_files
 
 SPARK = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -15,6 +15,7 @@ SPARK = {
     "op8_piece_bpe": piece_bpe.op8_piece_bpe,
     "op9_quality_model": quality_model.op9_quality_model,
     "op10_language_id": language_id.op10_language_id,
+    "op12_fill_middle": fill_middle.op12_fill_middle,
 }
 
 DUCK = {
@@ -22,4 +23,5 @@ DUCK = {
     "op3_mixing": mixing.OP3_SQL,
     "op6_quality_rules": quality_rules.OP6_SQL,
     "op7_arc_to_warc": archives.OP7_SQL,
+    "op12_fill_middle": fill_middle.OP12_SQL,
 }
