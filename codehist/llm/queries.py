@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codehist.llm import archives, fill_middle, hnsw, language_id, minhash, mixing, piece_bpe, quality_model, quality_rules, suffix_dedup, token_files
+from codehist.llm import archives, fill_middle, hnsw, language_id, line_dedup, minhash, mixing, piece_bpe, quality_model, quality_rules, suffix_dedup, token_files
 
 SPARK = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -16,6 +16,7 @@ SPARK = {
     "op9_quality_model": quality_model.op9_quality_model,
     "op10_language_id": language_id.op10_language_id,
     "op12_fill_middle": fill_middle.op12_fill_middle,
+    "op13_line_dedup": line_dedup.op13_line_dedup,
 }
 
 DUCK = {
@@ -24,4 +25,5 @@ DUCK = {
     "op6_quality_rules": quality_rules.OP6_SQL,
     "op7_arc_to_warc": archives.OP7_SQL,
     "op12_fill_middle": fill_middle.OP12_SQL,
+    "op13_line_dedup": line_dedup.OP13_SQL,
 }
