@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codehist.llm import archives, fill_middle, hnsw, language_id, line_dedup, minhash, mixing, piece_bpe, quality_model, quality_rules, suffix_dedup, token_files
+from codehist.llm import archives, fill_middle, hnsw, language_id, line_dedup, minhash, mixing, piece_bpe, quality_model, quality_rules, spelling, suffix_dedup, token_files
 
 SPARK = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -15,6 +15,7 @@ SPARK = {
     "op8_piece_bpe": piece_bpe.op8_piece_bpe,
     "op9_quality_model": quality_model.op9_quality_model,
     "op10_language_id": language_id.op10_language_id,
+    "op11_spelling": spelling.op11_spelling,
     "op12_fill_middle": fill_middle.op12_fill_middle,
     "op13_line_dedup": line_dedup.op13_line_dedup,
 }

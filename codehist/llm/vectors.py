@@ -91,9 +91,8 @@ def per_text(marks: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.diff(out)
 
 
-def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Begins and ends of all words, and the number of words in each text."""
-    inside = IN_WORD[data].view(bool)
+def runs_of(inside: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begins and ends of all runs of marked bytes, none of which reaches over two texts, and the number of runs in each text."""
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
     last[:-1] &= ~inside[1:]
@@ -105,6 +104,11 @@ def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return begins, np.flatnonzero(last) + 1, np.diff(np.searchsorted(begins, at))
 
 
+def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begins and ends of all words, and the number of words in each text."""
+    return runs_of(IN_WORD[data].view(bool), at)
+
+
 def span_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
     """Polynomial hash of each span; begins and ends both ascend. Equal bytes have equal hashes, wherever they stand."""
     base, power, inverse = BASES[which], POWERS[which], INVERSES[which]
