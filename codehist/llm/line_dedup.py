@@ -34,7 +34,7 @@ from codehist.llm.vectors import pieces
 SHORTEST, DIGEST = 10, 16
 SPACES = b" \t\n\v\f\r"
 #: References of one shard; share of all references, and least number of them, beyond which a key is hot.
-PER_SHARD, HOT_SHARE, HOT_LEAST = 50_000, 1000, 1000
+PER_SHARD, HOT_SHARE, HOT_LEAST = 10_000, 1000, 1000
 NO_ID = (1 << 63) - 1
 
 
