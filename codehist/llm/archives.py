@@ -61,6 +61,10 @@ def arc_record(url: str | None, page_id: int | None, payload: bytes, version: in
     return arc_header(values, version) + body + b"\n"
 
 
+#: Bytes that are inflated at once; what lies behind a member is copied for each, so this is to be small.
+SLICE = 1 << 14
+
+
 def members(content: bytes) -> Iterator[tuple[int, bytes]]:
     """Place and bytes of each gzip member; an archive that is not compressed is one member."""
     if content[:2] != b"\x1f\x8b":
@@ -68,10 +72,15 @@ def members(content: bytes) -> Iterator[tuple[int, bytes]]:
         return
     at, view = 0, memoryview(content)
     while at < len(content):
-        inflate = zlib.decompressobj(31)
-        data = inflate.decompress(view[at:])
-        yield at, data
-        at = len(content) - len(inflate.unused_data)
+        inflate, data, read = zlib.decompressobj(31), [], at
+        while not inflate.eof:
+            part = view[read : read + SLICE]
+            if not len(part):
+                raise ValueError(f"member at {at} is cut short")
+            data.append(inflate.decompress(part))
+            read += len(part)
+        yield at, b"".join(data)
+        at = read - len(inflate.unused_data)
 
 
 def read_arc(content: bytes) -> Iterator[tuple[str, dict[str, str], bytes]]:
