@@ -5,12 +5,14 @@ corpus in one place is out of the question, so windows that may be equal are bro
 
 1. Every window names an anchor, the place inside it whose GRAM bytes hash lowest. Equal windows name equal anchors at the same distance. Anchors whose hash
    occurs once in the corpus are done with; a counting job finds the others, and a filter of fixed size lets tasks pass over most of the rest.
-2. The windows of one anchor stand in a row, a stretch. Stretches with equal bytes around equal anchors are one class; windows of a class with two
+2. The windows of one anchor stand in a row, a stretch. Stretches with equal bytes (by a digest of 128 bits) around equal anchors are one class; windows of a class with two
    members are repeated, and one member stands for all.
 3. Stretches with the same anchor but other bytes around it may still share windows. One member of each class sends its bytes, and tasks sort the suffixes that
    begin at the stretches' windows: a bottom-up mergesort, in which two suffixes are compared by their longest common extension, found by binary search
    over polynomial prefix hashes. Neighbours that agree over a window are then compared byte by byte. If hashes of unequal bytes should meet, the block is sorted by bytes.
-   Anchors with more than HOT classes would not fit a task; for these, windows are counted by two independent hashes of 128 bits in total.
+4. Anchors with more than HOT classes are split before that. All windows at distances lo to hi before the anchor share the bytes that the windows at both ends have in common, so
+   halving the range of distances lengthens the common part, and stretches that differ in it part. A stretch goes on as its clipped bytes, those with equal bytes again as one
+   class, and leaves when it is alone or in a group that a task can sort. At the last, a range is one distance and a group is one class; so every group ends, whatever is repeated.
 
 Defined results: null texts are empty; texts shorter than a window have no window; matches never cross texts; rows that repeat a text are texts of their own, so
 their windows are repeated, whatever their ids are; a null doc_id is an id like any other.
@@ -27,17 +29,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codehist.llm.tables import staged, table
-from codehist.llm.vectors import BASES, CHUNK, INVERSES, POWERS, flat, mixed, pieces
+from codehist.llm.vectors import BASES, CHUNK, INVERSES, POWERS, flat, mixed, pieces, powers
 
 WINDOW, GRAM = 200, 40
 PLACES = WINDOW - GRAM + 1
-#: Classes of one anchor that a task sorts; bytes of a sorted block; bits of the filters.
+#: Classes of one group that a task sorts together; bytes of a sorted block; bits of the filters.
 HOT, BLOCK_BYTES, FILTER_BITS = 2048, 1 << 18, 1 << 26
 TAIL = np.uint64((1 << 20) - 1)
 
 
 def anchors(data: np.ndarray, at: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> Iterator[tuple[np.ndarray, ...]]:
-    """For each stretch: text, first and last window, anchor (places in ``data``), hash of the anchor, hash of all the stretch covers.
+    """For each stretch: text, first and last window, anchor (places in ``data``), hash of the anchor, distance of the anchor from the first window.
 
     Texts are taken in chunks, which end between texts where they can; a stretch that a chunk cuts counts as two.
     """
@@ -54,8 +56,8 @@ def anchors(data: np.ndarray, at: np.ndarray, window: int = WINDOW, gram: int =
             begin = stop
             continue
         plus = part.astype(np.uint64) + np.uint64(1)
-        sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(plus * power[b][:n])]) for b in (0, 1)]
-        grams = mixed((sums[0][gram:] - sums[0][:-gram]) * inverse[0][: n - gram + 1])
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(plus * power[:n])])
+        grams = mixed((sums[gram:] - sums[:-gram]) * inverse[: n - gram + 1])
         low = (grams & ~TAIL) | np.arange(len(grams), dtype=np.uint64)
         size = 1
         while 2 * size <= places:
@@ -74,25 +76,26 @@ def anchors(data: np.ndarray, at: np.ndarray, window: int = WINDOW, gram: int =
         s, e = np.flatnonzero(new), np.flatnonzero(end)
         if len(s):
             p = chosen[s]
-            around = (sums[1][e + window] - sums[1][s]) * inverse[1][s]
-            shape = ((p - s).astype(np.uint64) << np.uint64(20)) | (e - s).astype(np.uint64)
-            yield text[s], begin + s, begin + e, begin + p, grams[p], mixed(around + mixed(shape))
+            yield text[s], begin + s, begin + e, begin + p, grams[p], p - s
         begin = stop
 
 
-_LONGER: dict[int, tuple[list[np.ndarray], list[np.ndarray]]] = {}
+_LONGER: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _tables(window: int):
+def _tables(window: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers as far as a chunk and a window reach."""
     if window not in _LONGER:
-        from codehist.llm.vectors import powers
-
         n = CHUNK + window + 2
-        _LONGER[window] = ([powers(b, n) for b in BASES], [powers(pow(b, -1, 1 << 64), n) for b in BASES])
+        _LONGER[window] = (powers(BASES[0], n), powers(pow(BASES[0], -1, 1 << 64), n))
     return _LONGER[window]
 
 
+def class_of(raw: bytes, before: int) -> bytes:
+    """What tells classes of one anchor apart: a digest of all bytes that the stretch covers, and where in them the anchor is."""
+    return hashlib.blake2b(raw, digest_size=16).digest() + bytes([before])
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """A text is known by its doc_id and a hash; equal rows share both, and all that is found out about them."""
     return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
@@ -128,15 +131,18 @@ def stretches(docs: DataFrame, bits: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             data, at = flat(batch.column("text"))
-            for text, s, e, _, h, c in anchors(data, at):
+            for text, s, e, _, h, before in anchors(data, at):
                 k = np.flatnonzero(in_filter(bits, h))
                 rows, base = pa.array(text[k]), at[text[k]]
+                first = int(s[k[0]]) if len(k) else 0
+                raw = data[first : int(e[k[-1]]) + WINDOW].tobytes() if len(k) else b""
+                c = [class_of(raw[a:b], d) for a, b, d in zip((s[k] - first).tolist(), (e[k] - first + WINDOW).tolist(), before[k].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(rows), batch.column("t").take(rows), pa.array(h[k].view(np.int64)), pa.array(c[k].view(np.int64)), pa.array((s[k] - base).astype(np.int32)), pa.array((e[k] - base).astype(np.int32))],
+                    [batch.column("doc_id").take(rows), batch.column("t").take(rows), pa.array(h[k].view(np.int64)), pa.array(c, pa.binary()), pa.array((s[k] - base).astype(np.int32)), pa.array((e[k] - base).astype(np.int32))],
                     names=["doc_id", "t", "h", "c", "s", "e"],
                 )
 
-    return keyed(docs).select("doc_id", "t", "text").mapInArrow(run, "doc_id long, t long, h long, c long, s int, e int")
+    return keyed(docs).select("doc_id", "t", "text").mapInArrow(run, "doc_id long, t long, h long, c binary, s int, e int")
 
 
 def member_hash(doc_id: np.ndarray, t: np.ndarray, s: np.ndarray) -> np.ndarray:
@@ -160,7 +166,7 @@ def bytes_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in pieces(batches):
             data, at = flat(batch.column("text"))
             ids, t = batch.column("doc_id").fill_null(0).to_numpy(), batch.column("t").to_numpy()
-            for text, s, e, p, h, c in anchors(data, at):
+            for text, s, e, p, h, before in anchors(data, at):
                 k = np.flatnonzero(in_filter(bits, member_hash(ids[text], t[text], s - at[text])))
                 if not len(k):
                     continue
@@ -168,13 +174,13 @@ def bytes_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 rows, base = pa.array(text[k]), at[text[k]]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id").take(rows), batch.column("t").take(rows), pa.array(h[k].view(np.int64)), pa.array(c[k].view(np.int64)),
-                        pa.array((s[k] - base).astype(np.int32)), pa.array((p[k] - s[k]).astype(np.int32)), pa.array(raw, pa.binary()),
+                        batch.column("doc_id").take(rows), batch.column("t").take(rows), pa.array(h[k].view(np.int64)),
+                        pa.array(list(map(class_of, raw, before[k].tolist())), pa.binary()), pa.array((s[k] - base).astype(np.int32)), pa.array((p[k] - s[k]).astype(np.int32)), pa.array(raw, pa.binary()),
                     ],
                     names=["id", "t", "h", "c", "s", "p", "raw"],
                 )
 
-    found = keyed(docs).select("doc_id", "t", "text").mapInArrow(run, "id long, t long, h long, c long, s int, p int, raw binary").dropDuplicates(["h", "c", "id", "t", "s"])
+    found = keyed(docs).select("doc_id", "t", "text").mapInArrow(run, "id long, t long, h long, c binary, s int, p int, raw binary").dropDuplicates(["h", "c", "id", "t", "s"])
     same = F.col("doc_id").eqNullSafe(F.col("id"))
     return wanted.join(found, ["h", "c", "t", "s"]).where(same).drop("id")
 
@@ -297,7 +303,7 @@ def runs(marks: np.ndarray, owner: np.ndarray, place: np.ndarray) -> tuple[np.nd
 
 
 def sorted_block(rows: pa.Table, window: int = WINDOW) -> pa.RecordBatch:
-    """Repeated windows of some stretches; all classes of an anchor must be among them."""
+    """Repeated windows of some stretches; all classes of a group (h) must be among them."""
     raws = rows.column("raw").to_pylist()
     size = np.array(list(map(len, raws)))
     n_starts = size - window + 1
@@ -319,7 +325,7 @@ def sorted_block(rows: pa.Table, window: int = WINDOW) -> pa.RecordBatch:
 
 
 def sort_stretches(rows: DataFrame) -> DataFrame:
-    """doc_id, t, s, e: runs of repeated windows among stretches whose anchors have at most HOT classes. The classes of an anchor come to one task, in a row."""
+    """doc_id, t, s, e: runs of repeated windows among stretches whose groups (h) have at most HOT classes. The classes of a group come to one task, in a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -328,7 +334,7 @@ def sort_stretches(rows: DataFrame) -> DataFrame:
             for batch in (whole.slice(a, 512) for a in range(0, len(whole), 512)):
                 h = batch.column("h").to_numpy()
                 if held and size >= BLOCK_BYTES:
-                    # the last anchor may go on: what is before it is complete
+                    # the last group may go on: what is before it is complete
                     before = pa.Table.from_batches(held).combine_chunks()
                     cut = int(np.searchsorted(before.column("h").to_numpy(), h[0]))
                     if cut:
@@ -344,33 +350,45 @@ def sort_stretches(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "doc_id long, t long, s int, e int")
 
 
-def count_windows(rows: DataFrame) -> DataFrame:
-    """The same for anchors with more classes: windows are counted by two hashes, so no anchor has to fit a task."""
+# -- anchors with many classes --------------------------------------------------------------------------------------------------------------------------
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        power, inverse = _tables(WINDOW)
-        for whole in batches:
-            for batch in (whole.slice(a, 256) for a in range(0, len(whole), 256)):
-                raws = batch.column("raw").to_pylist()
-                keys, owner, place = ([], [], []), [], []
-                for k, raw in enumerate(raws):
-                    n = len(raw)
-                    plus = np.frombuffer(raw, np.uint8).astype(np.uint64) + np.uint64(1)
-                    for b in (0, 1):
-                        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(plus * power[b][:n])])
-                        keys[b].append(mixed((sums[WINDOW:] - sums[:-WINDOW]) * inverse[b][: n - WINDOW + 1]))
-                    owner.append(np.full(n - WINDOW + 1, k))
-                    place.append(np.arange(n - WINDOW + 1, dtype=np.int32))
-                who = np.concatenate(owner)
-                rows = pa.array(who)
-                s = batch.column("s").to_numpy()[who] + np.concatenate(place)
-                columns = [batch.column(c).take(rows) for c in ("doc_id", "t", "n")]
-                hashes = [pa.array(np.concatenate(keys[b]).view(np.int64)) for b in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(s.astype(np.int32)), *hashes], names=["doc_id", "t", "n", "s", "x", "y"])
-
-    windows = staged(rows.select("n", "doc_id", "t", "s", "raw").mapInArrow(run, "doc_id long, t long, n long, s int, x long, y long"))
-    many = windows.groupBy("x", "y").agg(F.count("*").alias("k")).where("k > 1").select("x", "y")
-    return windows.where("n = 1").join(many, ["x", "y"], "left_semi").select("doc_id", "t", "s", F.col("s").alias("e"))
+KEPT = ("n", "doc_id", "t", "s", "p", "raw")
+
+
+def halves(rows: DataFrame) -> DataFrame:
+    """Each stretch in both halves of its range (lo, hi) of distances, clipped to the windows at these distances, with x, a digest of what is left of it."""
+    mid = ((F.col("lo") + F.col("hi")) / 2).cast("int")
+    both = rows.withColumn("range", F.explode(F.array(F.struct("lo", mid.alias("hi")), F.struct((mid + 1).alias("lo"), "hi")))).drop("lo", "hi")
+    near = F.greatest(F.col("range.lo"), F.col("p") - (F.length("raw") - WINDOW))
+    far = F.least(F.col("range.hi"), F.col("p"))
+    skip = F.col("p") - F.col("far")
+    clipped = both.withColumns({"near": near, "far": far}).where("near <= far").select(
+        "h", "range.lo", "range.hi", "n", "doc_id", "t", (F.col("s") + skip).alias("s"), F.col("far").alias("p"), F.substr("raw", skip + 1, F.col("far") - F.col("near") + WINDOW).alias("raw")
+    )
+    return clipped.withColumn("x", F.sha2(F.concat(F.concat_ws(":", "h", "lo", "p", F.lit("")).cast("binary"), F.col("raw")), 256))
+
+
+def grouped(rows: DataFrame) -> DataFrame:
+    """With g, the anchor and all bytes that the windows of the range have in common, and k, the number of classes of that group."""
+    common = F.substr("raw", F.col("p") - F.col("lo") + 1, F.col("lo") - F.col("hi") + WINDOW)
+    rows = staged(rows.withColumn("g", F.xxhash64("h", "lo", common)))
+    return rows.join(rows.groupBy("g").agg(F.count("*").alias("k")).where("k > 1"), "g")
+
+
+def split_groups(rows: DataFrame) -> list[DataFrame]:
+    """The same for groups (h) with more classes (KEPT): runs of repeated windows, from rounds that halve the range of distances until a task can sort what a group has left."""
+    found, level = [], rows.select("h", F.lit(0).alias("lo"), F.lit(PLACES - 1).alias("hi"), *KEPT)
+    while not level.isEmpty():
+        parts = staged(halves(level))
+        classes = staged(parts.groupBy("x").agg(F.count("*").alias("m"), F.first(F.struct("h", "lo", "hi", *KEPT)).alias("one")))
+        copies = parts.where("n = 1").join(classes.where("m > 1").select("x"), "x", "left_semi")
+        found.append(copies.select("doc_id", "t", "s", (F.col("s") + F.length("raw") - WINDOW).alias("e")))
+        # of stretches with equal bytes one goes on, whose own windows are found by now
+        ones = classes.select(F.when(F.col("m") > 1, F.lit(2).cast("long")).otherwise(F.col("one.n")).alias("n"), *(f"one.{c}" for c in ("h", "lo", "hi", *KEPT[1:])))
+        level = staged(grouped(ones))
+        found.append(sort_stretches(level.where(F.col("k") <= HOT).drop("h").withColumnRenamed("g", "h")))
+        level = level.where(F.col("k") > HOT).drop("g", "k")
+    return found
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
@@ -389,9 +407,8 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     if not open_.isEmpty():
         rows = staged(bytes_of(docs, open_))
         spans = spans.unionByName(sort_stretches(rows.where(F.col("k") <= HOT)))
-        hot = rows.where(F.col("k") > HOT)
-        if not hot.isEmpty():
-            spans = spans.unionByName(count_windows(hot))
+        for more in split_groups(rows.where(F.col("k") > HOT)):
+            spans = spans.unionByName(more)
     return staged(spans.groupBy("doc_id", "t").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("spans")))
 
 
