@@ -166,16 +166,11 @@ def file_history(
     if carry is not None:
         earlier = carry.files.filter("exact").join(history.select(*FILE).distinct(), FILE, "left_semi").select(*FILE)
         forgot = forgot.unionByName(earlier).distinct()
+    forgot = staged(forgot)
     if forgot.isEmpty():
         return history
     replayed = staged(
-        with_exact_cycles(
-            history.join(forgot, FILE, "left_semi"),
-            events.join(forgot, FILE, "left_semi"),
-            thresholds,
-            block,
-            carry.files if carry is not None else None,
-        )
+        with_exact_cycles(history.join(forgot, FILE, "left_semi"), thresholds, block, carry.files if carry is not None else None)
     )
     return history.join(forgot, FILE, "left_anti").unionByName(replayed)
 

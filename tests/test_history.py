@@ -4,13 +4,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from codehist.operators.events import EVENT_COLUMNS
-from codehist.operators.history import file_history
+from codehist.operators.exact import with_exact_cycles
+from codehist.operators.history import closed_form_history, file_history
 from codehist.operators.lineage import rename_lineage
 from codehist.operators.process import author_stats, latest_state
 from codehist.operators.stability import stable_files, stable_now
 from codehist.session import staged
 
-from tests.replay import replay
+from tests.replay import Step, judge, replay
 
 
 def random_log(seed, commits=400, files=6, renames=True, detector=False, hot=0.4, deletes=0.0):
@@ -122,3 +123,25 @@ def test_long_streaks_and_minor_authors(spark):
             e["resets"] = 0
     log = [e for e in log if e["phase"] != 1]
     check(spark, log, (20, 50), 37)
+
+
+@pytest.mark.parametrize("seed,block,chain", [(21, 6, 1), (22, 40, 3), (23, 1 << 16, 5), (24, 1 << 16, 1 << 12)])
+def test_segments_equal_replay(spark, seed, block, chain):
+    """Every file by segments, whose chains are cut into blocks of few commits; renames forget often, so counts run beyond the largest threshold."""
+    rnd = random.Random(seed)
+    log = [e for e in random_log(seed, commits=300, files=3, renames=False) if e["phase"] == 4 or rnd.random() < 0.1]
+    log = [e for e in log for e in ([e] if e["phase"] == 1 or rnd.random() < 0.75 else [e | dict(phase=2, old_path=e["path"], resets=0, clears=1, author=None, added=0, deleted=0, is_bug=0), e])]
+    cuts = (2, 5, 6, 9)
+    events = staged(spark.createDataFrame(log, EVENT_COLUMNS).withColumn("lineage", F.col("path")))
+    history = staged(closed_form_history(events, cuts, block=block))
+    out = with_exact_cycles(history, cuts, block, chain=chain)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    states, steps = {}, {}
+    for e in log:
+        mine = steps.setdefault(e["path"], [])
+        mine += [Step("reset", e["commit_id"])] * e["resets"] if e["phase"] == 1 else [Step("forget" if e["phase"] == 2 else "change", e["commit_id"])]
+        now = judge(mine, cuts)
+        states[e["path"], e["walk_pos"], e["phase"], e["pos"]] = (now.place, now.fired, now.refactorings + (now.fired == max(cuts)))  # the end of a cycle counts
+    got = {(r.path, r.walk_pos, r.phase, r.pos): (r.since_base, r.fired, r.refactorings) for r in out.collect()}
+    assert got == states and any(p > max(cuts) for p, _, _ in states.values())

@@ -210,15 +210,13 @@ def file_state_blocks(spark, sf):
 @query(dk.with_fx(STATE_SQL, *REP), prepare=True)
 def file_state_exact_blocks(spark, sf):
     events = _events(spark, sf, SMALL)
-    return _change_state(with_exact_cycles(closed_form_history(events, CUTS, block=SMALL), events, CUTS, SMALL))
+    return _change_state(with_exact_cycles(staged(closed_form_history(events, CUTS, block=SMALL)), CUTS, SMALL, chain=2))
 
 
 @query(dk.with_fx(STATE_SQL, *REP), prepare=True)
 def file_state_exact(spark, sf):
-    """Every file replayed block by block instead of by the closed form."""
-    events = _events(spark, sf)
-    history = closed_form_history(events, CUTS)
-    return _change_state(with_exact_cycles(history, events, CUTS))
+    """Every file by the closed form of its segments instead of that of the whole file."""
+    return _change_state(with_exact_cycles(staged(closed_form_history(_events(spark, sf), CUTS)), CUTS))
 
 
 def _stable_sql(cuts) -> str:
