@@ -1,13 +1,14 @@
 """Whole texts as one byte buffer: words, lines and polynomial hashes of spans, worked out with numpy inside Arrow batches.
 
-Hashes are polynomials modulo 2^64 with an odd base, so the hash of any span comes from two prefix sums and one inverse power. They are built in
-chunks, so that a very long text needs memory for its words only.
+Hashes of spans up to SHORT bytes are polynomials modulo 2^64 with an odd base, so they come from two prefix sums and one inverse power, in chunks, so that a very long text needs
+memory for its words only. For longer spans such polynomials are known to meet whatever the base is (Thue-Morse words of 1,024 letters do); these have their bytes hashed one by one.
 """
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
+import hashlib
 import os
 from collections.abc import Iterator
 
@@ -26,6 +27,8 @@ CHAR_IN_WORD = IN_WORD.copy()
 CHAR_IN_WORD[0x80:0xC0] = 0
 
 CHUNK = 1 << 16
+#: Longest span whose hash is a polynomial.
+SHORT = 64
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 
 
@@ -110,7 +113,7 @@ def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def span_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """Polynomial hash of each span; begins and ends both ascend. Equal bytes have equal hashes, wherever they stand."""
+    """64-bit hash of each span; begins and ends both ascend. Equal bytes have equal hashes, wherever they stand."""
     base, power, inverse = BASES[which], POWERS[which], INVERSES[which]
     out = np.zeros(len(begins), np.uint64)
     shift = np.zeros(len(begins), np.uint64)
@@ -128,7 +131,11 @@ def span_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, which: i
         lo, hi = np.searchsorted(ends, (a, a + CHUNK))
         out[lo:hi] += sums[ends[lo:hi] - a]
         total, scale, unscale = int(sums[-1]), scale * whole % (1 << 64), unscale * unwhole % (1 << 64)
-    return out * shift
+    out *= shift
+    content, salt = memoryview(np.ascontiguousarray(data)), bytes([which])
+    for k in np.flatnonzero(ends - begins > SHORT).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(content[begins[k] : ends[k]], digest_size=8, salt=salt).digest(), "big")
+    return out
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:

@@ -125,3 +125,13 @@ def test_components(spark):
 
 def test_query_equals_sql(spark):
     assert difference(spark, duck("/root/testdata/sf0.001"), "/root/testdata/sf0.001", SPARK["op2_minhash"], DUCK["op2_minhash"]) == ""
+
+
+def test_words_whose_polynomials_meet(spark):
+    """Two words that share nothing, but whose polynomials modulo 2^64 agree in any odd base."""
+    one = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+    other = one.translate(str.maketrans("ab", "ba"))
+    rows = [(1, one), (2, other), (3, one), (4, f"{one} {other}"), (5, f"{other} {one}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in M.near_duplicates(docs, 2).collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5}
