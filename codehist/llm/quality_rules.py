@@ -2,7 +2,8 @@
 
 Each text gets counts (one pass, numpy inside Arrow batches) and two rules decide on it alone. A host (here: the source) is judged by the share of its
 documents that fail. Shares of small hosts are noise, so they are shrunk towards the shares of all hosts: a beta prior is fitted to the hosts by the
-method of moments, and the mean of the posterior is compared with a limit. Documents of a rejected host go as well.
+method of moments, and the mean of the posterior is compared with two limits. Documents of a host beyond the absolute limit go as well. A host that merely fails more often than
+others (SUSPECT times the mean of the prior) is suspect: most of what it has is still good, so its documents have to pass the same rules with stricter limits.
 
 Defined results: a null or empty text has no words and fails; a null source is no host, its documents are judged alone; repeated rows are judged one by
 one; an empty table gives an empty result. Other columns of the input are not read.
@@ -14,8 +15,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from codehist.llm.tables import staged
 from codehist.llm.vectors import CHAR_IN_WORD, flat, mixed, per_text, pieces, span_hashes, words
@@ -24,6 +26,9 @@ LEAST_WORDS = 50
 MOST_REPEATED = 50
 #: A host goes when more than this share of its documents is expected to fail.
 HOST_LIMIT = 0.8
+#: A host is suspect when its share is more than so many times the mean; limits for its documents.
+SUSPECT = 1.2
+STRICT_WORDS, STRICT_REPEATED = 100, 25
 SYMBOLS = b"#*$%&|<>"
 
 IS_SYMBOL = np.zeros(256, np.uint8)
@@ -96,13 +101,17 @@ def with_stats(docs: DataFrame, keep: list[str]) -> DataFrame:
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
 
 
-def failed_alone():
-    few = F.col("n_words") < LEAST_WORDS
-    return few | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
+def failed_alone(least: int = LEAST_WORDS, most: int = MOST_REPEATED) -> Column:
+    few = F.col("n_words") < least
+    return few | (100 * F.col("n_repeat_words") > most * F.col("n_words"))
+
+
+def failed_strictly() -> Column:
+    return failed_alone(STRICT_WORDS, STRICT_REPEATED)
 
 
 def host_verdicts(judged: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
-    """One row per host: documents, failed ones, shrunk share, verdict.
+    """One row per host: documents, failed ones, shrunk share, verdicts (rejected, suspect).
 
     With shares p of mean m and variance v over the hosts, the prior is beta(m s, (1 - m) s) with s = m (1 - m) / v - 1. Hosts that differ more than any
     beta prior allows are not shrunk (s = 0); hosts that are all alike (v = 0) all get the mean of the prior.
@@ -115,34 +124,41 @@ def host_verdicts(judged: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
     else:
         size = max(0.0, m * (1 - m) / v - 1)
         rate = (F.col("bad") + F.lit(m * size)) / (F.col("n") + F.lit(size))
-    return hosts.withColumn("rate", rate).withColumn("host_rejected", F.col("rate") > limit)
+    return hosts.withColumn("rate", rate).withColumns({"host_rejected": F.col("rate") > limit, "host_suspect": F.col("rate") > F.lit(SUSPECT) * F.lit(m).cast("double")})
 
 
 def quality_rules(docs: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
     """doc_id, source, the counts, base_failed, the host's shrunk rate and kept, one row per row of ``docs``."""
     judged = staged(with_stats(docs, ["doc_id", "source"]).withColumn("base_failed", failed_alone()))
-    hosts = host_verdicts(judged, host_limit).select("source", "rate", "host_rejected")
-    return judged.join(hosts, "source", "left").withColumn("kept", ~F.col("base_failed") & ~F.coalesce("host_rejected", F.lit(False)))
+    hosts = host_verdicts(judged, host_limit).select("source", "rate", "host_rejected", "host_suspect")
+    gone = F.coalesce(F.col("host_rejected") | (F.col("host_suspect") & failed_strictly()), F.lit(False))
+    return judged.join(hosts, "source", "left").withColumn("kept", ~F.col("base_failed") & ~gone)
 
 
 def kept_documents(docs: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
     """The rows of ``docs``, with all their columns, that are kept.
 
-    The verdict on a document alone needs its text only and is worked out where the text is; texts are not shuffled. Hosts are judged in a pass before
-    that writes counts only, and the list of rejected hosts is joined to the documents.
+    The verdicts on a document alone need its text only and are worked out where the text is; texts are not shuffled. Hosts are judged in a pass before
+    that writes counts only, and the list of rejected and suspect hosts is joined to the documents.
     """
     judged = staged(with_stats(docs, ["doc_id", "source"]).select("source", failed_alone().alias("base_failed")))
-    rejected = host_verdicts(judged, host_limit).where("host_rejected").select("source")
+    verdicts = host_verdicts(judged, host_limit).where("host_rejected or host_suspect").select(F.col("source").alias("host"), "host_rejected")
     names = docs.columns
-    alone = docs.mapInArrow(_passing, docs.schema)
-    return alone.join(rejected, "source", "left_anti").select(*names)
+    row = T.StructType([T.StructField("row", docs.schema), T.StructField("host", T.StringType()), T.StructField("strictly", T.BooleanType())])
+    passed = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), "text", F.col("source").alias("host")).mapInArrow(_passing, row)
+    joined = passed.join(verdicts, "host", "left")
+    return joined.where("host_rejected is null or (not host_rejected and strictly)").select("row.*")
 
 
 def _passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows that pass alone, and whether they pass the stricter limits."""
     for batch in pieces(batches):
         stats = text_stats(batch.column("text"))
-        few = stats["n_words"] < LEAST_WORDS
-        yield batch.filter(pa.array(~(few | (100 * stats["n_repeat_words"] > MOST_REPEATED * stats["n_words"]))))
+        n, repeated = stats["n_words"], 100 * stats["n_repeat_words"]
+        good = (n >= LEAST_WORDS) & (repeated <= MOST_REPEATED * n)
+        strictly = (n >= STRICT_WORDS) & (repeated <= STRICT_REPEATED * n)
+        out = pa.RecordBatch.from_arrays([batch.column("row"), batch.column("host"), pa.array(strictly)], names=["row", "host", "strictly"])
+        yield out.filter(pa.array(good))
 
 
 def op6_quality_rules(spark, sf_dir) -> DataFrame:
@@ -170,8 +186,8 @@ f as (select *, n_words < {LEAST_WORDS} or 100 * n_repeat_words > {MOST_REPEATED
 h as (select source, count(*) as n, sum(cast(base_failed as int)) as bad from f where source is not null group by source),
 p as (select avg(bad / n) as m, var_pop(bad / n) as v from h),
 q as (select source, case when v <= 1e-12 then m
-                     else (bad + m * greatest(0.0, m * (1 - m) / v - 1)) / (n + greatest(0.0, m * (1 - m) / v - 1)) end as rate from h, p)
+                     else (bad + m * greatest(0.0, m * (1 - m) / v - 1)) / (n + greatest(0.0, m * (1 - m) / v - 1)) end as rate, m from h, p)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       not base_failed and not coalesce(rate > {HOST_LIMIT}, false) as kept
+       not base_failed and not coalesce(rate > {HOST_LIMIT} or (rate > {SUSPECT} * m and (n_words < {STRICT_WORDS} or 100 * n_repeat_words > {STRICT_REPEATED} * n_words)), false) as kept
 from f left join q using (source)
 """

@@ -1,13 +1,19 @@
+import math
+import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from codehist.llm import language_id as L
 from codehist.llm import quality_model as Q
 from codehist.llm.queries import SPARK
-from codehist.llm.tables import table
+from codehist.llm.tables import fold, table
+from tests.llm.test_rules_and_archives import COMPLEMENT, THUE_MORSE, plain_stats
 
 SF = "/root/testdata/sf0.01"
 
@@ -93,3 +99,78 @@ def test_quality_edge_cases(spark):
     x, y = Q.labelled_sample(docs, labels, "quality")
     assert y.tolist() == [1, 1, 1, 1]
     assert Q.score(docs.limit(0), Q.fit_rules(x, y, list(Q.features()))).collect() == []
+
+
+# -- plain Python over whole tables ------------------------------------------------------------------------------------------------------------------------
+
+
+def plain_more_stats(text):
+    text = text or ""
+    words = re.findall("[^ \t\n\v\f\r]+", text)
+    return [
+        len(text.encode()), text.count("\n") + (text != ""), len(re.findall("[0-9]", text)), len(re.findall("[A-Z]", text)), len(re.findall("[.,;:!?]", text)),
+        len(set(words)), sum(a == b for a, b in zip(words, words[1:])),
+    ]
+
+
+def plain_features(text):
+    s = dict(zip((*Q.STATS, *Q.EXTRA), plain_stats(text) + plain_more_stats(text), strict=True))
+
+    def share(a, b):
+        return s[a] / max(s[b], 1)
+
+    return [
+        float(s["n_words"]), share("word_chars", "n_words"), share("n_symbols", "word_chars"), share("n_dup_lines", "n_lines"), share("n_repeat_words", "n_words"), share("n_digits", "n_bytes"),
+        share("n_upper", "n_bytes"), share("n_points", "n_bytes"), share("n_distinct", "n_words"), share("n_again", "n_words"), share("n_words", "n_lines"), share("n_bytes", "word_chars"),
+    ]
+
+
+def test_statistics_of_random_texts():
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(["a", "b", "B", " ", " ", "\n", "7", ",", "é", "\t"]) for _ in range(rng.randrange(200))) for _ in range(300)]
+    texts += [None, "", "\n", f"{THUE_MORSE} {COMPLEMENT}", f"{THUE_MORSE} {THUE_MORSE}"]
+    stats = Q.more_stats(pa.array(texts))
+    for k, t in enumerate(texts):
+        assert [int(stats[s][k]) for s in Q.EXTRA] == plain_more_stats(t), repr(t)
+
+
+def test_quality_scores_by_plain_python(spark):
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels").where(F.coalesce(fold("doc_id", 3) != 1, F.lit(True)))
+    x, y = Q.labelled_sample(docs.select("doc_id", "text"), labels, "quality")
+    model = Q.fit_rules(x, y, list(Q.features()))
+    names = list(Q.features())
+    got = {r.doc_id: r.score for r in Q.score(docs.select("doc_id", "text"), model).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows) and len(model.rules) > 0
+    for r in rows:
+        at = dict(zip(names, plain_features(r.text), strict=True))
+        total = model.bias + sum(w for rule, w in model.rules if all((at[f] > cut) == above for f, above, cut in rule))
+        assert got[r.doc_id] == pytest.approx(1 / (1 + math.exp(-total)), abs=1e-9)
+
+
+def plain_trigrams(text):
+    raw = bytes(b + 32 if 65 <= b <= 90 else b for b in (text or "").encode())
+    raw = b" " + bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in raw) + b" "
+    return Counter((((raw[i - 1] << 16 | raw[i] << 8 | raw[i + 1]) * 0x9E3779B1) & 0xFFFFFFFF) >> 20 for i in range(1, len(raw) - 1) if raw[i] != 32)
+
+
+def test_nearest_centroid_by_dictionaries(spark):
+    small = "/root/testdata/sf0.001"
+    docs = table(spark, small, "documents").select("doc_id", "text", "lang")
+    rows = docs.collect()
+    model = L.fit(docs, fold("doc_id", 4) != 2)
+    learned = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 4 != 2 and r.lang is not None and r.text is not None]
+    held = Counter(g for r in learned for g in plain_trigrams(r.text))
+    idf = {g: math.log((1 + len(learned)) / (1 + held[g])) + 1 for g in range(L.DIM)}
+    assert np.allclose(model.idf, [idf[g] for g in range(L.DIM)])
+    assert np.allclose(np.linalg.norm(model.centroids, axis=1), 1, atol=1e-4) and max(Counter(model.langs).values()) <= L.CLUSTERS
+    got = {r.doc_id: (r.lang_pred, r.score) for r in L.predict(docs, model, ["doc_id"]).collect()}
+    for r in rows:
+        if not any(map(str.isalpha, r.text or "")):
+            assert got[r.doc_id] == ("und", 0)
+            continue
+        x = {g: (1 + math.log(k)) * idf[g] for g, k in plain_trigrams(r.text).items()}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        near = [sum(v * float(c[g]) for g, v in x.items()) / max(norm, 1e-12) for c in model.centroids]
+        assert got[r.doc_id][1] == pytest.approx(max(near), abs=1e-4)
+        assert max(n for n, lang in zip(near, model.langs) if lang == got[r.doc_id][0]) > max(near) - 1e-5

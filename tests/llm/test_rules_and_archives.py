@@ -61,6 +61,35 @@ def test_hosts(spark):
     assert R.quality_rules(docs.limit(0)).collect() == [] and R.kept_documents(docs.limit(0)).collect() == []
 
 
+def test_suspect_hosts_must_pass_stricter_limits(spark):
+    plain, wordy = " ".join(f"w{i}" for i in range(60)), " ".join(f"w{i}" for i in range(150))
+    rows = [(1000 * h + i, "too short" if i < (30 if h == 3 else 9 + h) else plain if i % 2 else wordy, f"host{h}", h) for h in range(6) for i in range(100)]
+    rows += [(9000, plain, None, 0), (9001, "x", None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, `a.b` int").repartition(3)
+    got = {r.doc_id: r for r in R.quality_rules(docs).collect()}
+    assert {r.source for r in got.values() if r.host_suspect} == {"host3"} and not any(r.host_rejected for r in got.values())
+    for doc_id, text, host, _ in rows:
+        assert got[doc_id].kept == (text == wordy or (text == plain and host != "host3"))
+    kept = R.kept_documents(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(i for i, r in got.items() if r.kept)
+
+
+THUE_MORSE = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+COMPLEMENT = THUE_MORSE.translate(str.maketrans("ab", "ba"))
+
+
+def test_spans_whose_polynomials_meet():
+    from codehist.llm.vectors import flat, span_hashes
+
+    data, at = flat(pa.array([THUE_MORSE + COMPLEMENT]))
+    for which in (0, 1):
+        a, b = span_hashes(data, at[:1] + [0, 1024], at[:1] + [1024, 2048], which)
+        assert a != b
+    for text in (f"{THUE_MORSE}\n{COMPLEMENT}", f"{THUE_MORSE} x y {COMPLEMENT} x y", f"{THUE_MORSE}\n{COMPLEMENT}\n{THUE_MORSE}"):
+        stats = R.text_stats(pa.array([text]))
+        assert [int(stats[s][0]) for s in R.STATS] == plain_stats(text)
+
+
 def test_equal_hosts_are_not_divided_by_zero(spark):
     docs = spark.createDataFrame([(i, "w " * 5, f"s{i}") for i in range(4)], "doc_id long, text string, source string")
     assert [(r.base_failed, r.rate, r.kept) for r in R.quality_rules(docs).collect()] == [(True, 1.0, False)] * 4
