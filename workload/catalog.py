@@ -27,6 +27,8 @@ from codehist.plans.mining import history_events, mine
 from codehist.plans.ordered import BLOCK
 from codehist.schemas import CLASS_METRICS, LEGACY_TYPES, METHOD_METRICS
 from codehist.session import shared_dir, staged
+from codehist.sources import stored
+from codehist.sources.stored import StoredTable
 from codehist.sources.tables import project_lines, write_rows
 from codehist.streaming.tracker import results, stream_file_state
 from workload import duck as dk
@@ -435,7 +437,7 @@ def _class_metric_sql() -> str:
 def _scaled(sql: str) -> str:
     """Cohesion as a whole number of 1/1024."""
     out = []
-    for part in vw._split(sql):
+    for part in vw.split(sql):
         body, name = part.rsplit(" as ", 1)
         out.append(f"cast(trunc(({body}) * 1024) as int) as \"{name}\"" if name in ("classTCC", "classLCC")
                    else f'{body} as "{name}"')
@@ -632,7 +634,7 @@ def class_metrics(spark, sf):
     dk.with_fx(
         "select project, case when s.side = 0 then commit_id else concat('b', event_id) end as commit_id, "
         "case when s.side = 0 then new_path else old_path end as file, i.inner_class = 1 as is_inner, concat('m', m.m, '/2[T', user_id % 9, ',Map]') as \"fullMethodName\", "
-        f"concat('m', m.m) as \"shortMethodName\", 10 * m.m as \"startLine\", {', '.join(p.rsplit(' as ', 1)[0] + ' as ' + chr(34) + p.rsplit(' as ', 1)[1] + chr(34) for p in vw._split(dk.metric_columns(METHOD_METRICS, 'event_id + m.m')))} "
+        f"concat('m', m.m) as \"shortMethodName\", 10 * m.m as \"startLine\", {', '.join(p.rsplit(' as ', 1)[0] + ' as ' + chr(34) + p.rsplit(' as ', 1)[1] + chr(34) for p in vw.split(dk.metric_columns(METHOD_METRICS, 'event_id + m.m')))} "
         "from chg join (values (0), (1)) i(inner_class) on true join (values (0), (1)) s(side) on true "
         "join (values (0), (1), (2)) m(m) on m.m < event_id % 4"
     )
@@ -765,7 +767,7 @@ def _requests(spark, sf):
         "doc_id",
         "quality",
     ).join(
-        vw.read(spark, sf, "documents").selectExpr("doc_id", *vw._split(vw.SOURCES_SQL)[2:3]), "doc_id"
+        vw.read(spark, sf, "documents").selectExpr("doc_id", *vw.split(vw.SOURCES_SQL)[2:3]), "doc_id"
     ).withColumn("path", F.when(F.col("quality") == 1, F.col("path")).otherwise(F.concat("path", F.lit(".gone"))))
 
 
@@ -1191,6 +1193,59 @@ def write_instances(spark, sf):
     return spark.read.parquet(path).select("project", "level", "commit_id", "ref_pos", "class_pos", "className")
 
 
+# --- tables kept up to date in place --------------------------------------------
+
+STORED_ROWS = "concat('p', o_custkey % 7) as project, o_orderkey as id, o_totalprice as price, 'first' as origin"
+STORED_UPDATES = (
+    "concat('p', o_custkey % 7) as project, case when o_orderkey % 11 = 0 then -1 - o_orderkey else o_orderkey end as id, "
+    "o_totalprice + 1 as price, case when o_orderkey % 11 = 0 then 'added' else 'changed' end as origin"
+)
+UPDATED = "o_custkey % 7 < 4 and (o_orderkey % 5 = 0 or o_orderkey % 11 = 0)"
+
+
+def _stored(spark, name, rows, keys) -> StoredTable:
+    table = StoredTable(spark, f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}", rows.schema, keys)
+    table.overwrite(rows)
+    return table
+
+
+@query(
+    f"with r as (select {STORED_ROWS} from orders), u as (select {STORED_UPDATES} from orders where {UPDATED}) "
+    "select * from u union all select r.* from r anti join u on r.project = u.project and r.id = u.id"
+)
+def merge_instances(spark, sf):
+    """Every order stored by customer group; some are changed, some added, and whole groups stay as they are."""
+    orders = vw.read(spark, sf, "orders")
+    table = _stored(spark, "merged", orders.selectExpr(*vw.split(STORED_ROWS)), ["project", "id"])
+    table.merge(orders.filter(UPDATED).selectExpr(*vw.split(STORED_UPDATES)))
+    return table.read()
+
+
+FACTS = "concat('p', o_custkey % 7) as project, l_orderkey * 8 + l_linenumber as id, l_partkey as class_metrics"
+
+
+@query(
+    f"with f as (select {FACTS} from lineitem join orders on l_orderkey = o_orderkey), "
+    "gone as (select class_metrics from f group by 1 having bool_and(project in ('p0', 'p3', 'p6'))) "
+    "select 'fact' as what, project, id from f where project not in ('p0', 'p3', 'p6') "
+    "union all select 'metrics', concat('p', p_partkey % 7), p_partkey from part where p_partkey not in (select class_metrics from gone) "
+    "union all select 'project', concat('p', x), x from (values (1), (2), (4), (5)) v(x)"
+)
+def delete_unfinished(spark, sf):
+    """Lines are facts, their parts the metrics they point to; every third project never finished. Read back after the delete."""
+    lines = vw.read(spark, sf, "lineitem").join(vw.read(spark, sf, "orders"), F.expr("l_orderkey = o_orderkey"))
+    facts = _stored(spark, "facts", lines.selectExpr(*vw.split(FACTS)), ["project", "id"])
+    metrics = _stored(spark, "metrics", vw.read(spark, sf, "part").selectExpr("concat('p', p_partkey % 7) as project", "p_partkey as id"), ["id"])
+    groups = vw.read(spark, sf, "orders").selectExpr("o_custkey % 7 as id").distinct()
+    projects = _stored(spark, "projects", groups.selectExpr(
+        "concat('p', id) as project", "cast(id as bigint) as id", "case when id % 3 > 0 then timestamp '2024-01-01 00:00:00' end as finishedDate"
+    ), ["project"])
+    stored.delete_unfinished([facts], {"class_metrics": metrics}, projects)
+    tables = {"fact": facts, "metrics": metrics, "project": projects}
+    rows = [t.read().select(F.lit(what).alias("what"), "project", "id") for what, t in tables.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
 @query(
     "with ev as (select *, event_type = 'signup' and event_id % 3 = 0 as lab, concat('src/F', user_id, '.java') as path from events), "
     "seg as (select *, row_number() over w as n, sum(cast(lab as int)) over w as labs from ev window w as (partition by user_id order by event_id)), "

@@ -58,11 +58,11 @@ def fx(spark: SparkSession, sf: str) -> DataFrame:
     """Events with ``ver``, the number of renames of their file so far."""
     if sf in _prepared:
         return _prepared[sf]
-    rows = read(spark, sf, "events").selectExpr(*_split(EVENT_SQL))
+    rows = read(spark, sf, "events").selectExpr(*split(EVENT_SQL))
     return running(rows, ["user_id"], "walk_pos", ["walk_pos"], {"ver": F.col("is_rename").cast("int")})
 
 
-def _split(sql: str) -> list[str]:
+def split(sql: str) -> list[str]:
     """Select list to expressions: commas outside brackets separate them."""
     out, depth, cur = [], 0, ""
     for ch in sql:
@@ -76,7 +76,7 @@ def _split(sql: str) -> list[str]:
 
 
 def commits(spark: SparkSession, sf: str) -> DataFrame:
-    rows = read(spark, sf, "events").selectExpr(*_split(EVENT_SQL))
+    rows = read(spark, sf, "events").selectExpr(*split(EVENT_SQL))
     return rows.selectExpr(
         "project",
         "commit_id",
@@ -109,7 +109,7 @@ def file_changes(spark: SparkSession, sf: str) -> DataFrame:
 
 def edits(spark: SparkSession, sf: str) -> DataFrame:
     """Two hunks per change, together its line counts."""
-    rows = read(spark, sf, "events").selectExpr(*_split(EVENT_SQL))
+    rows = read(spark, sf, "events").selectExpr(*split(EVENT_SQL))
     return rows.selectExpr(
         "project", "commit_id", "0 as entry_pos",
         "explode(array(struct(0 as edit_pos, cast(lines_deleted div 2 as int) as len_a, "
@@ -187,7 +187,7 @@ def ck_classes(spark: SparkSession, sf: str) -> DataFrame:
         "s.file as file",
         "concat('pkg.F', user_id, inner_name) as class",
         "case when inner_name = '' then 'class' else 'innerclass' end as type",
-        *_split(_metric_sql(CLASS_METRICS, seed)),
+        *split(_metric_sql(CLASS_METRICS, seed)),
         f"transform(filter(array(0, 1, 2), x -> x < n_methods), i -> {method}) as methods",
     )
 
@@ -264,7 +264,7 @@ SOURCES_SQL = """
 
 
 def source_files(spark: SparkSession, sf: str) -> DataFrame:
-    return read(spark, sf, "documents").selectExpr(*_split(SOURCES_SQL))
+    return read(spark, sf, "documents").selectExpr(*split(SOURCES_SQL))
 
 
 # twenty log lines per page: the end of a run, then other work
@@ -290,8 +290,8 @@ DEBUG_SQL = """
 
 def info_log(spark: SparkSession, sf: str) -> DataFrame:
     rows = read(spark, sf, "pages").selectExpr("*", "explode(sequence(0, 19)) as k")
-    return rows.selectExpr(*_split(INFO_SQL.replace("//", "div")))
+    return rows.selectExpr(*split(INFO_SQL.replace("//", "div")))
 
 
 def debug_log(spark: SparkSession, sf: str) -> DataFrame:
-    return read(spark, sf, "events").selectExpr(*_split(DEBUG_SQL))
+    return read(spark, sf, "events").selectExpr(*split(DEBUG_SQL))
