@@ -12,6 +12,7 @@ from codehist.functions.names import (
     is_legacy_type,
     is_studied,
     refactoring_level,
+    simplify_method_name,
     takes_all_classes,
 )
 
@@ -40,6 +41,38 @@ def refactored_classes(labels: DataFrame) -> DataFrame:
     )
 
 
+def failing_labels(labels: DataFrame) -> DataFrame:
+    """Per commit the first place at which working through its labels fails, and why.
+
+    Labels are taken in order, and the classes of a label in order: adds ref_pos,
+    class_pos and reason. What comes before that place counts, what comes after
+    is lost. Labels that concern all their classes may have none.
+    """
+    studied = labels.filter(is_studied(F.col("type")))
+    no_class = (F.coalesce(F.size("before"), F.lit(0)) <= 0) & ~takes_all_classes(F.col("type"))
+    unnamed = F.transform(_selected("before"), lambda p: p["file"].isNull() | (~file_is_missing(p["file"]) & p["class"].isNull()))
+    at = F.coalesce(F.array_position(unnamed, True), F.lit(0))
+    method = F.col("method_full_name")
+    unreadable = (F.coalesce(F.size("before"), F.lit(0)) > 0) & method.isNotNull() & simplify_method_name(method).isNull()
+    reason = (
+        F.when(F.col("summary").isNull(), "no summary")
+        .when(no_class, "no class before")
+        .when(unreadable & (at != 1), "method name not readable")
+        .when(at > 0, "no class name")
+    )
+    place = F.when(reason == "no class name", at - 1).otherwise(0).cast("int")
+    failing = studied.select(*LABEL, place.alias("class_pos"), reason.alias("reason")).filter("reason is not null")
+    first = failing.groupBy(*COMMIT).agg(F.min(F.struct("ref_pos", "class_pos", "reason")).alias("first"))
+    return first.select(*COMMIT, "first.*")
+
+
+def until_failure(rows: DataFrame, failures: DataFrame) -> DataFrame:
+    """``rows`` (ref_pos, class_pos) of each commit that come before its failure."""
+    cut = failures.select(*COMMIT, F.struct("ref_pos", "class_pos").alias("_fails"))
+    kept = rows.join(cut, COMMIT, "left").filter(F.col("_fails").isNull() | (F.struct("ref_pos", "class_pos") < F.col("_fails")))
+    return kept.drop("_fails")
+
+
 def old_path_map(changes: DataFrame) -> DataFrame:
     """Old path of every new path in a commit; the last diff entry wins."""
     return changes.groupBy(*COMMIT, "new_path").agg(F.max_by("old_path", "entry_pos").alias("old_path"))
@@ -63,13 +96,14 @@ def label_targets(commits: DataFrame, labels: DataFrame, changes: DataFrame) ->
     """Studied labels of processed commits, one row per concerned class.
 
     Adds parent_id, level, class_pos, class, alias and path: the path before
-    the commit. Labels on new files and on anonymous classes are dropped.
+    the commit. Labels on new files and on anonymous classes are dropped, and
+    so are those that come after a label that fails.
     """
     parents = commits.filter(F.size("parents") == 1).select(
         *COMMIT, F.get("parents", 0).alias("parent_id")
     )
     studied = studied_refactorings(labels).join(parents, COMMIT)
-    rows = refactored_classes(studied)
+    rows = until_failure(refactored_classes(studied), failing_labels(labels))
     # only commits with labels need their old paths
     asked = changes.join(studied.select(*COMMIT).distinct(), COMMIT, "left_semi")
     old = old_path_map(asked).withColumnRenamed("new_path", "file")

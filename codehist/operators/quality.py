@@ -7,13 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codehist.functions.names import (
-    error_state,
-    is_anonymous_class,
-    is_class_rename,
-    is_studied,
-    simplify_method_name,
-)
+from codehist.functions.names import error_state, is_class_rename
+from codehist.operators.labels import failing_labels
 
 COMMIT = ["project", "commit_id"]
 # the columns that make two rows the same instance: label instances and stable ones
@@ -121,48 +116,58 @@ def drop_project(tables: dict[str, DataFrame], project: str) -> dict[str, DataFr
     return {n: t.filter(~gone) for n, t in tables.items()}
 
 
+#: Characters of the pieces by which lines and what they may contain are brought together.
+GRAM = 12
+
+
+def _grams(text: Column, size: Column) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda k: F.substr(text, k, size)))
+
+
+def containing(lines: DataFrame, needles: DataFrame) -> DataFrame:
+    """Pairs of lines (column line) and needles (column needle) that they contain, with all their columns; an empty needle is in no line.
+
+    A line that contains a needle contains all its pieces. Of these the one that the fewest
+    lines have brings both together; shorter needles are pieces of their own.
+    """
+    size = F.least(F.length("needle"), F.lit(GRAM))
+    asked = needles.filter("length(needle) > 0").withColumn("_size", size)
+    sizes = sorted(r["_size"] for r in asked.select("_size").distinct().collect())  # at most GRAM of them
+    held = lines.withColumn("_size", F.explode(F.lit(sizes).cast("array<int>"))).filter(F.length("line") >= F.col("_size"))
+    held = held.withColumn("_gram", F.explode(_grams(F.col("line"), F.col("_size")))).drop("_size")
+    counts = held.groupBy("_gram").agg(F.count("*").alias("_n"))
+    pieces = asked.select("needle", F.explode(_grams(F.col("needle"), F.col("_size"))).alias("_gram")).distinct()
+    rarest = pieces.join(counts, "_gram").groupBy("needle").agg(F.min_by("_gram", F.struct("_n", "_gram")).alias("_gram"))
+    return asked.drop("_size").join(rarest, "needle").join(held, "_gram").filter(F.contains("line", "needle")).drop("_gram")
+
+
 def failed_projects(runs: DataFrame) -> DataFrame:
-    """The failure ledger: one line per project that is running or has failed.
+    """The failure ledger: the lines of projects that are running or have failed.
 
-    ``runs`` has git_url, dataset, status (started, finished, failed), reason
-    and exception. The line of a running project contains URL and dataset; it
-    goes when the run ends, a failure leaves a line with its reason.
+    ``runs`` has git_url, dataset, status (started, finished, failed), reason,
+    exception and pos, the place of each step in the order of the run. A start
+    adds a line with URL and dataset, a failure one with URL, reason and
+    exception. At the end of a run every line so far that *contains* its URL and
+    dataset goes, also of other runs (``x, set1`` is part of ``x, set10``).
     """
     info = F.concat_ws(", ", "git_url", "dataset")
-    ended = runs.filter("status <> 'started'").select("git_url", "dataset").distinct()
-    running = (
-        runs.filter("status = 'started'")
-        .join(ended, ["git_url", "dataset"], "left_anti")
-        .select("git_url", info.alias("line"))
-    )
-    failed = runs.filter("status = 'failed'").select(
-        "git_url", F.concat_ws(", ", "git_url", "reason", "exception").alias("line")
-    )
-    return running.unionByName(failed)
+    line = F.when(F.col("status") == "started", info).otherwise(F.concat_ws(", ", "git_url", "reason", "exception"))
+    lines = runs.filter("status in ('started', 'failed')").select("git_url", "status", "pos", line.alias("line"))
+    ends = runs.filter("status <> 'started'").groupBy(info.alias("needle")).agg(F.max("pos").alias("_end"))
+    gone = containing(lines.groupBy("line").agg(F.min("pos").alias("_first")), ends).filter("_first <= _end")
+    gone = gone.groupBy("line").agg(F.max("_end").alias("_end"))
+    return lines.join(gone, "line", "left").filter("_end is null or pos > _end").select("git_url", "line")
 
 
 def quarantine(labels: DataFrame) -> DataFrame:
-    """Labels the run cannot use, with the reason and a text for the log."""
-
-    def problem(test: Column, reason: str) -> Column:
-        return F.when(test, F.lit(reason))
-
-    empty_before = F.coalesce(F.size("before"), F.lit(0)) <= 0
-    empty_after = F.coalesce(F.size("after"), F.lit(0)) <= 0
-    rename = is_class_rename(F.col("type"))
-    class_name = F.get("before", 0)["class"]
-    method = F.col("method_full_name")
-    tests = [
-        problem(F.col("summary").isNull(), "no summary"),
-        problem(empty_before, "no class before"),
-        problem(rename & empty_after, "rename without class after"),
-        problem(~empty_before & is_anonymous_class(class_name).isNull(), "no class name"),
-        problem(method.isNotNull() & simplify_method_name(method).isNull(), "method name not readable"),
-    ]
-    rows = labels.filter(is_studied(F.col("type"))).withColumn("reason", F.coalesce(*tests))
-    return rows.filter("reason is not null").select(
-        *COMMIT, "ref_pos", "reason", error_state(F.col("commit_id"), F.col("project")).alias("state")
-    )
+    """Per commit the label at which it fails, with the reason and a text for the log."""
+    no_before, no_after = (F.coalesce(F.size(side), F.lit(0)) <= 0 for side in ("before", "after"))
+    broken = labels.filter(is_class_rename(F.col("type")) & (no_before | no_after))
+    reason = F.when(no_before, "no class before").otherwise("rename without class after")
+    renames = broken.groupBy(*COMMIT).agg(F.min(F.struct("ref_pos", reason.alias("reason"))).alias("first")).select(*COMMIT, "first.*")
+    # a rename that lacks a class fails before the first label is looked at
+    others = failing_labels(labels).select(*COMMIT, "ref_pos", "reason").join(renames.select(*COMMIT), COMMIT, "left_anti")
+    return renames.unionByName(others).select(*COMMIT, "ref_pos", "reason", error_state(F.col("commit_id"), F.col("project")).alias("state"))
 
 
 def exceptions_per_project(*ledgers: DataFrame) -> DataFrame:

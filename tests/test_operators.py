@@ -1,3 +1,4 @@
+import random
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -75,38 +76,22 @@ def history(spark, log, thresholds=(10, 25)):
     return author_stats(file_history(events, thresholds, authors=True))
 
 
-def test_totals_of_one_file(spark):
-    log = [change(i) for i in range(1, 22)] + [change(22, author="b", added=10, deleted=5, bug=1)]
-    row = latest_state(history(spark, log)).first()
-    assert (row.n, row.lines_added, row.lines_deleted, row.bug_fixes, row.refactorings) == (22, 31, 26, 1, 0)
-
-
-def test_author_ownership(spark):
-    who = ["m"] * 90 + ["d"] * 6 + ["r"] * 4
-    log = [change(i, author=a) for i, a in enumerate(who, 1)]
-    log += [label(101), change(102, author="x", bug=1)]
-    rows = {r.walk_pos: r for r in history(spark, log, (500,)).collect()}
-    base, now = rows[101], rows[102]
-    assert (base.n, base.authors, base.major, base.minor, base.ownership) == (100, 3, 2, 1, 0.9)
-    assert (now.n, now.authors, now.major, now.minor, now.bug_fixes) == (101, 4, 2, 2, 1)
-    assert abs(now.ownership - 0.8910891) < 1e-6
-
-
-def test_firing(spark):
-    rows = history(spark, [change(i) for i in range(1, 26)]).collect()
-    assert sorted((r.n, r.fired) for r in rows if r.fired) == [(10, 10), (25, 25)]
-    # nine changes, a reset, ten more
-    log = [change(i) for i in range(1, 10)] + [label(10)] + [change(i) for i in range(11, 21)]
-    rows = history(spark, log).collect()
-    assert [(r.walk_pos, r.fired, r.base_n, r.reset_commit) for r in rows if r.fired] == [(20, 10, 9, "c10")]
-
-
-def test_rename_moves_the_state(spark):
-    log = [change(1, "a.Java", deleted=20), rename(2, "a.Java", "A.Java"), change(3, "A.Java", deleted=20),
-           change(4, "a.Java", deleted=20)]
-    rows = {r.path: r for r in latest_state(history(spark, log)).collect()}
-    assert (rows["A.Java"].n, rows["A.Java"].lines_deleted) == (2, 40)
-    assert (rows["a.Java"].n, rows["a.Java"].lines_deleted) == (1, 20)
+def test_three_files_worked_out_by_hand(spark):
+    """Q: an author with one of twenty commits owns exactly 5 %, and is minor one commit later, when two others are level. R: a label between, then a rename to S, then a new R."""
+    who = ["ann", "ben"] * 9 + ["ann", "cy", "ben"]
+    log = [change(i, "Q", a, added=i % 3, deleted=0, bug=int(i == 5)) for i, a in enumerate(who, 1)]
+    log += [change(i, "R", added=0, deleted=i) for i in (31, 32, 33)] + [label(34, "R")] + [change(i, "R", added=0, deleted=1) for i in (35, 36, 37, 38)]
+    log += [rename(39, "R", "S"), change(40, "S", added=7), change(41, "R", added=3)]
+    rows = staged(history(spark, log, (4, 7)))
+    q = {r.n: r for r in rows.filter("path = 'Q'").collect()}
+    assert (q[20].authors, q[20].major, q[20].minor, q[20].ownership) == (3, 3, 0, 0.5)
+    assert (q[21].authors, q[21].major, q[21].minor) == (3, 2, 1) and abs(q[21].ownership - 10 / 21) < 1e-9
+    assert (q[21].lines_added, q[21].lines_deleted, q[21].bug_fixes, q[21].refactorings) == (21, 0, 1, 3)
+    assert sorted((n, r.fired) for n, r in q.items() if r.fired) == [(4, 4), (7, 7), (11, 4), (14, 7), (18, 4), (21, 7)]
+    fired = [(r.walk_pos, r.fired, r.base_n, r.reset_commit) for r in rows.filter("path = 'R' and fired is not null").collect()]
+    assert fired == [(38, 4, 3, "c34")]
+    now = {r.path: (r.n, r.lines_added, r.lines_deleted, r.refactorings) for r in latest_state(rows).collect()}
+    assert now == {"Q": (21, 21, 0, 3), "S": (8, 7, 101, 2), "R": (1, 3, 1, 0)}
 
 
 def test_deletes_are_optional(spark):
@@ -284,3 +269,31 @@ def test_write_replaces_only_its_partitions(spark, tmp_path):
     tb.write_rows(df, out)
     tb.write_rows(df.filter("project = 'p'").withColumn("x", F.lit("new")), out)
     assert {(r.project, r.x) for r in spark.read.parquet(out).collect()} == {("p", "new"), ("q", "b")}
+
+
+def test_ledger_against_a_plain_file(spark):
+    """Steps are taken in turn: a line is added, or all lines that contain the text go."""
+    rnd = random.Random(3)
+    urls = ["u", "https://x.org/a", "https://x.org/ab", "https://x.org/a, set1", ""]
+    rows, ledger = [], []
+    for pos in range(300):
+        url, dataset, status = rnd.choice(urls), rnd.choice(["set1", "set10", "t", ""]), rnd.choice(["started", "started", "finished", "failed"])
+        reason, error = rnd.choice(["gone", "set1", "t"]), rnd.choice(["E: x", "https://x.org/a, set1"])
+        rows.append((url, dataset, status, reason, error, pos))
+        if status != "finished":
+            ledger.append((url, f"{url}, {dataset}" if status == "started" else f"{url}, {reason}, {error}"))
+        if status != "started":
+            ledger = [(u, line) for u, line in ledger if f"{url}, {dataset}" not in line]
+    runs = spark.createDataFrame(rows, "git_url string, dataset string, status string, reason string, exception string, pos long")
+    assert sorted(tuple(r) for r in ql.failed_projects(runs).collect()) == sorted(ledger) and ledger
+    assert ql.failed_projects(runs.limit(0)).collect() == []
+
+
+def test_a_failing_label_ends_its_commit(spark):
+    ok = [("A.java", "x.A"), ("B.java", "x.B")]
+    rows = [label_row(0, "EXTRACT_INTERFACE", ok, ok), label_row(1, "EXTRACT_INTERFACE", [("A.java", "x.A"), ("B.java", None)], ok), label_row(2, "EXTRACT_INTERFACE", ok, ok)]
+    labels = spark.createDataFrame(rows, schemas.REFACTORINGS)
+    failures = lb.failing_labels(labels)
+    assert [(r.ref_pos, r.class_pos, r.reason) for r in failures.collect()] == [(1, 1, "no class name")]
+    left = lb.until_failure(lb.refactored_classes(labels), failures)
+    assert sorted((r.ref_pos, r.class_pos) for r in left.collect()) == [(0, 0), (0, 1), (1, 0)]

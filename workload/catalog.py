@@ -424,6 +424,25 @@ def label_targets(spark, sf):
     return rows.select("project", "commit_id", "ref_pos", "class_pos", "path", "class", "parent_id", "level")
 
 
+@query(
+    dk.with_fx(
+        "select project, commit_id, ref_pos, class_pos, class from tgt where (event_id + ref_pos) % 5 > 2 and not exists (select 1 from lab f "
+        "where f.commit_id = tgt.commit_id and f.level > 0 and f.ref_pos <= tgt.ref_pos and ((f.event_id + f.ref_pos) % 5 in (0, 2) "
+        f"or ((f.event_id + f.ref_pos) % 5 = 1 and f.type not in {dk.ALL_SQL})))"
+    ),
+    prepare=True,
+)
+def targets_until_failure(spark, sf):
+    """A label may fail between others of its commit; those before it count, those after it are lost."""
+    no = F.expr("(cast(substring(commit_id, 2) as bigint) + ref_pos) % 5")
+    nameless = F.transform("before", lambda p: F.struct(p["file"].alias("file"), F.lit(None).cast("string").alias("class")))
+    labels = vw.labels(spark, sf).withColumns({
+        "summary": F.when(no != 0, F.col("summary")),
+        "before": F.when(no == 1, F.slice("before", 1, 0)).when(no == 2, nameless).otherwise(F.col("before")),
+    })
+    return lb.label_targets(_processed(spark, sf), labels, _changes(spark, sf)).select("project", "commit_id", "ref_pos", "class_pos", "class")
+
+
 @query(dk.with_fx("select class, regexp_matches(class, '[.][a-z][^.]*$') as is_anonymous from cls"))
 def is_anonymous_class(spark, sf):
     rows = lb.refactored_classes(lb.studied_refactorings(vw.labels(spark, sf)))
@@ -1019,29 +1038,44 @@ def repeated_projects(spark, sf):
     return ql.repeated_projects(rows)
 
 
+RUN_STEPS = (
+    ("1", "started", "", 0, 3), ("10", "started", "", 1, 3), ("1", "failed", "Repository not available", 2, 1), ("1", "finished", "", 2, 0), ("1", "started", "", 3, 1),
+    ("10", "failed", "set1", 4, 1), ("10", "failed", "set1", 4, 2), ("2", "started", "", 5, 3), ("2", "failed", "set2", 6, 3),
+)
+LEDGER = (
+    "select concat('https://x.org/s', s_suppkey) as git_url, concat('https://x.org/s', s_suppkey, ', set', d.dataset) as info, d.status, "
+    "concat('https://x.org/s', s_suppkey, ', ', d.reason, ', x.TransportException: ', s_name) as failure, s_suppkey * 10 + d.step as pos from supplier join (values "
+    + ", ".join(map(str, RUN_STEPS))
+    + ") d(dataset, status, reason, step, nth) "
+    "on d.nth = 3 or s_nationkey % 3 = d.nth"
+)
+
+
 @query(
-    "select concat('https://x.org/s', s_suppkey) as git_url, case when s_nationkey % 3 = 0 then concat('https://x.org/s', s_suppkey, ', set', s_nationkey) "
-    "else concat('https://x.org/s', s_suppkey, ', Repository not available, x.TransportException: ', s_name) end as line from supplier where s_nationkey % 3 < 2"
+    f"with r as ({LEDGER}), l as (select git_url, pos, case when status = 'started' then info else failure end as line from r where status <> 'finished'), "
+    "n as (select info, pos from r where status <> 'started') "
+    "select git_url, line from l where not exists (select 1 from n where contains(l.line, n.info) and n.pos >= l.pos)"
 )
 def failed_projects(spark, sf):
-    runs = vw.read(spark, sf, "supplier").selectExpr(
-        "concat('https://x.org/s', s_suppkey) as git_url", "concat('set', s_nationkey) as dataset",
-        "explode(case s_nationkey % 3 when 0 then array('started') when 1 then array('started', 'failed') else array('started', 'finished') end) as status",
-        "'Repository not available' as reason", "concat('x.TransportException: ', s_name) as exception",
-    )
+    """Runs that end in time order; ``s, set1`` is part of ``s, set10``, and some failures name a data set themselves."""
+    steps = "array(" + ", ".join(f"named_struct('dataset', '{d}', 'status', '{s}', 'reason', '{r}', 'at', {at}, 'only', {only})" for d, s, r, at, only in RUN_STEPS) + ")"
+    runs = vw.read(spark, sf, "supplier").selectExpr("s_suppkey", "s_nationkey", "s_name", f"explode({steps}) as d").filter("d.only = 3 or s_nationkey % 3 = d.only").selectExpr(
+        "concat('https://x.org/s', s_suppkey) as git_url", "concat('set', d.dataset) as dataset", "d.status as status", "d.reason as reason",
+        "concat('x.TransportException: ', s_name) as exception", "s_suppkey * 10 + d.at as pos",
+    )
     return ql.failed_projects(runs)
 
 
 @query(
     dk.with_fx(
-        "select project, commit_id, ref_pos, case when event_id % 5 = 0 then 'no summary' when event_id % 5 = 1 then 'no class before' "
-        "when event_id % 5 = 2 and type in ('MOVE_RENAME_CLASS', 'RENAME_CLASS', 'MOVE_CLASS') then 'rename without class after' "
-        "else 'method name not readable' end as reason from lab where level > 0 and (event_id % 5 in (0, 1, 3) or "
-        "(event_id % 5 = 2 and type in ('MOVE_RENAME_CLASS', 'RENAME_CLASS', 'MOVE_CLASS')))"
+        "select project, commit_id, coalesce(min(ref_pos) filter (event_id % 5 in (1, 2) and renames), min(ref_pos)) as ref_pos, any_value(reason) as reason from ("
+        "select *, type in ('MOVE_RENAME_CLASS', 'RENAME_CLASS', 'MOVE_CLASS') as renames, "
+        "case event_id % 5 when 0 then 'no summary' when 1 then 'no class before' when 2 then 'rename without class after' else 'method name not readable' end as reason "
+        f"from lab where level > 0) where event_id % 5 in (0, 3) or (event_id % 5 = 1 and type not in {dk.ALL_SQL}) or (event_id % 5 = 2 and renames) group by 1, 2"
     )
 )
 def quarantine(spark, sf):
-    """Labels broken in one of four ways, by commit."""
+    """Labels broken in one of four ways, by commit: the first one stops it."""
     no = F.expr("cast(substring(commit_id, 2) as bigint) % 5")
     rows = vw.labels(spark, sf)
     rows = rows.withColumns({
