@@ -122,10 +122,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([name]), pa.array([len(ids)], pa.int64())], names=["part", "file", "ids"])
 
-        for batch in pieces(batches, most=1 << 20):
-            data, at = flat(batch.column("text"))
-            view = data.tobytes()
-            ids, counts = encoder.texts([view[a:b] for a, b in zip(at[:-1], at[1:], strict=True)])
+        for batch in pieces(batches, most=1 << 21):
+            ids, counts = encoder.of(*flat(batch.column("text")))
             whole = np.insert(ids, np.cumsum(counts), end_id)
             doc_ids = batch.column("doc_id")
             named = doc_ids.is_valid().to_numpy(zero_copy_only=False)
@@ -135,7 +133,6 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
                 k += 1
         if held:
             yield flush()
-        encoder.clear()
         give_back()
 
     rows = docs.select(F.col("doc_id").cast("long"), "text")

@@ -1,17 +1,30 @@
 """Token ids of whole texts, by the tokenizers library, with each distinct word encoded once per task.
 
-This tokenizer drops white space and never lets a token reach over it, so the ids of a text are those of its words in turn. Words are looked up in a
-bounded table; only new ones go through the library.
+Such a tokenizer drops white space and never lets a token reach over it, so the ids of a text are those of its words in turn. Arrow finds the distinct words of a piece of text, these are
+looked up in a bounded table that outlives the task, and only new ones are encoded. All this rests on how the file normalises and splits; a file that does so in any other way than
+NORMALIZER and SPLITTER is left to the library, text by text.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
-from codehist.llm.vectors import threads_off
+from codehist.llm.vectors import threads_off, words
+
+#: The two parts of a tokenizer file for which the short way holds, and what its model must not do.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 
 #: Words kept per task before the table starts anew; bounds memory, not results.
 MOST_WORDS, MOST_BYTES = 300_000, 16 << 20
@@ -20,8 +33,8 @@ MOST_WORDS, MOST_BYTES = 300_000, 16 << 20
 class WordIds:
     """Ids of words, kept one after the other; a word is known by its number."""
 
-    def __init__(self, encode, split=bytes.split):
-        self.encode, self.split = encode, split
+    def __init__(self, encode, split=bytes.split, most: int = MOST_WORDS):
+        self.encode, self.split, self.most = encode, split, most
         self.clear()
 
     def clear(self) -> None:
@@ -30,7 +43,7 @@ class WordIds:
 
     def texts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and how many each text has."""
-        if len(self.number) > MOST_WORDS or self.bytes > MOST_BYTES:
+        if len(self.number) > self.most or self.bytes > MOST_BYTES:
             self.clear()
         found, counts = [], []
         for text in texts:
@@ -47,6 +60,22 @@ class WordIds:
         ids = self.ids[np.arange(ends[-1]) + np.repeat(first - ends[:-1], size)]
         return ids, np.diff(ends[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)])
 
+    def of(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for texts in one buffer, that begin at ``at``: only distinct units become Python objects."""
+        if len(self.number) > self.most or self.bytes > MOST_BYTES:
+            self.clear()
+        coded, counts = units(data, at)
+        distinct = coded.dictionary.to_pylist()
+        new = [w for w in distinct if w not in self.number]
+        if new:
+            self._learn(new)
+        known = np.fromiter(map(self.number.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
+        first = self.first[known]
+        size = self.first[known + 1] - first
+        stops = np.concatenate([[0], np.cumsum(size)])
+        ids = self.ids[np.arange(stops[-1]) + np.repeat(first - stops[:-1], size)]
+        return ids, np.diff(stops[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)])
+
     def _learn(self, new: list[bytes]) -> None:
         got = self.encode(new)
         self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
@@ -61,13 +90,55 @@ PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,;:!?]
 LETTERS = [chr(c) for c in (*range(0x41, 0x5B), *range(0x61, 0x7B), *(c for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7)))]
 
 
+IS_POINT = np.zeros(256, bool)
+IS_POINT[list(b".,;:!?")] = True
+
+
+def units(data: np.ndarray, at: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The words of all texts in turn, and how many units each text has. A plain word is two units, its letters in lower case and its points, if it has some."""
+    begins, ends, per = words(data, at)
+    low = data | 32
+    second = np.zeros(len(data), bool)
+    second[1:] = data[:-1] == 0xC3
+    second &= (data != 0x97) & (data != 0xB7)  # no multiplication and division signs
+    letter = ((low >= 97) & (low <= 122)) | second
+    letter[:-1] |= second[1:]
+    so_far = np.concatenate([np.zeros(1, np.int32), np.cumsum(letter, dtype=np.int32)])
+    middle = begins + so_far[ends] - so_far[begins]
+    plain = (middle > begins) & (so_far[middle] - so_far[begins] == middle - begins)
+    so_far = np.concatenate([np.zeros(1, np.int32), np.cumsum(IS_POINT[data], dtype=np.int32)])
+    plain &= so_far[ends] - so_far[middle] == ends - middle
+    two = plain & (middle < ends)
+
+    marks = np.zeros(len(data) + 1, np.int8)
+    marks[begins[plain]] += 1
+    marks[ends[plain]] -= 1
+    lowered = np.cumsum(marks[:-1], dtype=np.int8).view(bool)
+    out = data.copy()
+    out[lowered & (data >= 65) & (data <= 90)] |= 32
+    out[lowered & second & (data >= 0x80) & (data <= 0x9E)] += 0x20
+
+    n = 1 + two.astype(np.int64)
+    last = np.cumsum(n)
+    size = np.repeat(ends - begins, n)
+    size[last[two] - 2] = (middle - begins)[two]
+    size[last[two] - 1] = (ends - middle)[two]
+    marks[:] = 0
+    marks[begins] += 1
+    marks[ends] -= 1
+    kept = out[np.cumsum(marks[:-1], dtype=np.int8).view(bool)]
+    edges = np.concatenate([np.zeros(1, np.int32), np.cumsum(size, dtype=np.int32)])
+    coded = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(edges), pa.py_buffer(kept)]).dictionary_encode()
+    return coded, np.diff(np.concatenate([[0], last])[np.concatenate([[0], np.cumsum(per)])])
+
+
 class WordEncoder:
-    """Ids of words. Words in several writings (capitals, points behind) share the ids of their letters, which the library's model gives."""
+    """Ids of words. Letters go to the library's model, whatever else is in a word to the whole library."""
 
     def __init__(self, tokenizer):
         from tokenizers.pre_tokenizers import ByteLevel
 
-        self.tokenizer, self.letters, self.points = tokenizer, {}, {b"": ()}
+        self.tokenizer, self.points = tokenizer, {b"": ()}
         bytes_of = ByteLevel(add_prefix_space=False, use_regex=False)
         self.lower = str.maketrans({c: bytes_of.pre_tokenize_str(c.lower())[0][0] for c in LETTERS})
 
@@ -75,11 +146,9 @@ class WordEncoder:
         return [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
 
     def __call__(self, words: list[bytes]) -> list[tuple[int, ...]]:
-        if len(self.letters) > MOST_WORDS // 2:
-            self.letters.clear()
         if len(self.points) > 10_000:
             self.points = {b"": ()}
-        out, other = [], []
+        out, other, model = [], [], self.tokenizer.model
         for k, word in enumerate(words):
             parts = PLAIN.fullmatch(word)
             if parts is None:
@@ -87,10 +156,7 @@ class WordEncoder:
                 out.append(())
                 continue
             letters, points = parts.groups()
-            text = letters.decode().translate(self.lower)
-            ids = self.letters.get(text)
-            if ids is None:
-                ids = self.letters[text] = tuple([t.id for t in self.tokenizer.model.tokenize(text)])
+            ids = tuple([t.id for t in model.tokenize(letters.decode().translate(self.lower))])
             if points:
                 behind = self.points.get(points)
                 if behind is None:
@@ -102,9 +168,31 @@ class WordEncoder:
         return out
 
 
+class LibraryIds:
+    """Ids of whole texts, by the library alone."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+
+    def of(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raw, ids = data.tobytes(), []
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            ids.append(np.array(self.tokenizer.encode(raw[a:b].decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32))
+        return np.concatenate([np.zeros(0, np.uint32), *ids]), np.array([len(x) for x in ids], np.int64)
+
+
+def splits_at_spaces(tokenizer) -> bool:
+    """Whether the file is of the kind whose words can be encoded one by one."""
+    file = json.loads(tokenizer.to_str())
+    model, extra = file["model"], [t["content"] for t in file["added_tokens"]]
+    plain = model["type"] == "BPE" and not model["dropout"] and not model["continuing_subword_prefix"] and not model.get("ignore_merges") and not model["byte_fallback"]
+    return plain and file["normalizer"] == NORMALIZER and file["pre_tokenizer"] == SPLITTER and not any(set(t) & set(" \t\n\v\f\r") for t in extra)
+
+
 @lru_cache(maxsize=2)
-def word_ids(path: str) -> WordIds:
+def word_ids(path: str) -> WordIds | LibraryIds:
     threads_off()
     from tokenizers import Tokenizer
 
-    return WordIds(WordEncoder(Tokenizer.from_file(path)))
+    tokenizer = Tokenizer.from_file(path)
+    return WordIds(WordEncoder(tokenizer), most=500_000) if splits_at_spaces(tokenizer) else LibraryIds(tokenizer)

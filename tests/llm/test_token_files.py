@@ -1,12 +1,15 @@
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
 from codehist.llm import token_files as T
+from codehist.llm.vectors import flat
 from codehist.llm.word_bpe import word_ids
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -79,3 +82,25 @@ def test_query_over_the_whole_table(spark):
         at += len(ids)
     got = SPARK["op4_token_files"](spark, folder).collect()
     assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got) == expected
+
+
+def test_units_of_random_texts():
+    """Words with capitals, points, signs and letters of other scripts, against the library on whole texts."""
+    rng = random.Random(12)
+    letters = ["a", "B", "é", "É", "ß", "À", "×", "÷", "Þ", "þ", "ÿ", ".", ",", "!", "'s", "7", " ", "\n", "\t", "Ā", "漢", "😀", "́", "#", "Ω", "\x1c", " "]
+    texts = ["".join(rng.choices(letters, k=rng.randrange(40))) for _ in range(2000)] + [None, "", " ", "x" * 5000, "É" * 3000 + "...", "a.b", ".a", "a.,!a"]
+    ids, counts = word_ids(PATH).of(*flat(pa.array(texts)))
+    library = Tokenizer.from_file(PATH)
+    ends = np.cumsum(counts)
+    for text, a, b in zip(texts, ends - counts, ends, strict=True):
+        assert ids[a:b].tolist() == library.encode(text or "", add_special_tokens=False).ids, repr(text)
+    few, none = word_ids(PATH).of(*flat(pa.array([], pa.string())))
+    assert len(few) == len(none) == 0
+
+
+def test_other_kinds_of_files_are_left_to_the_library():
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["Two  words", "", None, " x\n\ny"]
+    ids, counts = word_ids(other).of(*flat(pa.array(texts)))
+    want = [Tokenizer.from_file(other).encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
