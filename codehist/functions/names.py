@@ -50,15 +50,10 @@ def short_summary(summary: Column) -> Column:
 
 
 def error_state(commit_id: Column, project: Column) -> Column:
+    # fixed value: the format of the log
     return F.format_string("\n{commit: %s from project: %s", commit_id, project)
 
 
-def label_error_state(commit_id: Column, project: Column, summary: Column) -> Column:
-    return F.format_string(
-        "\n{refactoring: %s commit: %s from project: %s", short_summary(summary), commit_id, project
-    )
-
-
 def csv_escape(text: Column) -> Column:
     return F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -168,9 +166,3 @@ def quarantine(labels: DataFrame) -> DataFrame:
     # a rename that lacks a class fails before the first label is looked at
     others = failing_labels(labels).select(*COMMIT, "ref_pos", "reason").join(renames.select(*COMMIT), COMMIT, "left_anti")
     return renames.unionByName(others).select(*COMMIT, "ref_pos", "reason", error_state(F.col("commit_id"), F.col("project")).alias("state"))
-
-
-def exceptions_per_project(*ledgers: DataFrame) -> DataFrame:
-    """Broken commits per project over several quarantine tables."""
-    rows = reduce(DataFrame.unionByName, [q.select(*COMMIT) for q in ledgers])
-    return rows.distinct().groupBy("project").agg(F.count("*").alias("exceptionsCount"))

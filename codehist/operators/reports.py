@@ -1,6 +1,6 @@
 """Run statistics, from the result tables and from the run logs.
 
-A log table has (file, line_no, line); see ``sources.logs``.
+A log table has (file, line_no, line); see ``sources.tables.scan_log``.
 """
 
 from __future__ import annotations

@@ -85,20 +85,6 @@ METHOD_METRICS = [
     "methodUniqueWordsQty",
 ]
 
-PROCESS_METRICS = [
-    "qtyOfCommits",
-    "linesAdded",
-    "linesDeleted",
-    "bugFixCount",
-    "refactoringsInvolved",
-    "qtyOfAuthors",
-    "qtyMinorAuthors",
-    "qtyMajorAuthors",
-    "authorOwnership",
-]
-
-PROJECTS_IN = _struct(dataset=S, git_url=S)
-
 COMMITS = _struct(
     project=S,
     commit_id=S,
@@ -148,8 +134,6 @@ CK_CLASSES = T.StructType(
 
 SOURCE_FILES = _struct(project=S, commit_id=S, path=S, text=S)
 
-RUN_LOG = _struct(file=S, line_no=L, line=S)
-
 # The studied label types by level, and their codes.
 LEVEL_CODES = {"CLASS": 1, "METHOD": 2, "VARIABLE": 3, "ATTRIBUTE": 4, "OTHER": 5}
 LABEL_TYPES = {

@@ -91,15 +91,6 @@ def drop_stages(spark: SparkSession) -> None:
         remove(spark, [folder])
 
 
-@contextmanager
-def stages(spark: SparkSession) -> Iterator[None]:
-    """Inside, results are worked out and written; their tables are removed at the end."""
-    try:
-        yield
-    finally:
-        drop_stages(spark)
-
-
 def _drop_at_exit(app: str) -> None:
     spark = SparkSession.getActiveSession()
     if spark is not None and spark.sparkContext._jsc is not None and spark.sparkContext.applicationId == app:

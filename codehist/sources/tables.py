@@ -2,25 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from codehist import schemas
-from codehist.plans.ordered import running
-
-INPUTS = {
-    "commits": schemas.COMMITS,
-    "file_changes": schemas.FILE_CHANGES,
-    "edits": schemas.EDITS,
-    "refactorings": schemas.REFACTORINGS,
-    "ck_classes": schemas.CK_CLASSES,
-    "source_files": schemas.SOURCE_FILES,
-}
-
+from functools import reduce
 
-def read_input(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.schema(INPUTS[name]).parquet(f"{folder.rstrip('/')}/{name}")
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from codehist.session import staged
 
 def project_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     """Lines ``x,git_url,dataset``: no header, no quoting, further fields ignored."""
@@ -48,17 +35,12 @@ def scan_sources(spark: SparkSession, folder: str, project: str, commit_id: str)
     )
 
 
-def folder_size(spark: SparkSession, folder: str) -> DataFrame:
-    """Bytes of all files below a folder; reads no contents."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return files.select("length").agg(F.coalesce(F.sum("length"), F.lit(-1)).alias("size_in_bytes"))
-
-
 def scan_log(spark: SparkSession, path: str) -> DataFrame:
     """Text files (globs allowed) as (file, line_no, line), lines counted from 1.
 
-    Large files are read in several splits; lines are numbered inside a split
-    and the splits of a file are added up, so no task sees a whole file.
+    Large files are read in several splits. Lines are counted per split first,
+    which shuffles counts only; a second scan adds each split's offset where the
+    lines are read. Both scans see the same splits, as long as the files stay.
     """
     rows = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
@@ -66,8 +48,13 @@ def scan_log(spark: SparkSession, path: str) -> DataFrame:
         F.monotonically_increasing_id().alias("_row"),
         F.col("value").alias("line"),
     )
-    numbered = running(rows, ["file"], "_start", ["_start", "_row"], {"line_no": F.lit(1)}, block=1)
-    return numbered.select("file", "line_no", "line")
+    splits = rows.groupBy("file", "_start").agg(F.min("_row").alias("_first"), F.count("*").alias("_lines"))
+    earlier = Window.partitionBy("file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum("_lines").over(earlier), F.lit(0)) - F.col("_first") + 1
+    # written, so that its size is known: broadcast while it is small
+    offsets = staged(splits.select("file", "_start", offset.alias("_offset")))
+    numbered = rows.join(offsets, ["file", "_start"])
+    return numbered.select("file", (F.col("_row") + F.col("_offset")).alias("line_no"), "line")
 
 
 def write_rows(rows: DataFrame, path: str) -> None:
@@ -86,20 +73,33 @@ def write_rows(rows: DataFrame, path: str) -> None:
     )
 
 
-def write_archive(texts: DataFrame, path: str) -> None:
+#: Rows of one row group of a stored state, at most; a lookup reads whole row groups.
+GROUP_BYTES = 1 << 20
+
+
+def write_state(latest: DataFrame, path: str) -> None:
+    """Latest state of all files, laid out for lookups by project and path.
+
+    Files of one project are sorted by path into small row groups, and each has a
+    Bloom filter, so that a lookup reads the row groups that hold its paths and no others.
+    """
     (
-        texts.hint("rebalance", F.col("project"))
+        latest.hint("rebalance", F.col("project"))
+        .sortWithinPartitions("project", "path")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
+        .option("parquet.bloom.filter.enabled#path", "true")
+        .option("parquet.block.size", str(GROUP_BYTES))
+        .option("parquet.block.row.count.limit", "4096")
         .partitionBy("project")
         .parquet(path)
     )
 
 
-def append_failures(failures: DataFrame, path: str) -> None:
-    failures.write.mode("append").parquet(path)
-
-
-def write_csv(rows: DataFrame, path: str) -> None:
-    """Every field quoted, inner quotes doubled."""
-    rows.write.mode("overwrite").option("quoteAll", "true").option("escape", '"').csv(path)
+def find_files(spark: SparkSession, path: str, project: str, paths: list[str]) -> DataFrame:
+    """State of the files with these paths; what is not stored gives no row."""
+    wanted = [F.col("path") == p for p in dict.fromkeys(paths)]
+    if not wanted:
+        return spark.read.parquet(path).limit(0)
+    # one test per path, as sets of many values are not looked up in Bloom filters
+    return spark.read.parquet(path).filter((F.col("project") == project) & reduce(lambda a, b: a | b, wanted))

@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codehist.functions import names as nm
@@ -19,7 +19,7 @@ from codehist.operators import process as pr
 from codehist.operators import quality as ql
 from codehist.operators import reports as rp
 from codehist.operators import stability as stb
-from codehist.operators.events import CHANGE, event_log
+from codehist.operators.events import CHANGE, change_events, event_log
 from codehist.operators.exact import with_exact_cycles
 from codehist.operators.history import closed_form_history, file_history
 from codehist.operators.lineage import rename_lineage
@@ -28,8 +28,10 @@ from codehist.plans.ordered import BLOCK
 from codehist.schemas import CLASS_METRICS, LEGACY_TYPES, METHOD_METRICS
 from codehist.session import shared_dir, staged
 from codehist.sources import stored
+from codehist.sources.files import read_files, write_files
 from codehist.sources.stored import StoredTable
-from codehist.sources.tables import project_lines, write_rows
+from codehist.sources.tables import find_files as look_up
+from codehist.sources.tables import project_lines, scan_log, write_rows, write_state
 from codehist.streaming.tracker import results, stream_file_state
 from workload import duck as dk
 from workload import views as vw
@@ -1227,6 +1229,83 @@ def write_instances(spark, sf):
     return spark.read.parquet(path).select("project", "level", "commit_id", "ref_pos", "class_pos", "className")
 
 
+# --- files ----------------------------------------------------------------------
+
+JAVA = "case event_id % 4 when 0 then '.kt' when 1 then '.JAVA' when 2 then '.javac' else '.java' end"
+
+
+@query(
+    dk.with_fx(f"select project, commit_id, concat(stem, ver, {JAVA}) as path, walk_pos, lines_added as added from chg where n_parents <= 1 and event_id % 2 = 1"),
+    prepare=True,
+)
+def java_changes(spark, sf):
+    """Changes whose new path has one of four endings; the case of letters does not matter."""
+    other = F.expr(f"regexp_replace(new_path, '[.]java$', {JAVA.replace('event_id', 'cast(substring(commit_id, 2) as bigint)')})")
+    changes = _changes(spark, sf).withColumn("new_path", other)
+    return change_events(_processed(spark, sf), changes).select("project", "commit_id", "path", "walk_pos", "added")
+
+
+@query(dk.with_fx("select project, commit_id, ref_pos, class_pos from inst where commit_id = (select max(commit_id) from inst)"), prepare=True)
+def commit_instances(spark, sf):
+    rows = staged(_instances(spark, sf).select(*lb.LABEL, "class_pos"))
+    return ins.commit_instances(rows, rows.agg(F.max("commit_id")).first()[0])
+
+
+@query(
+    "select concat('p', c_nationkey) as project, concat('c', c_custkey) as commit_id, c_custkey as id, "
+    "row_number() over (order by concat('p', c_nationkey), case when c_custkey % 7 > 0 then 1 - c_custkey end nulls first, c_custkey) as place from customer"
+)
+def ordered_rows(spark, sf):
+    """Rows in the order of the walk; some commits are in no walk. Their places are numbered as they come."""
+    rows = vw.read(spark, sf, "customer").selectExpr("concat('p', c_nationkey) as project", "concat('c', c_custkey) as commit_id", "c_custkey as id")
+    walk = rows.filter("id % 7 > 0").withColumn("walk_pos", 1 - F.col("id"))
+    ordered = ql.in_order(rows, walk)
+    return project_places(ordered)
+
+
+def project_places(ordered: DataFrame) -> DataFrame:
+    """Numbers the rows of a sorted table: rows per partition, and the place in it."""
+    kept = staged(ordered.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_row")))
+    sizes = kept.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("_part", (before - F.col("_first") + 1).alias("_offset"))
+    return kept.join(offsets, "_part").select("project", "commit_id", "id", (F.col("_row") + F.col("_offset")).alias("place"))
+
+
+@query("select o_orderkey as key, cast(0 as bigint) as off from orders")
+def log_lines(spark, sf):
+    """Orders written as text files in the order of their keys: a line's number is the place of its key in the file."""
+    path = f"{shared_dir(spark).rstrip('/')}/log-{uuid.uuid4().hex}"
+    orders = vw.read(spark, sf, "orders").repartitionByRange(3, "o_orderkey").sortWithinPartitions("o_orderkey")
+    orders.selectExpr("concat(o_orderkey, ',', o_totalprice, ',', o_orderstatus) as value").write.text(path)
+    lines = scan_log(spark, path).selectExpr("file", "line_no", "cast(split(line, ',')[0] as bigint) as key")
+    place = F.row_number().over(Window.partitionBy("file").orderBy("key", "line_no"))
+    return lines.select("key", (F.col("line_no") - place).cast("bigint").alias("off"))
+
+
+@query(
+    dk.with_fx(
+        "select distinct concat(commit_id, '-', ref_pos, '-', class_pos, '/before/', string_split(old_path, '/')[-1]) as path, concat('b', event_id, ' ', message) as text from inst "
+        "union all select concat(commit_id, '-', ref_pos, '-', class_pos, '/after/', string_split(new_path, '/')[-1]), concat(commit_id, ' ', message) from inst"
+    ), prepare=True)
+def archive_files(spark, sf):
+    """The texts of the archive as files of their own, and read back."""
+    folder = f"{shared_dir(spark).rstrip('/')}/archive-{uuid.uuid4().hex}"
+    texts = source_archive(spark, sf)
+    write_files(texts.selectExpr("concat(commit_id, '-', ref_pos, '-', class_pos, '/', side, '/', file_name) as path", "text"), folder)
+    return read_files(spark, folder)
+
+
+@query("select concat('p', o_custkey % 5) as project, concat('src/O', o_orderkey, '.java') as path, o_totalprice as price from orders where o_custkey % 5 = 2 and o_orderkey in (select o_orderkey from orders where o_custkey % 5 = 2 order by 1 limit 3)")
+def find_files(spark, sf):
+    """A state of one file for each order, and three of them looked up."""
+    path = f"{shared_dir(spark).rstrip('/')}/state-{uuid.uuid4().hex}"
+    state = vw.read(spark, sf, "orders").selectExpr("concat('p', o_custkey % 5) as project", "concat('src/O', o_orderkey, '.java') as path", "o_totalprice as price", "o_orderkey")
+    write_state(state.drop("o_orderkey"), path)
+    keys = [r.path for r in state.filter("project = 'p2'").orderBy("o_orderkey").limit(3).collect()]
+    return look_up(spark, path, "p2", [*keys, "src/none.java"]).select("project", "path", "price")
+
+
 # --- tables kept up to date in place --------------------------------------------
 
 STORED_ROWS = "concat('p', o_custkey % 7) as project, o_orderkey as id, o_totalprice as price, 'first' as origin"

@@ -9,6 +9,7 @@ commit over several files), or of ``documents``, ``pages`` and other tables.
 from __future__ import annotations
 
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,23 +42,24 @@ def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
 
 
-_prepared: dict[str, DataFrame] = {}
+#: Numbered events by folder, for the query that runs in this thread.
+_prepared: ContextVar[dict[str, DataFrame]] = ContextVar("prepared")
 
 
 @contextmanager
 def prepared(spark: SparkSession, sf: str):
     """Write the numbered events once for a query that needs them several times."""
-    _prepared[sf] = staged(fx(spark, sf))
+    token = _prepared.set({**_prepared.get({}), sf: staged(fx(spark, sf))})
     try:
         yield
     finally:
-        del _prepared[sf]
+        _prepared.reset(token)
 
 
 def fx(spark: SparkSession, sf: str) -> DataFrame:
     """Events with ``ver``, the number of renames of their file so far."""
-    if sf in _prepared:
-        return _prepared[sf]
+    if sf in _prepared.get({}):
+        return _prepared.get({})[sf]
     rows = read(spark, sf, "events").selectExpr(*split(EVENT_SQL))
     return running(rows, ["user_id"], "walk_pos", ["walk_pos"], {"ver": F.col("is_rename").cast("int")})
 
