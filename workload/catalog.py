@@ -19,12 +19,13 @@ from codehist.operators import process as pr
 from codehist.operators import quality as ql
 from codehist.operators import reports as rp
 from codehist.operators import stability as stb
+from codehist.operators import walk
 from codehist.operators.events import CHANGE, change_events, event_log
 from codehist.operators.exact import with_exact_cycles
 from codehist.operators.history import closed_form_history, file_history
 from codehist.operators.lineage import rename_lineage
 from codehist.plans.mining import history_events, mine
-from codehist.plans.ordered import BLOCK
+from codehist.plans.ordered import BLOCK, running
 from codehist.schemas import CLASS_METRICS, LEGACY_TYPES, METHOD_METRICS
 from codehist.session import shared_dir, staged
 from codehist.sources import stored
@@ -1229,6 +1230,41 @@ def write_instances(spark, sf):
     return spark.read.parquet(path).select("project", "level", "commit_id", "ref_pos", "class_pos", "className")
 
 
+# --- the walk from parents ------------------------------------------------------
+
+# in every ten commits of a project a side branch of two that is merged, and one commit that is not
+GRAPH = (
+    "case when rn = 1 then [] when rn % 10 = 5 then [rn - 3] when rn % 10 = 6 then [rn - 1, rn - 2] when rn % 10 = 9 then [rn - 2] else [rn - 1] end"
+)
+WALK_SQL = (
+    "with recursive g as (select concat('p', user_id % 5) as project, event_id, row_number() over (partition by user_id % 5 order by event_id) as rn from events), "
+    f"e as (select project, rn, unnest({GRAPH}) as parent from g), "
+    "held as (select project, max(rn) as rn from g group by 1 union select e.project, e.parent from e join held h on h.project = e.project and h.rn = e.rn) "
+)
+
+
+def _graph(spark, sf) -> tuple[DataFrame, DataFrame]:
+    rows = vw.read(spark, sf, "events").selectExpr("concat('p', user_id % 5) as project", "event_id")
+    rows = staged(running(rows, ["project"], "event_id", ["event_id"], {"rn": F.lit(1)}))
+    parents = GRAPH.replace("[", "array(").replace("]", ")").replace("array()", "cast(array() as array<bigint>)")
+    commits = rows.selectExpr(
+        "project", "concat('k', rn) as commit_id", f"transform({parents}, x -> concat('k', x)) as parents", "event_id as time"
+    )
+    heads = rows.groupBy("project").agg(F.concat(F.lit("k"), F.max("rn")).alias("commit_id"))
+    return commits, heads
+
+
+@query(WALK_SQL + "select project, concat('k', rn) as commit_id from held")
+def reachable_commits(spark, sf):
+    """Commits that the last one of each project holds; one in ten is on no branch of it."""
+    return walk.reachable_commits(*_graph(spark, sf)).select("project", "commit_id")
+
+
+@query(WALK_SQL + "select project, concat('k', rn) as commit_id, row_number() over (partition by project order by rn) as walk_pos from held")
+def commit_walk(spark, sf):
+    return walk.commit_walk(*_graph(spark, sf)).select("project", "commit_id", "walk_pos")
+
+
 # --- files ----------------------------------------------------------------------
 
 JAVA = "case event_id % 4 when 0 then '.kt' when 1 then '.JAVA' when 2 then '.javac' else '.java' end"
