@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codehist.functions.names import error_state, is_class_rename
 from codehist.operators.labels import failing_labels
+from codehist.plans.ordered import spread, unbroadcast
 
 COMMIT = ["project", "commit_id"]
 # the columns that make two rows the same instance: label instances and stable ones
@@ -116,6 +117,8 @@ def drop_project(tables: dict[str, DataFrame], project: str) -> dict[str, DataFr
 
 #: Characters of the pieces by which lines and what they may contain are brought together.
 GRAM = 12
+#: Tasks over which the lines of one piece are dealt.
+DEALT = 16
 
 
 def _grams(text: Column, size: Column) -> Column:
@@ -126,17 +129,22 @@ def containing(lines: DataFrame, needles: DataFrame) -> DataFrame:
     """Pairs of lines (column line) and needles (column needle) that they contain, with all their columns; an empty needle is in no line.
 
     A line that contains a needle contains all its pieces. Of these the one that the fewest
-    lines have brings both together; shorter needles are pieces of their own.
+    lines have brings both together; shorter needles are pieces of their own. Pieces are many more
+    than the bytes of their tables tell, so lines are spread first (by a hash,
+    as Spark drops a shuffle by columns that rows lie by already) and no side is broadcast; the lines of a
+    piece that most of them have are dealt to several tasks, and the needles copied to each of them.
     """
     size = F.least(F.length("needle"), F.lit(GRAM))
-    asked = needles.filter("length(needle) > 0").withColumn("_size", size)
+    asked = spread(needles.filter("length(needle) > 0"), F.xxhash64("needle")).withColumn("_size", size)
     sizes = sorted(r["_size"] for r in asked.select("_size").distinct().collect())  # at most GRAM of them
-    held = lines.withColumn("_size", F.explode(F.lit(sizes).cast("array<int>"))).filter(F.length("line") >= F.col("_size"))
+    held = spread(lines, F.xxhash64("line")).withColumn("_size", F.explode(F.lit(sizes).cast("array<int>"))).filter(F.length("line") >= F.col("_size"))
     held = held.withColumn("_gram", F.explode(_grams(F.col("line"), F.col("_size")))).drop("_size")
     counts = held.groupBy("_gram").agg(F.count("*").alias("_n"))
     pieces = asked.select("needle", F.explode(_grams(F.col("needle"), F.col("_size"))).alias("_gram")).distinct()
-    rarest = pieces.join(counts, "_gram").groupBy("needle").agg(F.min_by("_gram", F.struct("_n", "_gram")).alias("_gram"))
-    return asked.drop("_size").join(rarest, "needle").join(held, "_gram").filter(F.contains("line", "needle")).drop("_gram")
+    rarest = pieces.join(unbroadcast(counts), "_gram").groupBy("needle").agg(F.min_by("_gram", F.struct("_n", "_gram")).alias("_gram"))
+    found = asked.drop("_size").join(unbroadcast(rarest), "needle").withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))))
+    dealt = held.withColumn("_deal", F.pmod(F.xxhash64("line"), F.lit(DEALT)).cast("int"))
+    return found.join(unbroadcast(dealt), ["_gram", "_deal"]).filter(F.contains("line", "needle")).drop("_gram", "_deal")
 
 
 def failed_projects(runs: DataFrame) -> DataFrame:
@@ -154,7 +162,7 @@ def failed_projects(runs: DataFrame) -> DataFrame:
     ends = runs.filter("status <> 'started'").groupBy(info.alias("needle")).agg(F.max("pos").alias("_end"))
     gone = containing(lines.groupBy("line").agg(F.min("pos").alias("_first")), ends).filter("_first <= _end")
     gone = gone.groupBy("line").agg(F.max("_end").alias("_end"))
-    return lines.join(gone, "line", "left").filter("_end is null or pos > _end").select("git_url", "line")
+    return lines.join(unbroadcast(gone), "line", "left").filter("_end is null or pos > _end").select("git_url", "line")
 
 
 def quarantine(labels: DataFrame) -> DataFrame:

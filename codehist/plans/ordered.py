@@ -40,6 +40,20 @@ def before(*partition: str, order: Sequence[str]):
     return Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
 
 
+def spread(df: DataFrame, *keys: str | Column) -> DataFrame:
+    """Rows by ``keys`` over all shuffle partitions.
+
+    Rows that repeat their texts take some fortieth of their memory in a shuffle, and Spark joins small
+    partitions by their bytes there: one task could then hold most of a table. These are not joined.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def unbroadcast(df: DataFrame) -> DataFrame:
+    """A side of an equi join that grows with the input: its bytes in files and shuffles tell too little of its memory to broadcast it by."""
+    return df.hint("merge")
+
+
 def opening_sums(
     df: DataFrame, keys: Sequence[str], blk: str, sums: dict[str, Column]
 ) -> DataFrame:

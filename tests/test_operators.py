@@ -289,6 +289,22 @@ def test_ledger_against_a_plain_file(spark):
     assert ql.failed_projects(runs.limit(0)).collect() == []
 
 
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pieces_of_ledger_lines_are_not_broadcast(spark):
+    """Small tables become many pieces: none may pass through the driver, nor lie in one task."""
+    rows = [(f"https://x.org/s{i}", f"set{i}", s, "r", "e", 2 * i + (s == "failed")) for i in range(50) for s in ("started", "failed")]
+    runs = spark.createDataFrame(rows, "git_url string, dataset string, status string, reason string, exception string, pos long")
+    assert "Broadcast" not in plan(ql.failed_projects(runs))
+    texts = spark.createDataFrame([(f"a common start {i}",) for i in range(200)], "line string")
+    found = ql.containing(texts, texts.selectExpr("line as needle").filter("line like '%1'"))
+    assert {(r.needle, r.line) for r in found.collect()} == {
+        (f"a common start {i}", f"a common start {j}") for i in range(1, 200, 10) for j in range(200) if str(j).startswith(str(i))
+    }
+
+
 def test_a_failing_label_ends_its_commit(spark):
     ok = [("A.java", "x.A"), ("B.java", "x.B")]
     rows = [label_row(0, "EXTRACT_INTERFACE", ok, ok), label_row(1, "EXTRACT_INTERFACE", [("A.java", "x.A"), ("B.java", None)], ok), label_row(2, "EXTRACT_INTERFACE", ok, ok)]
