@@ -78,9 +78,12 @@ def running(
     order: Sequence[str],
     sums: dict[str, Column],
     block: int = BLOCK,
+    slim: bool = False,
 ) -> DataFrame:
     """Add inclusive running sums (bigint) per ``keys`` in ``order``.
 
+    ``slim``: the rows are many and hold little but numbers, see ``spread``.
+
     ``pos`` is a non-negative whole-number column and the leading order column;
     a group may hold any number of rows, a single position only a bounded one.
     """
@@ -89,6 +92,7 @@ def running(
     opening = opening_sums(rows, keys, "_blk", added)
     body = rows.withColumns(added).withColumn("_open", F.lit(False))
     both = body.unionByName(opening.withColumn("_open", F.lit(True)), allowMissingColumns=True)
+    both = spread(both, *keys, "_blk") if slim else both
     w = so_far(*keys, "_blk", order=[F.col("_open").desc(), *order])
     return (
         both.withColumns({n: F.sum(n).over(w) for n in sums})

@@ -26,7 +26,7 @@ from codehist.operators.history import FILE, Carry, file_history
 from codehist.operators.lineage import rename_lineage
 from codehist.operators.process import METRICS, author_stats, latest_state
 from codehist.operators.stability import stable_files, streak_starts, with_streak_start
-from codehist.plans.ordered import BLOCK, running
+from codehist.plans.ordered import BLOCK, running, spread, unbroadcast
 from codehist.schemas import DEFAULT_THRESHOLDS
 from codehist.session import staged
 
@@ -89,7 +89,8 @@ class FileTracker:
     def _split(self, waiting: DataFrame, progress: DataFrame):
         """Rows that are ready, that wait, that come too late; and the new progress."""
         commit = ["project", "walk_pos"]
-        known = waiting.join(progress, "project", "left").na.fill(1, ["next"])
+        # one number per project; a shuffle by project would put all rows of a busy one into one task
+        known = waiting.join(F.broadcast(progress), "project", "left").na.fill(1, ["next"])
         late = known.filter("walk_pos < next").drop("next")
         open_rows = known.filter("walk_pos >= next")
         is_marker = F.col("phase") == MARKER
@@ -101,10 +102,10 @@ class FileTracker:
             )
             .filter("_rows = _seen")
         )
-        ranked = running(complete, ["project"], "walk_pos", ["walk_pos"], {"_rank": F.lit(1)}, self.block)
+        ranked = running(complete, ["project"], "walk_pos", ["walk_pos"], {"_rank": F.lit(1)}, self.block, slim=True)
         done = ranked.filter("walk_pos = next - 1 + _rank").select(*commit)
-        ready = open_rows.drop("next").join(done, commit, "left_semi")
-        pending = open_rows.drop("next").join(done, commit, "left_anti")
+        ready = open_rows.drop("next").join(unbroadcast(done), commit, "left_semi")
+        pending = open_rows.drop("next").join(unbroadcast(done), commit, "left_anti")
         reached = done.groupBy("project").agg((F.max("walk_pos") + 1).alias("next"))
         reached = reached.unionByName(progress).groupBy("project").agg(F.max("next").alias("next"))
         return ready, pending, late, reached
@@ -115,7 +116,7 @@ class FileTracker:
         local = rename_lineage(events, self.block).withColumn("_root", root)
         known = files.select("project", F.col("path").alias("_root"), F.col("lineage").alias("_known"))
         fresh = F.concat("lineage", F.lit(f"@{batch}"))
-        rows = local.join(known, ["project", "_root"], "left")
+        rows = local.join(unbroadcast(known), ["project", "_root"], "left")
         return staged(rows.withColumn("lineage", F.coalesce("_known", fresh)).drop("_root", "_known"))
 
     def _save_state(self, events, history, files, authors, earlier, batch: int) -> None:
@@ -144,14 +145,15 @@ class FileTracker:
         )
         touched = history.select(*FILE).distinct()
         entered = events.filter("old_path is not null").select("project", "path").distinct()
-        kept = files.join(touched, FILE, "left_anti").join(entered, ["project", "path"], "left_anti")
+        kept = files.join(unbroadcast(touched), FILE, "left_anti").join(unbroadcast(entered), ["project", "path"], "left_anti")
         fields = [f.strip().split(" ") for f in FILES.split(",")]
         updated = updated.select(*[F.col(n).cast(t).alias(n) for n, t in fields])
         self._save(updated.unionByName(kept), "files", batch)
         live = self._load("files", FILES, batch).select(*FILE)
         counts = events.filter("author is not null").groupBy(*FILE, "author").agg(F.count("*").alias("k"))
-        merged = counts.unionByName(authors).groupBy(*FILE, "author").agg(F.sum("k").alias("k"))
-        self._save(merged.join(live, FILE, "left_semi"), "authors", batch)
+        counts = spread(counts.unionByName(authors), *FILE)
+        merged = counts.groupBy(*FILE, "author").agg(F.sum("k").alias("k"))
+        self._save(merged.join(unbroadcast(live), FILE, "left_semi"), "authors", batch)
 
 
 def stream_file_state(

@@ -1,9 +1,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from codehist.operators.events import EVENT_COLUMNS
-from codehist.streaming.tracker import FileTracker, results, stream_file_state
+from codehist.streaming.tracker import MARKER, PROGRESS, FileTracker, results, stream_file_state
 
 from tests.replay import replay
 from tests.test_history import random_log
@@ -69,3 +70,17 @@ def test_a_batch_run_again_changes_nothing(spark, tmp_path):
     assert seen[0] == seen[1]
     late = results(spark, str(tmp_path / "t"), "late")
     assert {r.walk_pos for r in late.collect()} == set(range(11, 16))
+
+
+def test_a_busy_project_is_not_split_in_one_task(spark, tmp_path):
+    rows = [("p", None, None, i, MARKER, 0, f"c{i}", 0, 0, None, 0, 0, 0, 0) for i in range(1, 400)]
+    waiting = spark.createDataFrame(rows, EVENT_COLUMNS).repartition(8)
+    progress = spark.createDataFrame([("p", 300)], PROGRESS)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        ready, pending, late, reached = FileTracker(spark, str(tmp_path))._split(waiting, progress)
+        tasks = late.groupBy(F.spark_partition_id()).count().collect()
+        assert sum(r["count"] for r in tasks) == 299 and max(r["count"] for r in tasks) < 100
+        assert ready.count() == 100 and pending.count() == 0 and reached.collect()[0].next == 400
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
