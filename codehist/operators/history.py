@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from codehist.operators.events import CHANGE, ORDER
 from codehist.operators.exact import with_exact_cycles
-from codehist.plans.ordered import BLOCK, before, block_of, so_far
+from codehist.plans.ordered import BLOCK, before, block_of, so_far, spread
 from codehist.session import staged
 
 @dataclass
@@ -217,7 +217,7 @@ def closed_form_history(
             both = both.unionByName(rows.withColumn("_open", F.lit(True)), allowMissingColumns=True)
     order = [F.col("_open").desc(), *ORDER]
     run = so_far(*AT, order=order)
-    rows = _segments(both, order).withColumns(
+    rows = _segments(spread(both, *AT), order).withColumns(
         {"_reset_at": F.max("_reset_at").over(run), "_born": F.min("_born").over(run)}
     )
     seg_base = F.coalesce("seg_base", F.lit(0))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codehist.operators.events import CHANGE, DELETION, LABEL, ORDER
 from codehist.operators.history import FILE, Carry
-from codehist.plans.ordered import BLOCK, block_of, opening_sums, running, so_far
+from codehist.plans.ordered import BLOCK, block_of, opening_sums, running, so_far, spread
 
 # fixed values: output name, and the history column
 METRICS = {
@@ -83,6 +83,7 @@ def author_stats(
     opening = opening_sums(steps_or_none, FILE, "_blk", {"_step": F.col("_step")})
     both = rows.unionByName(delta.withColumn("_row", F.lit(1)), allowMissingColumns=True)
     both = both.unionByName(opening.withColumn("_row", F.lit(0)), allowMissingColumns=True)
+    both = spread(both, *FILE, "_blk")
     w = so_far(*FILE, "_blk", order=[F.coalesce("n", F.lit(-1)), "_row", *ORDER])
     major = F.coalesce(F.sum("_step").over(w), F.lit(0))
     out = both.withColumn("major", major).filter("_row = 2")

@@ -9,7 +9,7 @@ from codehist.operators import instances as ins
 from codehist.operators import labels as lb
 from codehist.operators import quality as ql
 from codehist.operators.events import EVENT_COLUMNS, event_log
-from codehist.operators.history import file_history
+from codehist.operators.history import closed_form_history, file_history
 from codehist.operators.lineage import rename_lineage
 from codehist.operators.process import author_stats, latest_state
 from codehist.plans.mining import mine
@@ -305,6 +305,15 @@ def test_pieces_of_ledger_lines_are_not_broadcast(spark):
     }
 
 
+def test_wide_windows_of_files_stay_spread(spark):
+    """Rows of the log repeat their texts: joined by their bytes in the shuffle, most files would be in one task."""
+    rows = [("p", f"F{i}.java", None, i + 1, 4, 0, f"c{i}", 0, 0, "a", 1, 0, 0, 0) for i in range(200)]
+    log = spark.createDataFrame(rows, EVENT_COLUMNS).withColumn("lineage", F.col("path"))
+    history = closed_form_history(log, (2, 5), authors=True)
+    assert history.rdd.getNumPartitions() == 8
+    assert author_stats(staged(history)).rdd.getNumPartitions() == 8
+
+
 def test_a_failing_label_ends_its_commit(spark):
     ok = [("A.java", "x.A"), ("B.java", "x.B")]
     rows = [label_row(0, "EXTRACT_INTERFACE", ok, ok), label_row(1, "EXTRACT_INTERFACE", [("A.java", "x.A"), ("B.java", None)], ok), label_row(2, "EXTRACT_INTERFACE", ok, ok)]
