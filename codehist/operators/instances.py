@@ -47,6 +47,11 @@ def method_metric(m: Column) -> Column:
     )
 
 
+def metrics_asked_for(ck: DataFrame, files: DataFrame) -> DataFrame:
+    """Metric rows of the given files (project, commit_id, file), found by their keys, before the wide columns are looked at."""
+    return ck.join(files.distinct(), ["project", "commit_id", "file"], "left_semi")
+
+
 def label_class_join(targets: DataFrame, ck: DataFrame) -> DataFrame:
     """Class metrics at the parent commit, by class name or by its alias.
 
@@ -54,7 +59,8 @@ def label_class_join(targets: DataFrame, ck: DataFrame) -> DataFrame:
     """
     names = F.array_compact(F.array_distinct(F.array("class", "alias")))
     asked = targets.select("*", F.explode(names).alias("_name"))
-    metrics = class_metrics(ck).select(
+    files = targets.select("project", F.col("parent_id").alias("commit_id"), F.col("path").alias("file"))
+    metrics = class_metrics(metrics_asked_for(ck, files)).select(
         F.col("project"),
         F.col("commit_id").alias("parent_id"),
         F.col("file").alias("path"),
@@ -159,7 +165,8 @@ def stable_rows(stable: DataFrame, ck: DataFrame) -> DataFrame:
     Per class: one row per (method, variable), per method, per field, and one
     for the class. Files missing at the base commit have no rows.
     """
-    metrics = class_metrics(ck).drop("rawClass").withColumnsRenamed({"commit_id": "base_commit", "file": "path"})
+    files = stable.select("project", F.col("base_commit").alias("commit_id"), F.col("path").alias("file"))
+    metrics = class_metrics(metrics_asked_for(ck, files)).drop("rawClass").withColumnsRenamed({"commit_id": "base_commit", "file": "path"})
     found = stable.join(metrics, ["project", "base_commit", "path"])
     null_of = lambda t: F.lit(None).cast(t)
     var_t = "struct<variableName:string,variableAppearances:int>"
@@ -176,17 +183,19 @@ def stable_rows(stable: DataFrame, ck: DataFrame) -> DataFrame:
             field.cast(field_t).alias("fieldMetrics"),
         )
 
+    # the metrics of a method are worked out once, for itself and for its variables
+    found = found.withColumn("_methods", F.transform("methods", lambda m: F.struct(method_metric(m).cast(method_t).alias("m"), m["variables"].alias("vars"))))
     methods = F.col("methods")
     of_methods = F.transform(
-        methods, lambda m: unit(METHOD, method_metric(m), null_of(var_t), null_of(field_t))
+        "_methods", lambda m: unit(METHOD, m["m"], null_of(var_t), null_of(field_t))
     )
     of_variables = F.flatten(
         F.transform(
-            methods,
+            "_methods",
             lambda m: F.transform(
-                F.map_entries(m["variables"]),
+                F.map_entries(m["vars"]),
                 lambda v: unit(
-                    VARIABLE, method_metric(m), F.struct(v["key"], v["value"]), null_of(field_t)
+                    VARIABLE, m["m"], F.struct(v["key"], v["value"]), null_of(field_t)
                 ),
             ),
         )

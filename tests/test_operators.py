@@ -314,6 +314,13 @@ def test_wide_windows_of_files_stay_spread(spark):
     assert author_stats(staged(history)).rdd.getNumPartitions() == 8
 
 
+def test_metric_rows_are_found_by_key_first(spark):
+    """Rows of files asked for come as often as they stand in the metrics, however often they are asked for."""
+    ck = spark.createDataFrame([("p", "c1", "A", 1), ("p", "c1", "A", 1), ("p", "c1", "B", 2), ("p", None, "A", 3)], "project string, commit_id string, file string, v int")
+    files = spark.createDataFrame([("p", "c1", "A"), ("p", "c1", "A"), ("p", None, "A")], "project string, commit_id string, file string")
+    assert [r.v for r in ins.metrics_asked_for(ck, files).collect()] == [1, 1]
+
+
 def test_a_failing_label_ends_its_commit(spark):
     ok = [("A.java", "x.A"), ("B.java", "x.B")]
     rows = [label_row(0, "EXTRACT_INTERFACE", ok, ok), label_row(1, "EXTRACT_INTERFACE", [("A.java", "x.A"), ("B.java", None)], ok), label_row(2, "EXTRACT_INTERFACE", ok, ok)]

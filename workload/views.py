@@ -169,20 +169,21 @@ def ck_classes(spark: SparkSession, sf: str) -> DataFrame:
 
     The parent of ``c<id>`` is ``b<id>``, where a renamed file has its old path.
     """
-    rows = fx(spark, sf).selectExpr(
-        "*",
-        "explode(array(struct(commit_id as at, concat(stem, ver, '.java') as file), "
-        "struct(concat('b', event_id) as at, concat(stem, ver - cast(is_rename as int), '.java') as file))) as s",
-        "event_id % 4 as n_methods",
-    )
-    rows = rows.selectExpr("*", "explode(array('', '$Inner')) as inner_name")
-    seed = "event_id + length(inner_name)"
     method = (
         "struct(concat('m', i, '/2[a.b.T', user_id % 9, ',java.util.Map<x.Y,z.List<W', i, '>>]') as name, "
         f"10 * i as start_line, {_metric_sql(METHOD_METRICS, 'event_id + i')}, "
         "map('e0', i, 'e1', i + 1, 'v', i + 2) as variables, "
         "map('e0', i, 'e3', i + 3, 'g', 1) as fields)"
     )
+    # the four rows of an event have the same methods
+    rows = fx(spark, sf).selectExpr("*", f"transform(filter(array(0, 1, 2), x -> x < event_id % 4), i -> {method}) as methods")
+    rows = rows.selectExpr(
+        "*",
+        "explode(array(struct(commit_id as at, concat(stem, ver, '.java') as file), "
+        "struct(concat('b', event_id) as at, concat(stem, ver - cast(is_rename as int), '.java') as file))) as s",
+    )
+    rows = rows.selectExpr("*", "explode(array('', '$Inner')) as inner_name")
+    seed = "event_id + length(inner_name)"
     return rows.selectExpr(
         "project",
         "s.at as commit_id",
@@ -190,7 +191,7 @@ def ck_classes(spark: SparkSession, sf: str) -> DataFrame:
         "concat('pkg.F', user_id, inner_name) as class",
         "case when inner_name = '' then 'class' else 'innerclass' end as type",
         *split(_metric_sql(CLASS_METRICS, seed)),
-        f"transform(filter(array(0, 1, 2), x -> x < n_methods), i -> {method}) as methods",
+        "methods",
     )
 
 
