@@ -1312,11 +1312,13 @@ def project_places(ordered: DataFrame) -> DataFrame:
 def log_lines(spark, sf):
     """Orders written as text files in the order of their keys: a line's number is the place of its key in the file."""
     path = f"{shared_dir(spark).rstrip('/')}/log-{uuid.uuid4().hex}"
-    orders = vw.read(spark, sf, "orders").repartitionByRange(3, "o_orderkey").sortWithinPartitions("o_orderkey")
+    # as many files as shuffle partitions: neither the sort of a file nor the places in it hold a fixed share of the table in one task
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    orders = vw.read(spark, sf, "orders").repartitionByRange(parts, "o_orderkey").sortWithinPartitions("o_orderkey")
     orders.selectExpr("concat(o_orderkey, ',', o_totalprice, ',', o_orderstatus) as value").write.text(path)
     lines = scan_log(spark, path).selectExpr("file", "line_no", "cast(split(line, ',')[0] as bigint) as key")
-    place = F.row_number().over(Window.partitionBy("file").orderBy("key", "line_no"))
-    return lines.select("key", (F.col("line_no") - place).cast("bigint").alias("off"))
+    placed = running(lines, ["file"], "key", ["key", "line_no"], {"place": F.lit(1)}, slim=True)
+    return placed.select("key", (F.col("line_no") - F.col("place")).cast("bigint").alias("off"))
 
 
 @query(
