@@ -116,8 +116,7 @@ def _openings(ev: DataFrame, top: int, carry: DataFrame | None) -> DataFrame:
         F.col("_c_resets_total").alias("resets"),
         "_base",
         "_closed",
-        F.col("_c_reset_at").alias("_reset_at"),
-        F.col("_c_born").alias("_born"),
+        *[F.when(F.col(f"_c{c}").isNotNull(), F.struct(F.col(f"_c{c}.commit_id").alias("commit_id"))).alias(c) for c in ("_reset_at", "_born")],
     )
 
 
@@ -198,7 +197,7 @@ def closed_form_history(
         {"_blk": block_of("walk_pos", block), "_chg": (F.col("phase") == CHANGE).cast("int")}
     )
     openings = _openings(ev, top, carry.files if carry is not None else None)
-    event = F.struct(*ORDER, "commit_id")
+    event = F.struct("commit_id")
     body = ev.withColumns(
         {
             "_reset_at": F.when(F.col("resets") > 0, event),
@@ -215,17 +214,11 @@ def closed_form_history(
         ).withColumn("_k", F.when(F.col("_open"), 0).otherwise(F.col("_k")))
         for rows in (own, per):
             both = both.unionByName(rows.withColumn("_open", F.lit(True)), allowMissingColumns=True)
-    order = [F.col("_open").desc(), *ORDER]
+    order = [F.col("_open").desc(), *ORDER, "commit_id"]
     run = so_far(*AT, order=order)
-    rows = _segments(spread(both, *AT), order).withColumns(
-        {"_reset_at": F.max("_reset_at").over(run), "_born": F.min("_born").over(run)}
-    )
-    seg_base = F.coalesce("seg_base", F.lit(0))
-    ended = F.when(F.col("_open"), F.col("_closed")).when(
-        F.col("resets") > 0, _div(F.col("n") - F.coalesce("_prev", F.lit(0)), top)
-    )
-    rows = rows.withColumns({"seg_base": seg_base, "_closed": F.sum(ended).over(run)})
+    rows = spread(both, *AT)
     if authors:
+        # before all other totals, so that these need one sort by time
         rows = rows.withColumn("k", F.sum("_k").over(so_far(*AT, "author", order=order)))
         is_new = ((F.col("_chg") == 1) & (F.col("k") == 1)).cast("bigint")
         rows = rows.withColumns(
@@ -236,6 +229,15 @@ def closed_form_history(
                 ).over(run),
             }
         )
+    # rows come in the order of events: the last reset so far, the first event
+    rows = _segments(rows, order).withColumns(
+        {"_reset_at": F.last("_reset_at", True).over(run), "_born": F.first("_born", True).over(run)}
+    )
+    seg_base = F.coalesce("seg_base", F.lit(0))
+    ended = F.when(F.col("_open"), F.col("_closed")).when(
+        F.col("resets") > 0, _div(F.col("n") - F.coalesce("_prev", F.lit(0)), top)
+    )
+    rows = rows.withColumns({"seg_base": seg_base, "_closed": F.sum(ended).over(run)})
     rows = rows.filter(~F.col("_open"))
     in_segment = F.col("n") - F.col("seg_base")
     is_change = F.col("_chg") == 1

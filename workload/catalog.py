@@ -20,7 +20,7 @@ from codehist.operators import quality as ql
 from codehist.operators import reports as rp
 from codehist.operators import stability as stb
 from codehist.operators import walk
-from codehist.operators.events import CHANGE, change_events, event_log
+from codehist.operators.events import CHANGE, ORDER, change_events, event_log
 from codehist.operators.exact import with_exact_cycles
 from codehist.operators.history import closed_form_history, file_history
 from codehist.operators.lineage import rename_lineage
@@ -722,7 +722,9 @@ def wide_stable_files(spark, sf):
     "select project, path, commit_id, authors, minor, major, ownership from seg join aut using (l_partkey, n)"
 )
 def wide_author_stats(spark, sf):
-    rows = pr.author_stats(staged(_wide_history(spark, sf, (20, 50), authors=True))).filter(F.col("phase") == CHANGE)
+    # of the history only what the author metrics are made of is written
+    history = _wide_history(spark, sf, (20, 50), authors=True).select("project", "lineage", "path", *ORDER, "commit_id", "n", "k", "authors", "top_author")
+    rows = pr.author_stats(staged(history)).filter(F.col("phase") == CHANGE)
     return rows.select("project", "path", "commit_id", *_big("authors", "minor", "major"), F.round("ownership", 6).alias("ownership"))
 
 

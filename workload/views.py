@@ -60,8 +60,11 @@ def fx(spark: SparkSession, sf: str) -> DataFrame:
     """Events with ``ver``, the number of renames of their file so far."""
     if sf in _prepared.get({}):
         return _prepared.get({})[sf]
-    rows = read(spark, sf, "events").selectExpr(*split(EVENT_SQL))
-    return running(rows, ["user_id"], "walk_pos", ["walk_pos"], {"ver": F.col("is_rename").cast("int")})
+    # numbered as they are read: the texts that are made of them come after the shuffle
+    rows = read(spark, sf, "events").withColumn("_pos", F.col("event_id") + 1)
+    is_rename = "cast(event_type = 'view' and event_id % 7 = 0 as int)"
+    rows = running(rows, ["user_id"], "_pos", ["_pos"], {"ver": F.expr(is_rename)})
+    return rows.selectExpr(*split(EVENT_SQL), "ver")
 
 
 def split(sql: str) -> list[str]:
