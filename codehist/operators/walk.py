@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from codehist.session import staged
 
 COMMIT = ["project", "commit_id"]
-LINK = ["project", "x", "y"]
+LINK = ["x", "y"]
 
 
 def branch_links(commits: DataFrame, heads: DataFrame) -> DataFrame:
@@ -30,24 +30,28 @@ def branch_links(commits: DataFrame, heads: DataFrame) -> DataFrame:
     ``commits`` has project, commit_id, parents and time. The head itself has no row; parents that are no
     commits of the table are left out, and so is a commit that is its own parent.
     """
-    nodes = commits.select("project", "commit_id", "time")
-    head = heads.select("project", F.col("commit_id").alias("head"))
-    edges = commits.select("project", F.explode("parents").alias("x"), F.col("commit_id").alias("y")).filter("x <> y").distinct()
-    links = edges.join(nodes.withColumnsRenamed({"commit_id": "x", "time": "cap"}), ["project", "x"]).join(head, "project")
+    # commits go by numbers: rounds shuffle, sort and sum no texts. Written, so that all rounds see the same numbers
+    nodes = commits.groupBy(*COMMIT).agg(F.min("time").alias("cap")).withColumn("x", F.monotonically_increasing_id())
+    nodes = staged(nodes)
+    numbers = nodes.select(*COMMIT, F.col("x").alias("y"))
+    head = heads.select(*COMMIT).join(numbers, COMMIT).select("project", F.col("y").alias("head"))
+    edges = commits.select("project", F.explode("parents").alias("parent"), "commit_id").filter("parent <> commit_id").distinct()
+    edges = edges.join(numbers, COMMIT).select("project", F.col("parent").alias("commit_id"), "y")
+    links = edges.join(nodes, COMMIT).join(head, "project")
     # ways end at the head: what lies above it is not looked at
     links = links.filter("x <> head").select(*LINK, "cap", F.lit(1).cast("bigint").alias("hops"), (F.col("y") == F.col("head")).alias("done"))
     links = staged(links)
     while not links.filter("not done").isEmpty():
-        one = links.groupBy("project", "x").agg(*(F.min(c).alias(c) for c in ("y", "cap", "hops", "done")), F.count("*").alias("n"))
-        ends = one.select("project", F.col("x").alias("y"), F.when(F.col("n") == 1, F.struct("y", "cap", "hops", "done")).alias("on"))
+        one = links.groupBy("x").agg(*(F.min(c).alias(c) for c in ("y", "cap", "hops", "done")), F.count("*").alias("n"))
+        ends = one.select(F.col("x").alias("y"), F.when(F.col("n") == 1, F.struct("y", "cap", "hops", "done")).alias("on"))
         # commits without links, the head apart, are not in ``ends``: links to them go
-        drawn = links.filter("not done").join(ends, ["project", "y"]).select(
-            "project", "x", F.coalesce("on.y", "y").alias("y"), F.least("cap", "on.cap").alias("cap"),
+        drawn = links.filter("not done").join(ends, "y").select(
+            "x", F.coalesce("on.y", "y").alias("y"), F.least("cap", "on.cap").alias("cap"),
             (F.col("hops") + F.coalesce("on.hops", F.lit(0))).alias("hops"), F.coalesce("on.done", F.lit(False)).alias("done"),
         )
         both = links.filter("done").unionByName(drawn)
         links = staged(both.groupBy(*LINK).agg(F.min("cap").alias("cap"), F.max("hops").alias("hops"), F.max("done").alias("done")))
-    return links.select("project", "x", "cap", "hops")
+    return links.join(nodes.select(*COMMIT, "x"), "x").select("project", F.col("commit_id").alias("x"), "cap", "hops")
 
 
 def reachable_commits(commits: DataFrame, heads: DataFrame) -> DataFrame:

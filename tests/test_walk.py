@@ -3,7 +3,7 @@ import random
 import pytest
 
 from codehist.operators import walk
-from codehist.session import staged
+from codehist.session import staged, tables_made
 
 COMMITS = "project string, commit_id string, parents array<string>, time long"
 
@@ -71,3 +71,16 @@ def test_rounds_grow_with_the_logarithm(spark, monkeypatch):
 def test_no_commits(spark):
     none = spark.createDataFrame([], COMMITS)
     assert walk.commit_walk(none, none.select("project", "commit_id")).collect() == []
+
+
+def test_rounds_hold_no_texts(spark):
+    """Links are numbers while they are shortened; names come back at the end."""
+    n = 40
+    rows = [("p", f"c{i}", [f"c{i - 1}"] if i else [], i) for i in range(n)]
+    commits = spark.createDataFrame(rows, "project string, commit_id string, parents array<string>, time long")
+    heads = spark.createDataFrame([("p", f"c{n - 1}")], "project string, commit_id string")
+    with tables_made() as paths:
+        found = walk.branch_links(commits, heads).collect()
+    assert {(r.x, r.cap, r.hops) for r in found} == {(f"c{i}", i, n - 1 - i) for i in range(n - 1)}
+    rounds = [s for s in (spark.read.parquet(p).schema for p in paths) if "hops" in s.names]
+    assert len(rounds) > 3 and not any(f.dataType.simpleString() == "string" for s in rounds for f in s.fields)
