@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Sequence
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -66,15 +68,22 @@ class WordIds:
             self.clear()
         coded, counts = units(data, at)
         distinct = coded.dictionary.to_pylist()
-        new = [w for w in distinct if w not in self.number]
-        if new:
-            self._learn(new)
-        known = np.fromiter(map(self.number.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
-        first = self.first[known]
-        size = self.first[known + 1] - first
-        stops = np.concatenate([[0], np.cumsum(size)])
-        ids = self.ids[np.arange(stops[-1]) + np.repeat(first - stops[:-1], size)]
-        return ids, np.diff(stops[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)])
+        known = np.fromiter(map(self.number.get, distinct, repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(known < 0)
+        if len(new):
+            known[new] = np.arange(len(self.number), len(self.number) + len(new))
+            self._learn([distinct[k] for k in new.tolist()])
+        # places and sizes by distinct unit first: these tables are small, and so stay near while the units are gone through
+        which = coded.indices.to_numpy()
+        first, size = self.first[known].astype(np.int32), (self.first[known + 1] - self.first[known]).astype(np.int32)
+        each = size[which]
+        stops = np.zeros(len(each) + 1, np.int64)
+        np.cumsum(each, out=stops[1:])
+        if stops[-1] >= 1 << 31:
+            raise ValueError("a piece of text has too many ids")
+        steps = np.repeat(first[which] - stops[:-1].astype(np.int32), each)
+        steps += np.arange(stops[-1], dtype=np.int32)
+        return self.ids[steps], np.diff(stops[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)])
 
     def _learn(self, new: list[bytes]) -> None:
         got = self.encode(new)
@@ -82,7 +91,7 @@ class WordIds:
         self.bytes += sum(map(len, new))
         size = np.fromiter(map(len, got), np.int64, len(got))
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(size)])
-        self.ids = np.concatenate([self.ids, np.fromiter((i for g in got for i in g), np.uint32, int(size.sum()))])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(got), np.uint32, int(size.sum()))])
 
 
 #: Letters of Latin-1 and then only points: the library takes such a word apart between the two, and lowers letters one by one.
@@ -145,11 +154,15 @@ class WordEncoder:
     def library(self, words: list[bytes]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
 
-    def __call__(self, words: list[bytes]) -> list[tuple[int, ...]]:
+    def __call__(self, words: list[bytes]) -> list[Sequence[int]]:
         if len(self.points) > 10_000:
             self.points = {b"": ()}
         out, other, model = [], [], self.tokenizer.model
+        tokenize = model.tokenize
         for k, word in enumerate(words):
+            if word.isalpha():  # of bytes: ASCII letters only, which the byte level leaves as they are
+                out.append([t.id for t in tokenize(word.decode().lower())])
+                continue
             parts = PLAIN.fullmatch(word)
             if parts is None:
                 other.append(k)

@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 
 from codehist.llm import token_files as T
 from codehist.llm.vectors import flat
-from codehist.llm.word_bpe import word_ids
+from codehist.llm.word_bpe import WordEncoder, WordIds, word_ids
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 ODD = [
@@ -104,3 +104,32 @@ def test_other_kinds_of_files_are_left_to_the_library():
     ids, counts = word_ids(other).of(*flat(pa.array(texts)))
     want = [Tokenizer.from_file(other).encode(t or "", add_special_tokens=False).ids for t in texts]
     assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+def test_words_of_a_piece_are_looked_up_once():
+    """New words have one look at the table and ASCII letters none at the pattern; a second piece has the same ids."""
+
+    class Table(dict):
+        looks = 0
+
+        def get(self, *a):
+            self.looks += 1
+            return super().get(*a)
+
+        def __contains__(self, word):
+            self.looks += 1
+            return super().__contains__(word)
+
+        def __getitem__(self, word):
+            self.looks += 1
+            return super().__getitem__(word)
+
+    library = Tokenizer.from_file(PATH)
+    words = WordIds(WordEncoder(library))
+    texts = pa.array(["Some words, some more words.", None, "zzqqxv Some 12 \u00c9lan #a"])
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts.to_pylist()]
+    for _ in range(2):
+        words.number = Table(words.number)
+        ids, counts = words.of(*flat(texts))
+        assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+        assert words.number.looks == len(words.number)
