@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -102,11 +103,11 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def filter_of(hashes: DataFrame) -> np.ndarray:
-    """Bits of the hashes (column h), as bytes; its size is fixed, so it may go to the driver and to all tasks."""
+    """Bits of the hashes (column h), as bytes; its size is fixed (8 MB), so it may go to the driver, by one job, and to all tasks."""
     bit = F.pmod("h", F.lit(FILTER_BITS))
     rows = hashes.select(bit.alias("bit")).groupBy((F.col("bit") / 32768).cast("int").alias("part")).agg(F.bitmap_construct_agg((F.col("bit") % 32768).cast("int")).alias("bits"))
     found = np.zeros((FILTER_BITS // 32768, 4096), np.uint8)
-    for r in rows.toLocalIterator():
+    for r in rows.collect():
         found[r.part] = np.frombuffer(bytes(r.bits), np.uint8)
     return found.reshape(-1)
 
@@ -375,20 +376,30 @@ def grouped(rows: DataFrame) -> DataFrame:
     return rows.join(rows.groupBy("g").agg(F.count("*").alias("k")).where("k > 1"), "g")
 
 
-def split_groups(rows: DataFrame) -> list[DataFrame]:
-    """The same for groups (h) with more classes (KEPT): runs of repeated windows, from rounds that halve the range of distances until a task can sort what a group has left."""
-    found, level = [], rows.select("h", F.lit(0).alias("lo"), F.lit(PLACES - 1).alias("hi"), *KEPT)
+def united(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
+
+
+def split_groups(rows: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+    """For groups (h) with more classes (KEPT), by rounds that halve the range of distances: runs of repeated windows found (doc_id, t, s, e), and stretches of
+    groups that a task can sort (h, KEPT).
+
+    Copies of all rounds come from one join, so that the rounds do not multiply the stages that run at once.
+    """
+    parts_of, shared_of, rest, level = [], [], [], rows.select("h", F.lit(0).alias("lo"), F.lit(PLACES - 1).alias("hi"), *KEPT)
     while not level.isEmpty():
+        number = F.lit(len(rest)).alias("round")
         parts = staged(halves(level))
         classes = staged(parts.groupBy("x").agg(F.count("*").alias("m"), F.first(F.struct("h", "lo", "hi", *KEPT)).alias("one")))
-        copies = parts.where("n = 1").join(classes.where("m > 1").select("x"), "x", "left_semi")
-        found.append(copies.select("doc_id", "t", "s", (F.col("s") + F.length("raw") - WINDOW).alias("e")))
+        parts_of.append(parts.where("n = 1").select(number, "x", "doc_id", "t", "s", (F.col("s") + F.length("raw") - WINDOW).alias("e")))
+        shared_of.append(classes.where("m > 1").select(number, "x"))
         # of stretches with equal bytes one goes on, whose own windows are found by now
         ones = classes.select(F.when(F.col("m") > 1, F.lit(2).cast("long")).otherwise(F.col("one.n")).alias("n"), *(f"one.{c}" for c in ("h", "lo", "hi", *KEPT[1:])))
         level = staged(grouped(ones))
-        found.append(sort_stretches(level.where(F.col("k") <= HOT).drop("h").withColumnRenamed("g", "h")))
+        rest.append(level.where(F.col("k") <= HOT).select(F.col("g").alias("h"), *KEPT))
         level = level.where(F.col("k") > HOT).drop("g", "k")
-    return found
+    found = [united(parts_of).join(united(shared_of), ["round", "x"], "left_semi").drop("round", "x")] if rest else []
+    return found, rest
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
@@ -406,9 +417,9 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     spans = copied
     if not open_.isEmpty():
         rows = staged(bytes_of(docs, open_))
-        spans = spans.unionByName(sort_stretches(rows.where(F.col("k") <= HOT)))
-        for more in split_groups(rows.where(F.col("k") > HOT)):
-            spans = spans.unionByName(more)
+        more, rest = split_groups(rows.where(F.col("k") > HOT))
+        # one sort for all: windows of a stretch lie in one group only, so groups that a hash brings together find nothing that is not equal
+        spans = united([spans, *more, sort_stretches(united([rows.where(F.col("k") <= HOT).select("h", *KEPT), *rest]))])
     return staged(spans.groupBy("doc_id", "t").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("spans")))
 
 

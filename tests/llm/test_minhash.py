@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from codehist.llm import minhash as M
 from codehist.llm.graph import components
 from codehist.llm.queries import DUCK, SPARK
+from codehist.session import tables_made
 from tests.compare import difference, duck
 
 WORD = re.compile("[^ \t\n\v\f\r]+")
@@ -123,6 +124,14 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+@pytest.mark.parametrize("edges, rounds", [([(1, k) for k in range(2, 30)] + [(40, 41)], 0), ([(1, 2), (2, 3)], 1)])
+def test_rounds_end_as_soon_as_all_components_are_stars(spark, edges, rounds):
+    with tables_made() as made:
+        got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {n: 40 if n >= 40 else 1 for e in edges for n in e}
+    assert len(made) == 2 + rounds  # the edges, each round, the result
+
+
 def test_query_equals_sql(spark):
     assert difference(spark, duck("/root/testdata/sf0.001"), "/root/testdata/sf0.001", SPARK["op2_minhash"], DUCK["op2_minhash"]) == ""
 

@@ -78,6 +78,32 @@ def test_equals_brute_force(spark, tmp_path, monkeypatch, hot):
     check(spark, tmp_path, texts, ids)
 
 
+def test_all_rounds_are_sorted_at_once(spark, tmp_path, monkeypatch):
+    calls, real = [], S.sort_stretches
+    monkeypatch.setattr(S, "HOT", 2)
+    monkeypatch.setattr(S, "sort_stretches", lambda rows: calls.append(1) or real(rows))
+    rng = random.Random(8)
+    line = noise(rng, 260)
+    check(spark, tmp_path, [noise(rng, 90) + line + noise(rng, 90) for _ in range(30)] + [line, line])
+    assert len(calls) == 1
+
+
+def test_filters_come_by_few_jobs(spark):
+    """Not by one for each partition."""
+    sc = spark.sparkContext
+    h = [5, -7, 2**62, S.FILTER_BITS + 5, 123_456_789]
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    sc.setJobGroup("filters", "filters")
+    try:
+        bits = S.filter_of(spark.createDataFrame([(x,) for x in h], "h long"))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert S.in_filter(bits, np.array(h).view(np.uint64)).all() and np.unpackbits(bits).sum() == 4
+    assert len(sc.statusTracker().getJobIdsForGroup("filters")) <= 3
+
+
 def test_empty_table(spark, tmp_path):
     assert rows_like_op1(spark, tmp_path, []) == []
 
