@@ -32,41 +32,22 @@ SPLITTER = {
 MOST_WORDS, MOST_BYTES = 300_000, 16 << 20
 
 
-class WordIds:
-    """Ids of words, kept one after the other; a word is known by its number."""
+class Ids:
+    """Ids of the units that texts fall into, kept one after the other; a unit is known by its number. ``cut`` and ``encoded`` tell what units are and which ids new ones have."""
 
-    def __init__(self, encode, split=bytes.split, most: int = MOST_WORDS):
-        self.encode, self.split, self.most = encode, split, most
+    def __init__(self, encode, most: int = MOST_WORDS):
+        self.encode, self.most = encode, most
         self.clear()
 
     def clear(self) -> None:
         self.number: dict[bytes, int] = {}
         self.first, self.ids, self.bytes = np.zeros(1, np.int64), np.zeros(0, np.uint32), 0
 
-    def texts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in a row, and how many each text has."""
-        if len(self.number) > self.most or self.bytes > MOST_BYTES:
-            self.clear()
-        found, counts = [], []
-        for text in texts:
-            parts = self.split(text)
-            counts.append(len(parts))
-            found += parts
-        new = list(set(found).difference(self.number))
-        if new:
-            self._learn(new)
-        known = np.fromiter(map(self.number.__getitem__, found), np.int64, len(found))
-        first = self.first[known]
-        size = self.first[known + 1] - first
-        ends = np.concatenate([[0], np.cumsum(size)])
-        ids = self.ids[np.arange(ends[-1]) + np.repeat(first - ends[:-1], size)]
-        return ids, np.diff(ends[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)])
-
     def of(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The same for texts in one buffer, that begin at ``at``: only distinct units become Python objects."""
+        """All ids in a row, and how many each text has, of texts in one buffer that begin at ``at``: only distinct units become Python objects."""
         if len(self.number) > self.most or self.bytes > MOST_BYTES:
             self.clear()
-        coded, counts = units(data, at)
+        coded, counts = self.cut(data, at)
         distinct = coded.dictionary.to_pylist()
         known = np.fromiter(map(self.number.get, distinct, repeat(-1)), np.int64, len(distinct))
         new = np.flatnonzero(known < 0)
@@ -86,12 +67,42 @@ class WordIds:
         return self.ids[steps], np.diff(stops[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)])
 
     def _learn(self, new: list[bytes]) -> None:
-        got = self.encode(new)
+        ids, size = self.encoded(new)
         self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
         self.bytes += sum(map(len, new))
-        size = np.fromiter(map(len, got), np.int64, len(got))
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(size)])
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(got), np.uint32, int(size.sum()))])
+        self.ids = np.concatenate([self.ids, ids])
+
+
+class WordIds(Ids):
+    """Ids of words."""
+
+    def texts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, and how many each text has."""
+        if len(self.number) > self.most or self.bytes > MOST_BYTES:
+            self.clear()
+        found, counts = [], []
+        for text in texts:
+            parts = text.split()
+            counts.append(len(parts))
+            found += parts
+        new = list(set(found).difference(self.number))
+        if new:
+            self._learn(new)
+        known = np.fromiter(map(self.number.__getitem__, found), np.int64, len(found))
+        first = self.first[known]
+        size = self.first[known + 1] - first
+        ends = np.concatenate([[0], np.cumsum(size)])
+        ids = self.ids[np.arange(ends[-1]) + np.repeat(first - ends[:-1], size)]
+        return ids, np.diff(ends[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)])
+
+    def cut(self, data: np.ndarray, at: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray]:
+        return units(data, at)
+
+    def encoded(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        got = self.encode(new)
+        size = np.fromiter(map(len, got), np.int64, len(got))
+        return np.fromiter(chain.from_iterable(got), np.uint32, int(size.sum())), size
 
 
 #: Letters of Latin-1 and then only points: the library takes such a word apart between the two, and lowers letters one by one.

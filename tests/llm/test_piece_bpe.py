@@ -1,4 +1,5 @@
 import hashlib
+import re
 
 import numpy as np
 import public_tokenizers
@@ -85,3 +86,78 @@ def test_query_over_the_whole_table(spark):
     for r in got:
         assert r.round_trip and r.decoded_sha256 == hashlib.sha256(docs[r.doc_id].encode()).hexdigest()
         assert r.n_tokens == len(LIBRARY.encode(docs[r.doc_id]))
+
+
+class Counted(dict):
+    looks = 0
+
+    def get(self, *a):
+        self.looks += 1
+        return super().get(*a)
+
+    def __contains__(self, unit):
+        self.looks += 1
+        return super().__contains__(unit)
+
+    def __getitem__(self, unit):
+        self.looks += 1
+        return super().__getitem__(unit)
+
+
+def test_a_unit_is_looked_up_once_however_often_it_stands_there():
+    encoder = P.Encoder(PATH)
+    texts = ["the same words and the same words, " * 50, None, "the same\n" * 50]
+    want = [LIBRARY.encode(t or "") for t in texts]
+    for _ in range(2):
+        encoder.table.number = Counted(encoder.table.number)
+        ids, counts = encoder.texts(pa.array(texts))
+        assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+        assert encoder.table.number.looks == len(encoder.table.number) == 8
+
+
+def test_only_ties_are_sorted_again(monkeypatch):
+    rng = np.random.default_rng(8)
+    text = rng.integers(97, 123, 20_000)
+    sort, sizes = np.argsort, []
+    monkeypatch.setattr(np, "argsort", lambda a, *b, **c: (sizes.append(len(a)), sort(a, *b, **c))[1])
+    order = P.suffix_array(text, 16)
+    assert order.tolist() == sorted(range(len(text)), key=lambda i: text[i : i + 64].tolist())
+    assert sum(sizes) < 2 * len(text)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 3), min_size=1, max_size=80), st.sampled_from([1, 400, 0x43FFF]))
+def test_occurrences_in_any_text(numbers, step):
+    """Few and many letters: up to 63 of them go into one number, or a handful, and a piece takes several."""
+    text = np.array(numbers, np.int64) * step
+    full = np.append(text, np.arange(1000 if step == 400 else 0) + 5000)
+    order = P.suffix_array(full, 16)
+    words = [text[i : i + n].tolist() for i in range(0, len(text), 7) for n in (1, 2, 5, 9, 16)] + [[7, 7], [step * 3] * 16]
+    chars = np.full((len(words), 16), -1, np.int64)
+    for k, w in enumerate(words):
+        chars[k, : len(w)] = w
+    lo, hi = P.occurrences(full, order, chars, np.array(list(map(len, words))))
+    for k, w in enumerate(words):
+        assert sorted(order[lo[k] : hi[k]]) == [i for i in range(len(full)) if full[i : i + len(w)].tolist() == w]
+
+
+BYTES = st.lists(st.sampled_from([b" ", b"  ", b"\n", b"a", b"the", b"\t", b"\xe2\x96\x81", "\u00e9".encode(), b"\xe2", b"\x96", b"\xff", b"\x81", b"\xf0\x9f", b"\xed\xa0\x80", b"\x00"]), max_size=12).map(b"".join)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(BYTES, min_size=1, max_size=5), st.booleans())
+def test_units_and_broken_bytes(texts, gap):
+    """A cast of binary columns gives texts of any bytes; each unit of them counts with replacement characters."""
+    encoder = P.Encoder.__new__(P.Encoder)
+    encoder.__dict__.update(P.encoder(PATH).__dict__)
+    encoder.table = P.UnitIds(encoder.encode_units, gap)
+    pattern = re.compile(rb" *[^ \n]+| +|\n" if gap else rb" *[^ ]+| +")
+    want = [pattern.findall(b" " + t.replace(P.SPACE.encode(), b" ")) if t else [] for t in texts]
+    column = pa.array(texts, pa.binary())
+    coded, counts = encoder.table.cut(*P.flat(column))
+    assert coded.to_pylist() == [u for w in want for u in w] and counts.tolist() == [len(w) for w in want]
+    if gap:
+        ids, n = encoder.texts(column)
+        ends = np.concatenate([[0], np.cumsum(n)])
+        for w, a, b in zip(want, ends[:-1], ends[1:], strict=True):
+            assert ids[a:b].tolist() == LIBRARY.encode("".join(u.decode("utf-8", "replace") for u in w)[1:])
