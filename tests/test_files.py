@@ -25,6 +25,21 @@ def test_files_by_name(spark, tmp_path):
     assert [tuple(r) for r in read_files(spark, folder).collect()] == [("only/x", "2")]
 
 
+def test_the_driver_lists_folders_only(spark, tmp_path):
+    """A folder of many files is read by as many tasks as wrote it, and none of its files is in the plan."""
+    folder = str(tmp_path / "archive")
+    rows = [(f"i{k}/after/_{k}=x.java" if k % 2 else f"i{k}/after/{k}.java", f"text {k}") for k in range(200)]
+    write_files(texts(spark, [*rows, ("i0/after/.hidden", "x"), ("_i1/after/y", "x")]), folder)
+    files = read_files(spark, folder)
+    # rows are dealt by number, however few bytes they have in a shuffle
+    assert files.rdd.getNumPartitions() == len(list(Path(folder).glob("part-*"))) == 8
+    plan = files._jdf.queryExecution().executedPlan().toString()
+    assert "binaryFile" not in plan and "FileIndex" not in plan
+    assert {tuple(r) for r in files.collect()} == set(rows)
+    write_files(texts(spark, []), folder)
+    assert read_files(spark, folder).collect() == []
+
+
 @pytest.mark.parametrize("bad", ["../x", "/x", "a//b", "same"])
 def test_a_failed_run_leaves_nothing(spark, tmp_path, bad):
     folder = str(tmp_path / "archive")
