@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from codehist.operators.events import CHANGE, ORDER
 from codehist.operators.exact import with_exact_cycles
 from codehist.plans.ordered import BLOCK, before, block_of, so_far, spread
-from codehist.session import staged
+from codehist.session import shuffles_removed, staged
 
 @dataclass
 class Carry:
@@ -37,6 +37,10 @@ AT = [*FILE, "_blk"]
 TOTALS = {"n": "_chg", "lines_added": "added", "lines_deleted": "deleted", "bug_fixes": "is_bug"}
 
 
+#: Files that are cut are known to the driver by name; if there are more, all files are cut.
+FEW = 10_000
+
+
 def _div(a: Column, b: int) -> Column:
     return F.floor(a / F.lit(b)).cast("bigint")
 
@@ -141,6 +145,29 @@ def _author_openings(ev: DataFrame, carry: DataFrame | None) -> tuple[DataFrame,
     return own, per.filter("_seen is not null")
 
 
+def _in_blocks(events: DataFrame, block: int, uncut: int) -> tuple[DataFrame, DataFrame | None]:
+    """Events with their block, and the events of files that are cut into blocks, if any are.
+
+    A file of at most ``uncut`` events is one block, wherever in the walk its events lie: its totals need no sums of blocks.
+    """
+    at = block_of("walk_pos", block)
+    if not uncut:
+        ev = events.withColumn("_blk", at)
+        return ev, ev
+    large = events.groupBy(*FILE).count().filter(F.col("count") > uncut).select(*FILE).limit(FEW + 1)
+    with shuffles_removed(events.sparkSession):
+        names = large.collect()
+    if len(names) > FEW:
+        return _in_blocks(events, block, 0)
+    if not names:
+        return events.withColumn("_blk", F.lit(0).cast("bigint")), None
+    known = events.sparkSession.createDataFrame(names, large.schema).toDF("_project", "_lineage").withColumn("_cut", F.lit(True))
+    same = events["project"].eqNullSafe(known["_project"]) & events["lineage"].eqNullSafe(known["_lineage"])
+    ev = events.join(F.broadcast(known), same, "left").drop("_project", "_lineage")
+    ev = ev.withColumn("_blk", F.when(F.col("_cut"), at).when(F.col("_cut").isNull(), 0))
+    return ev.drop("_cut"), ev.filter("_cut").drop("_cut")
+
+
 def file_history(
     events: DataFrame,
     thresholds: Sequence[int],
@@ -180,9 +207,14 @@ def closed_form_history(
     authors: bool = False,
     block: int = BLOCK,
     carry: Carry | None = None,
+    uncut: int = 0,
 ) -> DataFrame:
     """State of a file after each event by running totals, one row per event.
 
+    Files of at most ``uncut`` events are not cut into blocks (all are with a
+    ``carry``, whose totals come as a block of their own). For that the events
+    are counted at once.
+
     n, lines_added, lines_deleted, bug_fixes: totals of the file.
     refactorings: resets so far, by labels, renames and finished cycles.
     seg_base: commit count at the last reset; base_n: commit count at the start
@@ -193,10 +225,7 @@ def closed_form_history(
     """
     cuts = sorted(set(int(t) for t in thresholds))
     top = cuts[-1]
-    ev = events.withColumns(
-        {"_blk": block_of("walk_pos", block), "_chg": (F.col("phase") == CHANGE).cast("int")}
-    )
-    openings = _openings(ev, top, carry.files if carry is not None else None)
+    ev, cut = _in_blocks(events.withColumn("_chg", (F.col("phase") == CHANGE).cast("int")), block, 0 if carry is not None else uncut)
     event = F.struct("commit_id")
     body = ev.withColumns(
         {
@@ -206,17 +235,20 @@ def closed_form_history(
             "_open": F.lit(False),
         }
     )
-    both = body.unionByName(openings.withColumn("_open", F.lit(True)), allowMissingColumns=True)
+    both = body.withColumn("_base", F.lit(None).cast("bigint"))
+    if cut is not None:
+        openings = _openings(cut, top, carry.files if carry is not None else None)
+        both = both.unionByName(openings.withColumn("_open", F.lit(True)), allowMissingColumns=True)
     if authors:
-        own, per = _author_openings(ev, carry.authors if carry is not None else None)
         both = both.withColumns(
-            {"_k": F.col("_chg").cast("bigint"), "_seen": F.lit(None), "_top": F.lit(None)}
+            {"_k": F.col("_chg").cast("bigint"), "_seen": F.lit(None).cast("bigint"), "_top": F.lit(None).cast("bigint")}
         ).withColumn("_k", F.when(F.col("_open"), 0).otherwise(F.col("_k")))
-        for rows in (own, per):
+        for rows in _author_openings(cut, carry.authors if carry is not None else None) if cut is not None else ():
             both = both.unionByName(rows.withColumn("_open", F.lit(True)), allowMissingColumns=True)
     order = [F.col("_open").desc(), *ORDER, "commit_id"]
     run = so_far(*AT, order=order)
-    rows = spread(both, *AT)
+    # a block that is the same everywhere is left out of the windows, and would keep them from using what it is dealt by
+    rows = spread(both, *(AT if cut is not None else FILE))
     if authors:
         # before all other totals, so that these need one sort by time
         rows = rows.withColumn("k", F.sum("_k").over(so_far(*AT, "author", order=order)))

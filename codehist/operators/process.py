@@ -47,50 +47,70 @@ def author_stats(
     commit of theirs therefore makes (or keeps) them major until commit 20 k:
     every change adds at most one step up and one step down on the commit axis
     of its file, and the major authors at ``n`` are the running sum of steps.
+
+    Rows are dealt to blocks of commits once. Steps inside the block of their
+    change are made there; those into a later block travel by themselves, and
+    steps of earlier blocks come summed up.
     """
     is_change = F.col("phase") == CHANGE
     k, n = F.col("k"), F.col("n")
     until = 20 * (k - 1)
+
+    def step(at: Column, by: int) -> Column:
+        return F.struct(at.cast("bigint").alias("n"), F.lit(by).cast("bigint").alias("d"))
+
     was_major = (k > 1) & (until >= n)
     steps = (
-        F.when(was_major, F.array(F.struct((until + 1).alias("n"), F.lit(1).alias("d")),
-                                  F.struct((20 * k + 1).alias("n"), F.lit(-1).alias("d"))))
-        .when(20 * k >= n, F.array(F.struct(n.alias("n"), F.lit(1).alias("d")),
-                                   F.struct((20 * k + 1).alias("n"), F.lit(-1).alias("d"))))
-        .otherwise(F.array())
+        F.when(was_major, F.array(step(until + 1, 1), step(20 * k + 1, -1)))
+        .when(20 * k >= n, F.array(step(n, 1), step(20 * k + 1, -1)))
+        .otherwise(F.array().cast("array<struct<n:bigint,d:bigint>>"))
     )
-    moves = history.filter(is_change).select(*FILE, F.explode(steps).alias("s"))
+
+    def block_at(s: Column) -> Column:
+        return F.call_function("div", s["n"], F.lit(int(block)).cast("bigint"))
+
+    changes = history.filter(is_change).select(*FILE, "n", "k").withColumn("_blk", block_of("n", block))
+    moves = changes.select(*FILE, F.explode(steps).alias("s"))
+    travel = changes.select(*FILE, F.explode(F.filter(steps, lambda s: block_at(s) > F.col("_blk"))).alias("s"))
     if carry is not None:
         # an author who is major in the carried state stays so until commit 20 k
         known = carry.files.join(history.select(*FILE).distinct(), FILE, "left_semi").select(*FILE, "n")
         known = known.join(carry.authors, FILE).filter(20 * F.col("k") >= F.col("n"))
-        since = F.array(F.struct(n.alias("n"), F.lit(1).alias("d")),
-                        F.struct((20 * k + 1).alias("n"), F.lit(-1).alias("d")))
-        moves = moves.unionByName(known.select(*FILE, F.explode(since).alias("s")))
-    delta = (
-        moves.groupBy(*FILE, F.col("s.n").alias("n"))
-        .agg(F.sum("s.d").cast("bigint").alias("_step"))
-        .filter("_step <> 0")
-        .withColumn("_blk", block_of("n", block))
-    )
-    rows = history if asked is None else history.filter(asked)
-    rows = rows.withColumn("_blk", block_of("n", block)).withColumn("_row", F.lit(2))
+        known = known.select(*FILE, F.explode(F.array(step(n, 1), step(20 * k + 1, -1))).alias("s"))
+        moves, travel = moves.unionByName(known), travel.unionByName(known)
+    totals = moves.groupBy(*FILE, block_at(F.col("s")).alias("_blk")).agg(F.sum("s.d").alias("_step"))
+    rows = history.withColumn("_blk", block_of("n", block)).withColumn("_row", F.lit(2))
+    if asked is not None:
+        # the other changes take part by their steps
+        given = F.coalesce(asked, F.lit(False))
+        rows = rows.withColumn("_row", F.when(given, 2).when(is_change, 1)).filter("_row is not null")
+        kept = {*FILE, "n", "k", "phase", "_blk", "_row"}
+        rows = rows.select(*[F.col(c) if c in kept else F.when(F.col("_row") == 2, F.col(c)).alias(c) for c in rows.columns])
     # a block may have rows but no steps of its own: carry the total there too
-    later = rows.filter(F.col("n") >= block).select(*FILE, "_blk").distinct()
-    steps_or_none = delta.select(*FILE, "_blk", "_step").unionByName(
-        later.withColumn("_step", F.lit(0).cast("bigint"))
-    )
-    opening = opening_sums(steps_or_none, FILE, "_blk", {"_step": F.col("_step")})
-    both = rows.unionByName(delta.withColumn("_row", F.lit(1)), allowMissingColumns=True)
+    later = rows.filter((F.col("n") >= block) & (F.col("_row") == 2)).select(*FILE, "_blk").distinct()
+    opening = opening_sums(totals.unionByName(later.withColumn("_step", F.lit(0).cast("bigint"))), FILE, "_blk", {"_step": F.col("_step")})
+    travel = travel.select(*FILE, F.col("s.n").alias("n"), block_at(F.col("s")).alias("_blk"), F.col("s.d").alias("_step"))
+    both = rows.withColumn("_step", F.lit(None).cast("bigint"))
+    both = both.unionByName(travel.withColumn("_row", F.lit(1)), allowMissingColumns=True)
     both = both.unionByName(opening.withColumn("_row", F.lit(0)), allowMissingColumns=True)
     both = spread(both, *FILE, "_blk")
-    w = so_far(*FILE, "_blk", order=[F.coalesce("n", F.lit(-1)), "_row", *ORDER])
-    major = F.coalesce(F.sum("_step").over(w), F.lit(0))
-    out = both.withColumn("major", major).filter("_row = 2")
+
+    def entry(at: Column, row: Column, by: Column) -> Column:
+        return F.struct(at.cast("bigint").alias("n"), row.cast("int").alias("row"), by.cast("bigint").alias("step"))
+
+    own = F.filter(F.when(is_change, steps), lambda s: block_at(s) == F.col("_blk"))
+    own = F.transform(own, lambda s: entry(s["n"], F.lit(1), s["d"]))
+    none = F.array().cast("array<struct<n:bigint,row:int,step:bigint>>")
+    given = F.array(entry(n, F.col("_row"), F.col("_step")))
+    both = both.withColumn("_e", F.explode(F.concat(given, F.coalesce(own, none))))
+    # steps are made of their row, but don't take its columns through the sort
+    both = both.select(*FILE, "_blk", "_e", *[F.when(F.col("_e.row") == 2, F.col(c)).alias(c) for c in history.columns if c not in FILE])
+    w = so_far(*FILE, "_blk", order=[F.coalesce("_e.n", F.lit(-1)), "_e.row", *ORDER])
+    major = F.coalesce(F.sum("_e.step").over(w), F.lit(0))
+    out = both.withColumn("major", major).filter("_e.row = 2")
     ownership = F.when(F.col("n") > 0, F.col("top_author") / F.col("n")).otherwise(F.lit(0.0))
-    return out.withColumns(
-        {"minor": F.col("authors") - F.col("major"), "ownership": ownership}
-    ).drop("_blk", "_row", "_step")
+    out = out.withColumns({"minor": F.col("authors") - F.col("major"), "ownership": ownership})
+    return out.select(*history.columns, "major", "minor", "ownership")
 
 
 def label_process_asof(instances: DataFrame, history: DataFrame, block: int = BLOCK) -> DataFrame:

@@ -50,6 +50,23 @@ def home(spark: SparkSession) -> str:
     return _homes[app]
 
 
+CLEANUP_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """What is written or collected inside has its shuffle files removed at its end, not when the driver happens to collect its garbage."""
+    before = spark.conf.get(CLEANUP_CONF, None)
+    spark.conf.set(CLEANUP_CONF, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP_CONF)
+        else:
+            spark.conf.set(CLEANUP_CONF, before)
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 

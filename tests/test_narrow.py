@@ -1,11 +1,12 @@
 """What windows and written tables carry: no more than they need."""
 
 import re
+import time
 
 import __spark_entry__ as entry
 from codehist.operators.events import EVENT_COLUMNS
 from codehist.operators.history import closed_form_history
-from codehist.session import tables_made
+from codehist.session import shuffles_removed, staged, tables_made
 from workload import views as vw
 
 FOLDER = "/root/testdata/sf0.001"
@@ -34,3 +35,24 @@ def test_author_metrics_write_only_what_they_are_made_of(spark):
         entry.queries()["wide_author_stats"](spark, FOLDER)
     (path,) = paths
     assert not {"lines_added", "bug_fixes", "reset_commit"} & set(spark.read.parquet(path).columns)
+
+
+def test_lines_of_the_order_history_are_dealt_once(spark):
+    plan = vw.wide_events(spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(l_orderkey") == 1 and "hashpartitioning(l_partkey" not in plan
+
+
+def test_shuffle_files_of_a_written_table_are_removed(spark):
+    def blocks():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+        return {str(found.apply(i)) for i in range(found.size()) if str(found.apply(i)).startswith("shuffle_")}
+
+    rows, before = spark.range(1000).repartition(7, "id"), blocks()
+    with shuffles_removed(spark):
+        kept = staged(rows)
+    waits = time.time() + 20
+    while blocks() - before and time.time() < waits:
+        time.sleep(0.2)
+    assert not blocks() - before and kept.count() == 1000
+    staged(rows)
+    assert blocks() - before

@@ -27,7 +27,7 @@ from codehist.operators.lineage import rename_lineage
 from codehist.plans.mining import history_events, mine
 from codehist.plans.ordered import BLOCK, running
 from codehist.schemas import CLASS_METRICS, LEGACY_TYPES, METHOD_METRICS
-from codehist.session import shared_dir, staged
+from codehist.session import shared_dir, shuffles_removed, staged
 from codehist.sources import stored
 from codehist.sources.files import read_files, write_files
 from codehist.sources.stored import StoredTable
@@ -696,7 +696,7 @@ def _wide_history(spark, sf, cuts, authors=False):
     from codehist.operators.lineage import incarnation
 
     events = vw.wide_events(spark, sf).withColumn("lineage", incarnation(F.col("path"), F.lit(0)))
-    return closed_form_history(events, cuts, authors)
+    return closed_form_history(events, cuts, authors, uncut=BLOCK if authors else 0)
 
 
 @query(
@@ -723,8 +723,10 @@ def wide_stable_files(spark, sf):
 )
 def wide_author_stats(spark, sf):
     # of the history only what the author metrics are made of is written
-    history = _wide_history(spark, sf, (20, 50), authors=True).select("project", "lineage", "path", *ORDER, "commit_id", "n", "k", "authors", "top_author")
-    rows = pr.author_stats(staged(history)).filter(F.col("phase") == CHANGE)
+    history = _wide_history(spark, sf, (20, 50), authors=True).filter(F.col("phase") == CHANGE)
+    with shuffles_removed(spark):
+        history = staged(history.select("project", "lineage", "path", *ORDER, "commit_id", "n", "k", "authors", "top_author"))
+    rows = pr.author_stats(history).filter(F.col("phase") == CHANGE)
     return rows.select("project", "path", "commit_id", *_big("authors", "minor", "major"), F.round("ownership", 6).alias("ownership"))
 
 

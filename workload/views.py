@@ -212,13 +212,19 @@ def wide_events(spark: SparkSession, sf: str) -> DataFrame:
     """Event log of the order history: one file per part, labels on returns."""
     from codehist.functions.names import is_bug_fix
 
+    # dealt by order: one shuffle of the lines serves the sums as well as the join
     lines = (
         read(spark, sf, "lineitem")
+        .selectExpr(
+            "l_partkey", "l_orderkey", "l_quantity", "l_linenumber",
+            "case when l_returnflag = 'R' and l_linenumber = 1 then 1 else 0 end as is_label",
+        )
+        .repartition("l_orderkey")
         .groupBy("l_partkey", "l_orderkey")
         .agg(
             F.sum("l_quantity").cast("bigint").alias("added"),
             F.sum("l_linenumber").cast("bigint").alias("deleted"),
-            F.max(F.expr("case when l_returnflag = 'R' and l_linenumber = 1 then 1 else 0 end")).alias("is_label"),
+            F.max("is_label").alias("is_label"),
         )
     )
     at = wide_commits(spark, sf)
